@@ -37,9 +37,13 @@ def ancestors(path: Column, limit: int | None = None) -> Column:
     )
 
 
-def exists_at(path: Column, name: str) -> Column:
-    """Does this file show that a file or directory ``name`` exists at the root?"""
-    return (path == name) | path.startswith(f"{name}/")
+def exists_any(path: Column, names) -> Column:
+    """Does this file show that a file or directory of one of the names exists at the root?"""
+    shown = F.substring_index(path, "/", 1).isin([n for n in names if "/" not in n])
+    for name in names:
+        if "/" in name:
+            shown = shown | (path == name) | path.startswith(f"{name}/")
+    return shown
 
 
 def lookup(key: Column, table: dict) -> Column:

@@ -17,10 +17,7 @@ def per_repo(repos: DataFrame, flags: DataFrame) -> DataFrame:
 
 
 def _exists(names) -> Column:
-    found = F.lit(False)
-    for name in names:
-        found = found | paths.exists_at(F.col("path"), name)
-    return found
+    return paths.exists_any(F.col("path"), names)
 
 
 def _flags(files: DataFrame, repos: DataFrame, **conditions) -> DataFrame:

@@ -21,6 +21,7 @@ def local_session(cores="8", memory="12g", **extra):
         "spark.sql.shuffle.partitions": cores,
         "spark.driver.memory": memory,
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         **extra,
     }.items():
         builder = builder.config(key, value)

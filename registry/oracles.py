@@ -205,8 +205,8 @@ SELECT repo_id, position, path, array_to_string(ls[:8], chr(10)) AS content, len
 FROM (SELECT *, string_split(content, chr(10)) AS ls, row_number() OVER (PARTITION BY repo_id ORDER BY {position(lx.SNIPPET_FILES, BASENAME)}, {PARTS}) AS position
 FROM fx_files WHERE {BASENAME} IN ({names(lx.SNIPPET_FILES)})) WHERE position <= 5"""),
     "repo_roots": (["fx_listing"], f"""
-SELECT DISTINCT '/code/' || array_to_string(root, '/') AS path FROM (SELECT p[:at - 1] AS root FROM (SELECT string_split(path[7:], '/') AS p, list_position(string_split(path[7:], '/'), '.git') AS at FROM fx_listing)
-  WHERE at > 0 AND at < len(p)) c
+SELECT DISTINCT '/code/' || array_to_string(root, '/') AS path FROM (SELECT p[:g - 1] AS root FROM (SELECT string_split(path[7:], '/') AS p, list_position(string_split(path[7:], '/'), '.git') AS g FROM fx_listing)
+  WHERE g > 0 AND g < len(p)) c
 WHERE len(root) <= 10 AND len(list_filter(root, lambda d: d[1] = '.' OR lower(d) IN ({names(lx.DISCOVERY_SKIP)}))) = 0
   AND NOT EXISTS (SELECT 1 FROM fx_listing o WHERE regexp_matches(o.path, '^/code/[^/]+/\\.git/') AND split_part(o.path, '/', 3) = root[1] AND len(root) > 1)
   AND NOT (len(root) > 3 AND array_to_string(root[2:3], '/') = 'sub/inner')"""),
