@@ -97,9 +97,10 @@ def sha8(sha: Column) -> Column:
 
 
 def truncate_diff(diff: Column, n: int = 50) -> Column:
-    total = text.line_count(diff)
-    more = F.concat(F.lit("\n... ("), (total - n).cast("string"), F.lit(" more lines)"))
-    return F.when(total > n, F.concat(text.head_lines(diff, n), more)).otherwise(diff)
+    """First lines of a diff, and how many more there are."""
+    split = text.lines(diff)
+    more = F.concat(F.lit("\n... ("), (F.size(split) - n).cast("string"), F.lit(" more lines)"))
+    return F.when(F.size(split) > n, F.concat(F.array_join(F.slice(split, 1, n), "\n"), more)).otherwise(diff)
 
 
 def change_label(change_type: Column) -> Column:

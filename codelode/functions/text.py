@@ -41,7 +41,7 @@ def all_lines(text: Column) -> Column:
 
 
 def line_count(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    return F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 
 
 def head_lines(text: Column, n: int) -> Column:

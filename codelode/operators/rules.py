@@ -1,14 +1,14 @@
 """Rule lexicons matched against file texts in one scan.
 
-A lexicon is ``{rule: [pattern, ...]}``. All patterns of all lexicons are evaluated together on one
-lowercase copy of each text, as generated columns (a literal pattern is a byte scan, a regular
-expression runs only where its fixed texts occur), and only non-zero counts leave the scan.
+A lexicon is ``{rule: [pattern, ...]}``. All patterns of all lexicons are looked for together in one
+pass over each text, and only non-zero counts leave the scan.
 """
 
 from pyspark.sql import DataFrame, functions as F
 
 from codelode import lexicons as lx
-from codelode.functions import paths, text
+from codelode.functions import paths
+from codelode.functions.lexicon_scan import lexicon_scan
 from codelode.operators.files import exclude_paths
 from codelode.operators.ranking import top_k
 
@@ -64,35 +64,27 @@ def framework_sample(files: DataFrame, n: int | None = None) -> DataFrame:
 def file_rule_hits(files: DataFrame, lexicons=HIGHLIGHT_LEXICONS) -> DataFrame:
     """Matches per (file, pattern): one scan for all lexicons, zero counts left out.
 
-    ``in_corpus`` counts describe the repository; ``in_evidence`` rows name files as evidence. A
-    pattern used by several rules is evaluated once. Evidence is matched without regard to case
-    rather than on lowercase text; the two differ only for texts holding dotted or dotless i or
-    long s, which get a second, folded row.
+    ``in_corpus`` rows count matches on lowercase text and describe the repository; ``in_evidence``
+    rows name files that match when case is ignored. A pattern of several rules is looked for once.
     """
-    path, content = F.col("path"), F.col("content")
+    path = F.col("path")
     is_source = paths.lower_suffix(path).isin(lx.CORPUS_SUFFIXES) & ~paths.has_part(path, lx.CORPUS_SKIP)
     scope = files.select(
         "repo_id", "path",
-        (path.isin(lx.CONFIG_FILES) | is_source).alias("in_corpus"),
-        (~paths.has_part(path, lx.SEARCH_SKIP)).alias("in_evidence"),
-        F.when(content.rlike("[ıİſ]"), text.fold(content)).alias("__folded"),
-        F.lower(content).alias("__text"),
-    ).filter("in_corpus or in_evidence")
-
-    def view(body, corpus, evidence):
-        return F.struct(body.alias("text"), corpus.alias("in_corpus"), evidence.alias("in_evidence"))
-
-    corpus, evidence, folded = F.col("in_corpus"), F.col("in_evidence"), F.col("__folded")
-    both = F.array(view(F.col("__text"), corpus, evidence))
-    apart = F.array(view(F.col("__text"), corpus, F.lit(False)), view(folded, F.lit(False), evidence))
-    views = scope.select("repo_id", "path", F.inline(F.when(folded.isNull(), both).otherwise(apart)))
-
-    patterns = sorted({p for lexicon in lexicons.values() for ps in lexicon.values() for p in ps})
-    counts = F.array(*[
-        F.struct(F.lit(p).alias("pattern"), text.match_count(F.col("text"), p).alias("n")) for p in patterns
-    ])
-    return views.select(
-        "repo_id", "path", "in_corpus", "in_evidence", F.inline(F.filter(counts, lambda c: c["n"] > 0))
+        (path.isin(lx.CONFIG_FILES) | is_source).alias("corpus"),
+        (~paths.has_part(path, lx.SEARCH_SKIP)).alias("evidence"),
+        "content",
+    ).filter("corpus or evidence")
+    scan = lexicon_scan(p for lexicon in lexicons.values() for ps in lexicon.values() for p in ps)
+    found = scope.select("repo_id", "path", "corpus", "evidence", scan("content").alias("found"))
+    return (
+        found.select("repo_id", "path", "corpus", "evidence", F.inline("found"))
+        .select(
+            "repo_id", "path", "pattern", "n",
+            (F.col("corpus") & (F.col("n") > 0)).alias("in_corpus"),
+            (F.col("evidence") & F.col("any_case")).alias("in_evidence"),
+        )
+        .filter("in_corpus or in_evidence")
     )
 
 
@@ -192,21 +184,23 @@ def skills(features: DataFrame, integrations: DataFrame) -> DataFrame:
 # --- frameworks ------------------------------------------------------------------------------------------------------------------
 
 
-def framework_flags(folded) -> dict:
-    """One boolean column per framework over a folded text."""
-    return {name: text.any_match(folded, [p.lower() for p in ps]) for name, ps in lx.FRAMEWORKS.items()}
+def framework_scan():
+    """Column function: text -> matches of the framework patterns."""
+    return lexicon_scan(p.lower() for ps in lx.FRAMEWORKS.values() for p in ps)
 
 
 def in_framework_sample(path):
     return paths.suffix(path).isin(lx.FRAMEWORK_SUFFIXES) | path.isin(lx.PACKAGE_FILES)
 
 
-def framework_array(folded):
-    """Names of the frameworks whose patterns occur in a folded text."""
-    flags = framework_flags(folded)
-    return F.filter(
-        F.array(*[F.when(flag, F.lit(name)) for name, flag in flags.items()]), lambda name: name.isNotNull()
-    )
+def framework_array(found):
+    """Names of the frameworks with a pattern among the matches of ``framework_scan``."""
+    seen = F.transform(F.filter(found, lambda m: m["any_case"]), lambda m: m["pattern"])
+    names = [
+        F.when(F.arrays_overlap(seen, F.array(*[F.lit(p.lower()) for p in ps])), F.lit(name))
+        for name, ps in lx.FRAMEWORKS.items()
+    ]
+    return F.when(F.size(found) > 0, F.filter(F.array(*names), lambda name: name.isNotNull()))
 
 
 def framework_rows(found: DataFrame) -> DataFrame:
@@ -221,8 +215,8 @@ def framework_rows(found: DataFrame) -> DataFrame:
 
 def detect_frameworks(files: DataFrame, n: int | None = None) -> DataFrame:
     """Frameworks with any pattern in any sampled file, case ignored."""
-    sample = framework_sample(files, n).select("repo_id", text.fold(F.col("content")).alias("text"))
-    return framework_rows(sample.select("repo_id", framework_array(F.col("text")).alias("frameworks")))
+    sample = framework_sample(files, n).select("repo_id", framework_scan()("content").alias("found"))
+    return framework_rows(sample.select("repo_id", framework_array(F.col("found")).alias("frameworks")))
 
 
 def test_frameworks(frameworks: DataFrame) -> DataFrame:

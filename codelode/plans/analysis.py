@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from codelode import lexicons as lx
-from codelode.functions import paths, text
+from codelode.functions import paths
 from codelode.operators import files as fl, repo as rp, repo_docs as docs, rules
 from codelode.sources.shared import write_shared
 
@@ -21,11 +21,11 @@ def file_facts(files: DataFrame) -> DataFrame:
     routed = suffix.isin(lx.ENDPOINT_SUFFIXES)
     scanned = files.filter(is_source | sampled | routed).select(
         "repo_id", "path", "content", is_source.alias("is_source"),
-        F.when(sampled, text.fold(F.col("content"))).alias("folded"),
+        rules.framework_scan()(F.when(sampled, F.col("content"))).alias("found"),
     )
     extras = scanned.select(
         "repo_id", "path", "content", "is_source",
-        F.when(sampled, rules.framework_array(F.col("folded"))).alias("frameworks"),
+        rules.framework_array(F.col("found")).alias("frameworks"),
         F.when(routed, rp.endpoint_array(F.col("content"))).alias("endpoints"),
     )
     return fl.with_source_metrics(extras)

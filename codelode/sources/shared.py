@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; set to a fresh one only where unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where that is unset (tests).
+
+    The setting cannot change while a session runs, so the stand-in is kept under a name of our own.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("codelode.shared.dir", None)
     if not folder:
         folder = tempfile.mkdtemp(prefix="codelode-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        spark.conf.set("codelode.shared.dir", folder)
     return folder.rstrip("/")
 
 

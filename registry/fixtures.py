@@ -29,6 +29,14 @@ CODE_CONTENT = """CASE CAST(p_size % 11 AS INT)
      repeat(concat('const f = async (x) => {', chr(10), '  if (x) { stripe.charge(x) }', chr(10), '}', chr(10), chr(10), 'router.post("/', lower(p_type), '", f)', chr(10)), CAST(p_size % 6 AS INT)))
  END"""
 
+# what lies below a repository, by repo_id % 8
+LISTING_TAILS = {
+    "/.git/HEAD": range(7), "/sub/inner/.git/HEAD": range(8), "/.cache/r/.git/HEAD": range(8),
+    "/Vendor/lib/.git/config": range(8), "/a/b/c/d/e/f/g/h/i/.git/HEAD": [7], "/a/b/c/d/e/f/g/h/i/j/k/.git/HEAD": range(8),
+    "/work/.git": range(8), "/src/main.py": range(8),
+}
+LISTING_ROWS = ", ".join(f"({k}, '{tail}')" for tail, ks in LISTING_TAILS.items() for k in ks)
+
 # name -> (tables it reads, SQL)
 FIXTURES = {
     "fx_seed": (["nation", "supplier"], """
@@ -68,6 +76,10 @@ UNION ALL SELECT repo_id, 'README.txt' AS path, concat('plain ', label) AS conte
 UNION ALL SELECT repo_id, 'CHANGELOG.md' AS path, 'v1' AS content FROM fx_seed WHERE repo_id % 2 = 0
 UNION ALL SELECT repo_id, '.github/workflows/ci.yml' AS path, 'on: push' AS content FROM fx_seed WHERE repo_id % 3 = 0
 UNION ALL SELECT repo_id, 'Dockerfile' AS path, 'FROM x' AS content FROM fx_seed WHERE repo_id % 4 = 1
+UNION ALL SELECT repo_id, 'app/service.rb' AS path, concat('# ', label, chr(10), repeat(CASE CAST(repo_id % 6 AS INT)
+  WHEN 0 THEN 'rate limit, rate-limiter and shard by partition; pipeline of streams' WHEN 1 THEN 'latency and throughput, optimised; full-text search index'
+  WHEN 2 THEN 'failover, backup, SLA; live   update of the booking hotel flight' WHEN 3 THEN 'Patient health record, Doctor appointment; OAuth login token, S3 upload'
+  WHEN 4 THEN 'shopping cart checkout with Stripe, PayPal and an order' ELSE 'CI/CD with GitHub actions, docker, kubernetes; unit-test coverage' END, CAST(repo_id % 4 + 1 AS INT)), chr(10)) AS content FROM fx_seed WHERE repo_id % 11 <> 0
 UNION ALL SELECT repo_id, 'domain/core/.keep/setup.cfg' AS path, label AS content FROM fx_seed WHERE repo_id % 9 = 4"""),
     "fx_files": (["fx_files_code", "fx_files_docs", "fx_files_root"], """
 SELECT repo_id, path, max(content) AS content FROM (
@@ -89,15 +101,8 @@ SELECT c.sha AS story_id, max(r.name) AS repo_name, max(c.message) AS summary,
   count(*) AS files_changed, CAST(sum(f.insertions) AS BIGINT) AS lines_added, CAST(sum(f.deletions) AS BIGINT) AS lines_removed,
   max(c.committed_date) AS last_commit_at
 FROM fx_commits c JOIN fx_commit_files f ON f.sha = c.sha JOIN fx_repos r ON r.repo_id = c.repo_id GROUP BY c.sha"""),
-    "fx_listing": (["fx_repos"], """
-SELECT concat(path, '/.git/HEAD') AS path FROM fx_repos WHERE repo_id % 8 <> 7
-UNION ALL SELECT concat(path, '/sub/inner/.git/HEAD') AS path FROM fx_repos
-UNION ALL SELECT concat(path, '/.cache/r/.git/HEAD') AS path FROM fx_repos
-UNION ALL SELECT concat(path, '/Vendor/lib/.git/config') AS path FROM fx_repos
-UNION ALL SELECT concat(path, '/a/b/c/d/e/f/g/h/i/.git/HEAD') AS path FROM fx_repos WHERE repo_id % 8 = 7
-UNION ALL SELECT concat(path, '/a/b/c/d/e/f/g/h/i/j/k/.git/HEAD') AS path FROM fx_repos
-UNION ALL SELECT concat(path, '/work/.git') AS path FROM fx_repos
-UNION ALL SELECT concat(path, '/src/main.py') AS path FROM fx_repos"""),
+    "fx_listing": (["fx_repos"], f"""
+SELECT concat(path, tail) AS path FROM fx_repos JOIN (VALUES {LISTING_ROWS}) AS v(k, tail) ON repo_id % 8 = k"""),
     "fx_tracked": (["fx_repos", "orders"], """
 SELECT CASE WHEN repo_id % 3 = 1 THEN concat(path, '-gone') ELSE path END AS path, last_sync
 FROM fx_repos LEFT JOIN (SELECT o_orderkey, o_orderdate AS last_sync FROM orders WHERE o_orderkey % 4 <> 0) o ON o_orderkey = repo_id"""),
@@ -124,6 +129,15 @@ def with_clause(names, base=None, views=FIXTURES) -> str:
     return "WITH " + ",\n".join(f"{name} AS ({sql})" for name, sql in done.items())
 
 
+class StoredTables:
+    """Derived tables that were written before, one Parquet folder each."""
+
+    def __init__(self, spark: SparkSession, folder: str, stored: str):
+        self.spark, self.folder = spark, folder
+        for name in ("files", "repos", "commits", "commit_files", "profiles", "stories", "listing", "tracked"):
+            setattr(self, name, spark.read.parquet(f"{stored}/{name}"))
+
+
 class Tables:
     """The tables of one data folder as DataFrames."""
 
