@@ -97,10 +97,10 @@ def sha8(sha: Column) -> Column:
 
 
 def truncate_diff(diff: Column, n: int = 50) -> Column:
-    """First lines of a diff, and how many more there are."""
-    split = text.lines(diff)
-    more = F.concat(F.lit("\n... ("), (F.size(split) - n).cast("string"), F.lit(" more lines)"))
-    return F.when(F.size(split) > n, F.concat(F.array_join(F.slice(split, 1, n), "\n"), more)).otherwise(diff)
+    """First lines of a diff, and how many more there are; lines are counted only where it is cut."""
+    head = text.head_lines(diff, n)
+    more = F.concat(F.lit("\n... ("), (text.line_count(diff) - n).cast("string"), F.lit(" more lines)"))
+    return F.when(F.octet_length(head) == F.octet_length(diff), diff).otherwise(F.concat(head, more))
 
 
 def change_label(change_type: Column) -> Column:

@@ -1,10 +1,11 @@
 """Commit history operators. ``walk_pos`` is 1 for the newest commit of a repository."""
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codelode import lexicons as lx
 from codelode.functions import formats, text
 from codelode.operators.ranking import top_k
+from codelode.sources.shared import write_shared
 
 
 def commit_summary(commits: DataFrame, repos: DataFrame) -> DataFrame:
@@ -153,26 +154,33 @@ def commit_batches(commits: DataFrame, size: int = 25) -> DataFrame:
     return commits.join(last, "repo_id").withColumns({"batch_num": batch, "total_batches": total}).drop("last")
 
 
+# two short keys per row: some 20 MB in each executor at most
+BROADCAST_ROWS = 200_000
+
+
 def commits_with_diffs(
     commits: DataFrame, commit_files: DataFrame, as_of: Column, count: int = 100, days: int = 365, max_lines: int = 50,
     max_files: int = 10,
 ) -> DataFrame:
     """Recent commits with the first files of each and their shortened diffs.
 
-    Files are cut to ``max_files`` per commit before they are shuffled; the join then reuses that
-    partitioning by (repo_id, sha).
+    The recent commits are written first. If they are few, they are broadcast and files of other
+    commits go before any diff is read further; if not, files are cut to ``max_files`` per commit
+    before the shuffle, whose partitioning the join reuses.
     """
+    recent = write_shared(commits_since(commits, as_of, days, count), "recent-commits")
+    keys = ["repo_id", "sha"]
+    wanted = commit_files
+    if recent.count() <= BROADCAST_ROWS:
+        wanted = commit_files.join(F.broadcast(recent.select(*keys)), keys, "left_semi")
     order = [F.col(c) for c in ("file_pos", "path", "change_type", "insertions", "deletions")]
-    cut = commit_files.select(
-        "repo_id", "sha", "file_pos", "path", "change_type", "insertions", "deletions",
+    cut = wanted.select(
+        *keys, "file_pos", "path", "change_type", "insertions", "deletions",
         formats.truncate_diff(F.col("diff"), max_lines).alias("diff"),
     )
-    first = top_k(cut, ["repo_id", "sha"], order, max_files, "file_no").select(
-        "repo_id", "sha", "file_no", "path", "change_type", "diff"
-    )
-    recent = commits_since(commits, as_of, days, count)
-    return recent.join(first, ["repo_id", "sha"], "left").select(
-        "repo_id", "sha", "walk_pos", text.strip(F.col("message")).alias("message"), "author_name", "author_email",
+    first = top_k(cut, keys, order, max_files, "file_no").select(*keys, "file_no", "path", "change_type", "diff")
+    return recent.join(first, keys, "left").select(
+        *keys, "walk_pos", text.strip(F.col("message")).alias("message"), "author_name", "author_email",
         formats.iso(F.col("committed_date")).alias("date"), "file_no", "path", "change_type", "diff",
     )
 
