@@ -64,7 +64,10 @@ def search_code(files: DataFrame, pattern: str, max_results: int = 50) -> DataFr
     numbered = F.transform(
         text.lines(F.col("content")), lambda line, i: F.struct((i + 1).alias("line"), line.alias("content"))
     )
-    hits = searched.filter(F.col("content").rlike(text.java_regex(pattern, "dimu"))).select(
+    if not re.search(r"\\[AZz]|\^|\$|\(\?", pattern):
+        # without anchors a match in a line is a match in the file: files without one stay whole
+        searched = searched.filter(F.col("content").rlike(regex))
+    hits = searched.select(
         "repo_id", "path", F.inline(F.filter(numbered, lambda n: n["content"].rlike(regex)))
     )
     shown = hits.withColumn("content", F.substring(text.strip_inline(F.col("content")), 1, 200))
