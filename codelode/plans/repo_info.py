@@ -48,9 +48,10 @@ def portfolio_rollup(info: DataFrame) -> DataFrame:
     )
     # one entry per known language
     ordered = F.array_sort(F.collect_list(F.struct((-F.col("pct")).alias("o"), "language", "pct")))
-    shares = portfolio_languages(info).agg(ordered.alias("languages"))
-    return totals.join(F.broadcast(shares)).select(
-        "total_commits", formats.language_list(F.col("languages")).alias("languages"),
+    listed = portfolio_languages(info).agg(ordered.alias("languages"))
+    shares = listed.select(formats.language_list(F.col("languages"))).scalar()
+    return totals.select(
+        "total_commits", shares.alias("languages"),
         F.coalesce(formats.iso(F.col("earliest")), F.lit("Unknown")).alias("earliest"),
         F.coalesce(formats.iso(F.col("latest")), F.lit("Unknown")).alias("latest"),
     )

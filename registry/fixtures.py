@@ -6,7 +6,9 @@ which bring manifests and read-me files, so every table grows with the data.
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from codelode.operators.ranking import row_numbers
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -51,15 +53,17 @@ SELECT repo_id, lower(replace(label,' ','-')) AS name, concat('/code/', lower(re
   CASE WHEN repo_id % 5 = 0 THEN NULL ELSE nm END AS user_name
 FROM fx_seed LEFT JOIN (SELECT c_nationkey, min(c_custkey) AS k, max(c_name) AS nm FROM customer GROUP BY c_nationkey) u
   ON u.c_nationkey = nation"""),
-    "fx_commits": (["orders", "customer"], """
+    "fx_commit_rows": (["orders", "customer"], """
 SELECT c.c_nationkey AS repo_id, lpad(CAST(o.o_orderkey AS STRING), 40, '0') AS sha,
   concat('u', CAST(o.o_custkey AS STRING), '@example.com') AS author_email, c.c_name AS author_name,
   o.o_orderdate AS committed_date,
   concat(CASE CAST(o.o_orderkey % 10 AS INT) WHEN 0 THEN 'Add ' WHEN 1 THEN 'Implemented ' WHEN 2 THEN 'Merge branch ' WHEN 3 THEN 'fix typo in '
      WHEN 4 THEN 'Refactor ' WHEN 5 THEN 'wip ' WHEN 6 THEN 'Optimize ' WHEN 7 THEN 'Fixes ' WHEN 8 THEN 'migrate ' ELSE 'misc ' END,
-   lower(o.o_orderpriority), ' module ', CAST(o.o_orderkey % 37 AS STRING), chr(10), chr(10), 'body of ', CAST(o.o_orderkey AS STRING)) AS message,
-  row_number() OVER (PARTITION BY c.c_nationkey ORDER BY o.o_orderdate DESC, o.o_orderkey DESC) AS walk_pos
+   lower(o.o_orderpriority), ' module ', CAST(o.o_orderkey % 37 AS STRING), chr(10), chr(10), 'body of ', CAST(o.o_orderkey AS STRING)) AS message
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"""),
+    # for DuckDB; Spark numbers the rows without a window over a whole repository, see Tables.commits
+    "fx_commits": (["fx_commit_rows"], """
+SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY committed_date DESC, sha DESC) AS walk_pos FROM fx_commit_rows"""),
     "fx_files_code": (["part"], f"""
 SELECT CAST(p_partkey % 25 AS INT) AS repo_id, {CODE_PATH} AS path, {CODE_CONTENT} AS content FROM part"""),
     "fx_files_docs": (["documents"], """
@@ -84,23 +88,23 @@ UNION ALL SELECT repo_id, 'domain/core/.keep/setup.cfg' AS path, label AS conten
     "fx_files": (["fx_files_code", "fx_files_docs", "fx_files_root"], """
 SELECT repo_id, path, max(content) AS content FROM (
   SELECT * FROM fx_files_code UNION ALL SELECT * FROM fx_files_docs UNION ALL SELECT * FROM fx_files_root) t GROUP BY repo_id, path"""),
-    "fx_commit_files": (["lineitem", "part", "fx_commits"], """
+    "fx_commit_files": (["lineitem", "part", "fx_commit_rows"], """
 SELECT c.repo_id, c.sha, l.l_linenumber AS file_pos, concat('src/m', CAST(l.l_partkey AS STRING), CASE CAST(p.p_size % 4 AS INT) WHEN 0 THEN '.py' WHEN 1 THEN '.go' WHEN 2 THEN '.ts' ELSE '.txt' END) AS path,
  CASE l.l_returnflag WHEN 'A' THEN 'A' WHEN 'R' THEN 'R' ELSE 'M' END AS change_type,
  CAST(floor(l.l_quantity) AS INT) AS insertions, CAST(floor(l.l_discount * 100 + 0.5) AS INT) AS deletions,
  repeat(concat('+', p.p_name, chr(10)), CAST(floor(l.l_quantity * 2) AS INT)) AS diff
-FROM lineitem l JOIN fx_commits c ON c.sha = lpad(CAST(l.l_orderkey AS STRING), 40, '0') JOIN part p ON p.p_partkey = l.l_partkey"""),
+FROM lineitem l JOIN fx_commit_rows c ON c.sha = lpad(CAST(l.l_orderkey AS STRING), 40, '0') JOIN part p ON p.p_partkey = l.l_partkey"""),
     "fx_profiles": (["documents", "orders"], """
 SELECT concat(lang, '_', CAST(doc_id AS STRING)) AS name,
   concat('# ', source, chr(10), '## Summary', chr(10), CASE WHEN doc_id % 3 = 0 THEN '' ELSE concat('### Skills', chr(10)) END, text) AS content,
   o_orderdate AS modified, CAST(doc_id % 4 AS INT) AS repo_count, doc_id % 5 <> 0 AS has_metadata
 FROM documents JOIN orders ON o_orderkey = doc_id"""),
-    "fx_stories": (["fx_commits", "fx_commit_files", "fx_repos"], """
+    "fx_stories": (["fx_commit_rows", "fx_commit_files", "fx_repos"], """
 SELECT c.sha AS story_id, max(r.name) AS repo_name, max(c.message) AS summary,
-  CASE CAST(max(c.walk_pos) % 3 AS INT) WHEN 0 THEN split('Python,Go', ',') WHEN 1 THEN split('TypeScript', ',') ELSE split('Rust,python,SQL', ',') END AS technologies,
+  CASE CAST(CAST(c.sha AS BIGINT) % 3 AS INT) WHEN 0 THEN split('Python,Go', ',') WHEN 1 THEN split('TypeScript', ',') ELSE split('Rust,python,SQL', ',') END AS technologies,
   count(*) AS files_changed, CAST(sum(f.insertions) AS BIGINT) AS lines_added, CAST(sum(f.deletions) AS BIGINT) AS lines_removed,
   max(c.committed_date) AS last_commit_at
-FROM fx_commits c JOIN fx_commit_files f ON f.sha = c.sha JOIN fx_repos r ON r.repo_id = c.repo_id GROUP BY c.sha"""),
+FROM fx_commit_rows c JOIN fx_commit_files f ON f.sha = c.sha JOIN fx_repos r ON r.repo_id = c.repo_id GROUP BY c.sha"""),
     "fx_listing": (["fx_repos"], f"""
 SELECT concat(path, tail) AS path FROM fx_repos JOIN (VALUES {LISTING_ROWS}) AS v(k, tail) ON repo_id % 8 = k"""),
     "fx_tracked": (["fx_repos", "orders"], """
@@ -150,7 +154,13 @@ class Tables:
 
     files = cached_property(lambda self: self.fixture("fx_files"))
     repos = cached_property(lambda self: self.fixture("fx_repos"))
-    commits = cached_property(lambda self: self.fixture("fx_commits"))
+
+    @cached_property
+    def commits(self) -> DataFrame:
+        order = [F.desc("committed_date"), F.desc("sha")]
+        numbered = row_numbers(self.fixture("fx_commit_rows"), ["repo_id"], order, "walk_pos")
+        return numbered.withColumn("walk_pos", F.col("walk_pos").cast("int"))
+
     commit_files = cached_property(lambda self: self.fixture("fx_commit_files"))
     profiles = cached_property(lambda self: self.fixture("fx_profiles"))
     stories = cached_property(lambda self: self.fixture("fx_stories"))
