@@ -84,6 +84,9 @@ UNION ALL SELECT repo_id, 'app/service.rb' AS path, concat('# ', label, chr(10),
   WHEN 0 THEN 'rate limit, rate-limiter and shard by partition; pipeline of streams' WHEN 1 THEN 'latency and throughput, optimised; full-text search index'
   WHEN 2 THEN 'failover, backup, SLA; live   update of the booking hotel flight' WHEN 3 THEN 'Patient health record, Doctor appointment; OAuth login token, S3 upload'
   WHEN 4 THEN 'shopping cart checkout with Stripe, PayPal and an order' ELSE 'CI/CD with GitHub actions, docker, kubernetes; unit-test coverage' END, CAST(repo_id % 4 + 1 AS INT)), chr(10)) AS content FROM fx_seed WHERE repo_id % 11 <> 0
+UNION ALL SELECT repo_id, CASE CAST(repo_id % 3 AS INT) WHEN 0 THEN 'src/app.py' WHEN 1 THEN 'lib/models.py' ELSE 'server.py' END AS path, concat('import requests', chr(10), 'import pytest', chr(10),
+  repeat(concat('def f():', chr(10), '    ', repeat(chr(34),3), 'doc', repeat(chr(34),3), chr(10), '    if a: return 1', chr(10)), CAST(repo_id % 5 AS INT)), '# ', label, chr(10)) AS content FROM fx_seed WHERE repo_id % 7 <> 6
+UNION ALL SELECT repo_id, 'web/app.test.ts' AS path, concat('import { test } from "vitest"', chr(10), 'import fp from "lodash/fp"', chr(10), 'describe("', label, '", () => { it("works") })', chr(10)) AS content FROM fx_seed WHERE repo_id % 6 = 2
 UNION ALL SELECT repo_id, 'domain/core/.keep/setup.cfg' AS path, label AS content FROM fx_seed WHERE repo_id % 9 = 4"""),
     "fx_files": (["fx_files_code", "fx_files_docs", "fx_files_root"], """
 SELECT repo_id, path, max(content) AS content FROM (
