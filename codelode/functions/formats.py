@@ -8,19 +8,22 @@ from codelode.lexicons import CHANGE_LABELS
 
 
 def iso(ts: Column) -> Column:
-    """ISO text of a timestamp, with microseconds only where there are any."""
-    micros = F.date_format(ts, "SSSSSS")
-    return F.concat(
-        F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"),
-        F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)),
-    )
+    """ISO text of a timestamp, with microseconds only where there are any; free of time zones for TIMESTAMP_NTZ."""
+    written = ts.cast("string")
+    whole = F.replace(F.substring(written, 1, 19), F.lit(" "), F.lit("T"))
+    fraction = F.when(written.contains("."), F.rpad(F.substring_index(written, ".", -1), 6, "0"))
+    return F.concat(whole, F.coalesce(F.concat(F.lit("."), fraction), F.lit("")))
 
 
 def age_months(first: Column, as_of: Column) -> Column:
     """Whole 30-day months between two instants; 0 without a start."""
-    seconds = F.unix_timestamp(as_of.cast("timestamp")) - F.unix_timestamp(first.cast("timestamp"))
-    days = F.floor(seconds / 86400)
-    # division here cuts toward zero, as opposed to the floor of days
+    passed = as_of - first
+    # an interval's parts share its sign, so whole days are the floor of their sum
+    seconds = sum(
+        (F.extract(F.lit(unit), passed) * size for unit, size in (("HOUR", 3600), ("MINUTE", 60), ("SECOND", 1))), F.lit(0)
+    )
+    days = F.extract(F.lit("DAY"), passed) + F.when(seconds < 0, -1).otherwise(0)
+    # division cuts toward zero, as opposed to the floor of days
     return F.coalesce((days / 30).cast("int"), F.lit(0))
 
 

@@ -20,6 +20,9 @@ def test_ages(spark):
     ntz = lambda s: F.lit(s).cast("timestamp_ntz")
     months = formats.age_months(ntz("2024-02-01 23:00:00"), ntz("2024-03-01 01:00:00"))
     assert value(spark, months) == 0
+    # the future: whole days are floored, months are cut
+    assert value(spark, formats.age_months(ntz("2024-03-01 01:00:00"), ntz("2024-01-31 02:00:00"))) == -1
+    assert value(spark, formats.age_months(ntz("2024-03-01 01:00:00"), ntz("2024-02-01 02:00:00"))) == 0
     assert value(spark, formats.age_months(F.lit(None).cast("timestamp_ntz"), ntz("2024-03-01 01:00:00"))) == 0
     cases = {
         0: ("< 1 mo", "< 1 month", "< 1 mo"), 1: ("1 mo", "1 months", "1 mo"), 12: ("1+ yr", "1 year", "1 yr"),
