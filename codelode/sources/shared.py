@@ -1,5 +1,6 @@
 """Written intermediate tables in the cluster's shared checkpoint folder."""
 
+import re
 import tempfile
 import uuid
 
@@ -7,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one only where that is unset (tests).
+    """The folder named by ``spark.checkpoint.dir``, which all machines of a cluster must share.
 
-    The setting cannot change while a session runs, so the stand-in is kept under a name of our own.
+    Where it is unset, a session on one machine gets a folder of its own for as long as it lives; on a cluster that
+    is an error, as a machine-local folder would lose what other machines wrote. The setting cannot change while a
+    session runs, so the stand-in is kept under a name of our own.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("codelode.shared.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="codelode-shared-")
         spark.conf.set("codelode.shared.dir", folder)
     return folder.rstrip("/")
