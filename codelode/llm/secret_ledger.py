@@ -46,11 +46,19 @@ def scan_with_ledger(
     text = F.coalesce(F.col(text_col), F.lit(""))
     paths = write_shared(documents.select(F.col(id_col).alias("doc_id"), F.sha2(text, 256).alias("sha256")), "ledger-paths")
     known = _read_ledger(spark, ledger).filter(F.col("rule_version") == version).select("sha256")
-    unseen = paths.groupBy("sha256").agg(F.min("doc_id").alias("chosen")).join(known, "sha256", "left_anti")
-    blobs = documents.select(F.col(id_col).alias("id"), text.alias("blob")).join(
-        unseen, F.col("id").eqNullSafe(F.col("chosen")) & (F.sha2("blob", 256) == F.col("sha256"))
+    rows = paths.groupBy("sha256", "doc_id").agg(F.count("*").alias("n"))
+    unseen = rows.groupBy("sha256").agg(F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "n")).alias("row")).join(
+        known, "sha256", "left_anti"
     )
-    scanned = find_spans(blobs.select("sha256", "blob"), "blob", rules).withColumn("rule_version", F.lit(version))
+    unseen = write_shared(unseen.select("sha256", F.col("row.doc_id").alias("chosen"), F.col("row.n")), "ledger-unseen")
+    texts = documents.select(F.col(id_col).alias("id"), text.alias("blob"))
+
+    def blobs(part: DataFrame) -> DataFrame:
+        return texts.join(part, F.col("id").eqNullSafe(F.col("chosen")) & (F.sha2("blob", 256) == F.col("sha256"))).select("sha256", "blob")
+
+    # the chosen id names one row, but for rows that repeat it with the same text
+    blobs = blobs(unseen.filter("n = 1")).union(blobs(unseen.filter("n > 1")).dropDuplicates(["sha256"]))
+    scanned = find_spans(blobs, "blob", rules).withColumn("rule_version", F.lit(version))
     target = f"{ledger.rstrip('/')}/run-{uuid.uuid4().hex}"
     scanned.select("sha256", "rule_version", "n_assign", "n_access", "n_hex", "spans").write.parquet(target)
     findings = _read_ledger(spark, ledger).filter(F.col("rule_version") == version).drop("rule_version").dropDuplicates(["sha256"])
