@@ -1,8 +1,11 @@
 """The registered queries of this package, one for each operator, and their SQL."""
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import uuid
 
-from codelode.llm import exact_dedup, secret_ledger, url_rules
+from pyspark.sql import DataFrame, SparkSession
+
+from codelode.llm import exact_dedup, prefix_counts, secret_ledger, url_rules, wavelet
+from codelode.sources.shared import shared_folder
 
 # Rules of the URL query.
 URL_RULES = [
@@ -14,6 +17,12 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op5_wavelet(spark: SparkSession, folder: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
+    wavelet.write_token_files(_table(spark, folder, "documents"), path)
+    return wavelet.read_token_files(spark, path, with_ids=False)
+
+
 def op6_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge_urls(_table(spark, folder, "pages"), url_rules.rules_table(spark, URL_RULES))
 
@@ -23,12 +32,16 @@ def op7_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op9_prefix_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return prefix_counts.token_counts(_table(spark, folder, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact_dedup.exact_duplicates(_table(spark, folder, "documents"), keep="largest")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op6_url_rules, op7_secret_ledger, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op5_wavelet, op6_url_rules, op7_secret_ledger, op9_prefix_counts, op10_exact_dedup)}
 
 ORACLES = {
     "op6_url_rules": """
