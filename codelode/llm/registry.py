@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.llm import exact_dedup, prefix_counts, secret_ledger, url_rules, wavelet
+from codelode.llm import config_packing, exact_dedup, prefix_counts, secret_ledger, url_rules, wavelet
 from codelode.sources.shared import shared_folder
 
 # Rules of the URL query.
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op4_config_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return config_packing.pack_documents(_table(spark, folder, "documents"))
+
+
 def op5_wavelet(spark: SparkSession, folder: str) -> DataFrame:
     path = f"{shared_folder(spark)}/token-files-{uuid.uuid4().hex}"
     wavelet.write_token_files(_table(spark, folder, "documents"), path)
@@ -41,7 +45,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op5_wavelet, op6_url_rules, op7_secret_ledger, op9_prefix_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op4_config_packing, op5_wavelet, op6_url_rules, op7_secret_ledger, op9_prefix_counts, op10_exact_dedup)}
 
 ORACLES = {
     "op6_url_rules": """
