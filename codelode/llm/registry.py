@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from codelode.llm import config_packing, exact_dedup, prefix_counts, secret_ledger, url_rules, wavelet
+from codelode.llm import config_packing, exact_dedup, prefix_counts, secret_ledger, toxicity, url_rules, wavelet
 from codelode.sources.shared import shared_folder
 
 # Rules of the URL query.
@@ -36,6 +36,11 @@ def op7_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    return toxicity.score_documents(documents, toxicity.fit_toxicity(documents, _table(spark, folder, "labels")))
+
+
 def op9_prefix_counts(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_counts.token_counts(_table(spark, folder, "documents"))
 
@@ -45,7 +50,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op4_config_packing, op5_wavelet, op6_url_rules, op7_secret_ledger, op9_prefix_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op4_config_packing, op5_wavelet, op6_url_rules, op7_secret_ledger, op8_toxicity, op9_prefix_counts, op10_exact_dedup)}
 
 ORACLES = {
     "op6_url_rules": """
