@@ -2,9 +2,9 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelode.llm import config_packing, exact_dedup, prefix_counts, secret_ledger, toxicity, url_rules, wavelet
+from codelode.llm import branch_bound, config_packing, cube_mix, exact_dedup, prefix_counts, secret_ledger, toxicity, url_rules, wavelet
 from codelode.sources.shared import shared_folder
 
 # Rules of the URL query.
@@ -17,6 +17,14 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_branch_bound(spark: SparkSession, folder: str) -> DataFrame:
+    return branch_bound.top_inner_products(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op2_cube_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return cube_mix.mix_sources(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_config_packing(spark: SparkSession, folder: str) -> DataFrame:
     return config_packing.pack_documents(_table(spark, folder, "documents"))
 
@@ -50,7 +58,9 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {f.__name__: f for f in (op4_config_packing, op5_wavelet, op6_url_rules, op7_secret_ledger, op8_toxicity, op9_prefix_counts, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op1_branch_bound, op2_cube_mix, op4_config_packing, op5_wavelet, op6_url_rules, op7_secret_ledger, op8_toxicity, op9_prefix_counts, op10_exact_dedup,
+)}
 
 ORACLES = {
     "op6_url_rules": """
