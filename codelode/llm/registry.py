@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelode.llm import branch_bound, config_packing, cube_mix, exact_dedup, prefix_counts, secret_ledger, toxicity, url_rules, wavelet
+from codelode.llm import branch_bound, config_packing, cube_mix, exact_dedup, prefix_counts, secret_ledger, set_skipping, toxicity, url_rules, wavelet
 from codelode.sources.shared import shared_folder
 
 # Rules of the URL query.
@@ -25,6 +25,10 @@ def op2_cube_mix(spark: SparkSession, folder: str) -> DataFrame:
     return cube_mix.mix_sources(_table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_set_skipping(spark: SparkSession, folder: str) -> DataFrame:
+    return set_skipping.near_duplicates(_table(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_config_packing(spark: SparkSession, folder: str) -> DataFrame:
     return config_packing.pack_documents(_table(spark, folder, "documents"))
 
@@ -59,7 +63,7 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_branch_bound, op2_cube_mix, op4_config_packing, op5_wavelet, op6_url_rules, op7_secret_ledger, op8_toxicity, op9_prefix_counts, op10_exact_dedup,
+    op1_branch_bound, op2_cube_mix, op3_set_skipping, op4_config_packing, op5_wavelet, op6_url_rules, op7_secret_ledger, op8_toxicity, op9_prefix_counts, op10_exact_dedup,
 )}
 
 ORACLES = {
