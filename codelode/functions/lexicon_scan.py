@@ -8,7 +8,9 @@ fixed texts of all patterns. Patterns with real syntax run only where their fixe
 import re
 import sys
 from collections import Counter
+from collections.abc import Iterator
 
+import ahocorasick
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F, types as T
@@ -33,10 +35,6 @@ def _overlaps_itself(word: str) -> bool:
 
 def word_finder(words):
     """A function from a text to the counts of the words in it."""
-    try:
-        import ahocorasick
-    except ImportError:
-        return lambda body: {w: n for w in words if (n := body.count(w))}
     automaton = ahocorasick.Automaton()
     for word in words:
         automaton.add_word(word, word)
@@ -80,8 +78,8 @@ def lexicon_scan(patterns):
     plain = {p: word for p in patterns if (word := literal_text(p)) is not None}
     syntax = {p: required_texts(p) for p in patterns if p not in plain}
 
-    def scan(texts: pd.Series) -> pd.Series:
-        counts = pattern_finder(plain, syntax)
+    def scan(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        counts = pattern_finder(plain, syntax)  # once for a task
 
         def one(body):
             if body is None:
@@ -93,6 +91,7 @@ def lexicon_scan(patterns):
                 {"pattern": p, "n": found.get(p, 0), "any_case": p in also} for p in sorted(found.keys() | also.keys())
             ]
 
-        return pd.Series([one(t) for t in texts], dtype=object)
+        for texts in batches:
+            yield pd.Series([one(t) for t in texts], dtype=object)
 
     return F.pandas_udf(scan, FOUND)

@@ -28,13 +28,14 @@ def _opens_with_text(node) -> bool:
 
 
 def module_structure(source: str):
-    """Structure counts of one module; None if it does not parse.
+    """Structure counts of one module; None if it does not parse, be it for its syntax or for nesting beyond the parser.
 
+    A worker that runs out of memory fails: that is no property of the text.
     A branch counts once for every function around it, hence the depth carried with each node.
     """
     try:
         tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
+    except (SyntaxError, ValueError, RecursionError):
         return None
     lengths, imports, classes, branches, documented = [], [], 0, 0, False
     pending = deque([(tree, 0)])

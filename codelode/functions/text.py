@@ -9,15 +9,28 @@ WORD = r"\p{L}\p{N}_"
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 _CLASSES = {
     r"\w": f"[{WORD}]",
+    r"\W": f"[^{WORD}]",
     r"\s": f"[{SPACE}]",
     r"\S": f"[^{SPACE}]",
+    r"\d": r"\p{Nd}",
+    r"\D": r"\P{Nd}",
     r"\b": f"(?:(?<=[{WORD}])(?![{WORD}])|(?<![{WORD}])(?=[{WORD}]))",
+    r"\B": f"(?:(?<=[{WORD}])(?=[{WORD}])|(?<![{WORD}])(?![{WORD}]))",
 }
 
 
 def java_regex(pattern: str, flags: str = "d") -> str:
     """A pattern with Unicode words and spaces, and only ``\\n`` ending a line, in Java's syntax."""
-    body = re.sub(r"\\(?:[wsSb]|.)", lambda m: _CLASSES.get(m[0], m[0]), pattern, flags=re.S)
+    names: dict[str, str] = {}
+
+    def translated(m):
+        if m[1]:  # Java's group names have letters and digits only
+            return f"(?<{names.setdefault(m[1], f'g{len(names)}')}>"
+        if m[2]:
+            return rf"\k<{names.get(m[2], m[2])}>"
+        return _CLASSES.get(m[0], m[0])
+
+    body = re.sub(r"\(\?P<(\w+)>|\(\?P=(\w+)\)|\\.", translated, pattern, flags=re.S)
     return f"(?{flags}){body}"
 
 

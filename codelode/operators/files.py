@@ -43,14 +43,8 @@ def file_language_wide(files: DataFrame) -> DataFrame:
 
 
 def is_comment_line(line: Column, language: Column) -> Column:
-    """Does a stripped line begin like a comment of its language?"""
-    verdict = F.lit(False)
-    for languages, prefixes in lx.COMMENT_PREFIXES.items():
-        begins = line.startswith(prefixes[0])
-        for p in prefixes[1:]:
-            begins = begins | line.startswith(p)
-        verdict = F.when(language.isin(*languages), begins).otherwise(verdict)
-    return verdict
+    """Does a line begin like a comment of its language?"""
+    return _comment_lines(line, language) > 0
 
 
 def _comment_lines(content: Column, language: Column) -> Column:

@@ -4,8 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codelode import lexicons as lx
 from codelode.functions import formats, text
-from codelode.operators.ranking import top_k
-from codelode.sources.shared import write_shared
+from codelode.operators.ranking import spread_join, top_k
 
 
 def commit_summary(commits: DataFrame, repos: DataFrame) -> DataFrame:
@@ -61,7 +60,7 @@ def contributor_report(commits: DataFrame) -> DataFrame:
 
 def _within(commits: DataFrame, before: DataFrame) -> DataFrame:
     """Commits newer than a per-repository walk position; all where there is none."""
-    return commits.join(before, "repo_id", "left").filter(
+    return spread_join(commits, before, "repo_id", ["sha"], "left").filter(
         F.col("__stop").isNull() | (F.col("walk_pos") < F.col("__stop"))
     ).drop("__stop")
 
@@ -82,14 +81,15 @@ def commits_since(
         recent = recent.filter(F.col("committed_date") >= since_date)
     if since_sha is not None:
         named = commits.filter(F.col("sha").startswith(since_sha))
-        recent = recent.join(
-            named.groupBy("repo_id").agg(F.min("walk_pos").alias("__at")), "repo_id"
-        ).filter(F.col("walk_pos") < F.col("__at")).drop("__at")
+        at = named.groupBy("repo_id").agg(F.min("walk_pos").alias("__at"))
+        recent = spread_join(recent, at, "repo_id", ["sha"]).filter(F.col("walk_pos") < F.col("__at")).drop("__at")
     return recent
 
 
 def _file_stats(commit_files: DataFrame) -> DataFrame:
-    per_path = commit_files.groupBy("repo_id", "sha", "path").agg(
+    # dealt out once, by commit: both groupings and the join with commits then need no further shuffle
+    changed = commit_files.select("repo_id", "sha", "path", "insertions", "deletions").repartition("repo_id", "sha")
+    per_path = changed.groupBy("repo_id", "sha", "path").agg(
         F.sum("insertions").cast("bigint").alias("insertions"), F.sum("deletions").cast("bigint").alias("deletions")
     )
     return per_path.groupBy("repo_id", "sha").agg(
@@ -151,11 +151,7 @@ def commit_batches(commits: DataFrame, size: int = 25) -> DataFrame:
     batch = (F.floor((F.col("walk_pos") - 1) / size) + 1).cast("bigint")
     last = commits.groupBy("repo_id").agg(F.max("walk_pos").alias("last"))
     total = (F.floor((F.col("last") - 1) / size) + 1).cast("bigint")
-    return commits.join(last, "repo_id").withColumns({"batch_num": batch, "total_batches": total}).drop("last")
-
-
-# two short keys per row: some 20 MB in each executor at most
-BROADCAST_ROWS = 200_000
+    return spread_join(commits, last, "repo_id", ["sha"]).withColumns({"batch_num": batch, "total_batches": total}).drop("last")
 
 
 def commits_with_diffs(
@@ -164,20 +160,16 @@ def commits_with_diffs(
 ) -> DataFrame:
     """Recent commits with the first files of each and their shortened diffs.
 
-    The recent commits are written first. If they are few, they are broadcast and files of other
-    commits go before any diff is read further; if not, files are cut to ``max_files`` per commit
-    before the shuffle, whose partitioning the join reuses.
+    Diffs are shortened in the scan; which join keeps the files of recent commits is the planner's choice.
     """
-    recent = write_shared(commits_since(commits, as_of, days, count), "recent-commits")
+    recent = commits_since(commits, as_of, days, count)
     keys = ["repo_id", "sha"]
-    wanted = commit_files
-    if recent.count() <= BROADCAST_ROWS:
-        wanted = commit_files.join(F.broadcast(recent.select(*keys)), keys, "left_semi")
     order = [F.col(c) for c in ("file_pos", "path", "change_type", "insertions", "deletions")]
-    cut = wanted.select(
+    cut = commit_files.select(
         *keys, "file_pos", "path", "change_type", "insertions", "deletions",
         formats.truncate_diff(F.col("diff"), max_lines).alias("diff"),
     )
+    cut = cut.join(recent.select(*keys), keys, "left_semi")
     first = top_k(cut, keys, order, max_files, "file_no").select(*keys, "file_no", "path", "change_type", "diff")
     return recent.join(first, keys, "left").select(
         *keys, "walk_pos", text.strip(F.col("message")).alias("message"), "author_name", "author_email",

@@ -15,6 +15,17 @@ def top_k(df: DataFrame, keys: list, order: list[Column], k: int, position: str)
     return df.withColumn(position, F.row_number().over(window)).filter(F.col(position) <= F.lit(k))
 
 
+def spread_join(rows: DataFrame, per_key: DataFrame, key: str, by: list[str], how: str = "inner", spread: int = 32) -> DataFrame:
+    """Join rows with a table of one row per key, where one key may hold a large share of the rows.
+
+    The small rows are repeated ``spread`` times and the large side is dealt over (key, hash of ``by``), so no task gets
+    all rows of a key whichever join the planner picks.
+    """
+    slot = "__slot"
+    copies = per_key.withColumn(slot, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(spread - 1).cast("bigint"))))
+    return rows.withColumn(slot, F.pmod(F.xxhash64(*by), F.lit(spread))).join(copies, [key, slot], how).drop(slot)
+
+
 def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
     """Running sum of ``value`` per key in ``order`` (a total order), current row included.
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from codelode import lexicons as lx
 from codelode.functions import paths, text
-from codelode.operators.ranking import top_k
+from codelode.operators.ranking import spread_join, top_k
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -201,7 +201,7 @@ def api_endpoints(endpoints: DataFrame, frameworks: DataFrame, k: int = 50) -> D
         .groupBy("repo_id")
         .agg(F.collect_set(gate[F.col("framework")]).alias("active"))
     )
-    gated = endpoints.join(active, "repo_id", "left").filter(
+    gated = spread_join(endpoints, active, "repo_id", ["path", "route"], "left").filter(
         F.col("active").isNull() | F.array_contains("active", F.col("family"))
     )
     order = F.struct("suffix_pos", paths.parts(F.col("path")).alias("parts"), "family_pos", "match_pos", "path")

@@ -65,6 +65,8 @@ def is_fork(repos: DataFrame) -> DataFrame:
 
 
 def _readmes(files: DataFrame) -> DataFrame:
+    if "is_text" in files.columns:  # one that does not decode falls to the next name
+        files = files.filter("is_text")
     rank = F.array_position(F.array(*map(F.lit, lx.README_NAMES)), F.col("path"))
     return files.filter(F.col("path").isin(lx.README_NAMES)).select("repo_id", rank.alias("rank"), "content")
 

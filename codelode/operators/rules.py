@@ -106,10 +106,10 @@ def rule_totals(hits: DataFrame, kind: str, lexicons=HIGHLIGHT_LEXICONS) -> Data
     return pattern_totals(hits).join(F.broadcast(rules), "pattern")
 
 
-def detect_features(hits: DataFrame, min_hits: int = 3, k: int = 10) -> DataFrame:
-    """Features with enough matches, best first."""
+def detect_features(hits: DataFrame, min_hits: int = 3, k: int = 10, lexicons=HIGHLIGHT_LEXICONS) -> DataFrame:
+    """Features with enough matches, best first; one without a title of its own is titled by its name."""
     scored = (
-        rule_totals(hits, "feature")
+        rule_totals(hits, "feature", lexicons)
         .groupBy("repo_id", F.col("rule_pos"), F.col("rule").alias("feature"))
         .agg(F.sum("hits").alias("hits"))
         .filter(F.col("hits") >= min_hits)
@@ -117,12 +117,12 @@ def detect_features(hits: DataFrame, min_hits: int = 3, k: int = 10) -> DataFram
     )
     titles = F.create_map(*[F.lit(x) for key, info in lx.FEATURE_INFO.items() for x in (key, info[0])])
     ranked = top_k(scored, ["repo_id"], [F.desc("confidence"), F.col("rule_pos")], k, "position")
-    return ranked.select("repo_id", "position", "feature", titles[F.col("feature")].alias("title"), "hits", "confidence")
+    return ranked.select("repo_id", "position", "feature", F.coalesce(titles[F.col("feature")], F.col("feature")).alias("title"), "hits", "confidence")
 
 
-def feature_evidence(hits: DataFrame, features: DataFrame, k: int = 5) -> DataFrame:
+def feature_evidence(hits: DataFrame, features: DataFrame, k: int = 5, lexicons=HIGHLIGHT_LEXICONS) -> DataFrame:
     """First evidence files of each detected feature: by pattern, then file order, no file twice."""
-    rules = rule_rows(hits.sparkSession, {"feature": lx.FEATURES}).select(
+    rules = rule_rows(hits.sparkSession, {"feature": lexicons["feature"]}).select(
         F.col("rule").alias("feature"), "pattern", "pattern_pos"
     )
     counted = pattern_totals(hits).select("repo_id", "pattern")
@@ -137,10 +137,10 @@ def feature_evidence(hits: DataFrame, features: DataFrame, k: int = 5) -> DataFr
     return top_k(candidates, ["repo_id", "feature"], [F.col("first")], k, "position").drop("first")
 
 
-def detect_integrations(hits: DataFrame) -> DataFrame:
+def detect_integrations(hits: DataFrame, lexicons=HIGHLIGHT_LEXICONS) -> DataFrame:
     """Vendors with a corpus match; the first matching pattern names the evidence."""
     return (
-        rule_totals(hits, "integration")
+        rule_totals(hits, "integration", lexicons)
         .groupBy("repo_id", "rule_pos", F.col("rule").alias("integration"))
         .agg(F.min(F.struct("pattern_pos", "pattern")).alias("first"))
         .select("repo_id", "rule_pos", "integration", F.col("first.pattern").alias("pattern"),
@@ -156,13 +156,13 @@ def integration_evidence(hits: DataFrame, integrations: DataFrame, k: int = 3) -
     )
 
 
-def scale_indicators(hits: DataFrame) -> DataFrame:
-    return rule_totals(hits, "scale").select("repo_id", "rule_pos", F.col("rule").alias("indicator")).distinct()
+def scale_indicators(hits: DataFrame, lexicons=HIGHLIGHT_LEXICONS) -> DataFrame:
+    return rule_totals(hits, "scale", lexicons).select("repo_id", "rule_pos", F.col("rule").alias("indicator")).distinct()
 
 
-def detect_domain(hits: DataFrame, repos: DataFrame, min_hits: int = 5) -> DataFrame:
+def detect_domain(hits: DataFrame, repos: DataFrame, min_hits: int = 5, lexicons=HIGHLIGHT_LEXICONS) -> DataFrame:
     """Domain with most matches (first listed on a tie), '' where none has enough."""
-    scores = rule_totals(hits, "domain").groupBy("repo_id", "rule_pos", "rule").agg(F.sum("hits").alias("hits"))
+    scores = rule_totals(hits, "domain", lexicons).groupBy("repo_id", "rule_pos", "rule").agg(F.sum("hits").alias("hits"))
     best = scores.groupBy("repo_id").agg(
         F.max(F.struct("hits", (-F.col("rule_pos")).alias("first"), "rule")).alias("best")
     )

@@ -2,7 +2,8 @@
 
 import re
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.errors import SparkRuntimeException
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codelode import lexicons as lx
 from codelode.functions import paths, text
@@ -24,8 +25,12 @@ def read_file(files: DataFrame, requests: DataFrame, max_lines: int = 500) -> Da
         total.alias("total"),
     )
     wanted = requests.select("repo_id", "path").distinct()
+    # what is asked for is looked up first, so that few requests meet the files without a shuffle of their texts
+    found = found.join(wanted, ["repo_id", "path"])
+    asked = wanted.select("repo_id").distinct()
     folders = (
-        files.select("repo_id", F.explode(paths.ancestors(F.col("path"))).alias("path"))
+        files.select("repo_id", "path").join(asked, "repo_id", "left_semi")
+        .select("repo_id", F.explode(paths.ancestors(F.col("path"))).alias("path"))
         .join(wanted, ["repo_id", "path"], "left_semi")
         .distinct()
         .withColumn("is_folder", F.lit(True))
@@ -46,20 +51,30 @@ def read_file(files: DataFrame, requests: DataFrame, max_lines: int = 500) -> Da
     )
 
 
+def _valid(spark: SparkSession, pattern: str, regex: str) -> bool:
+    """Whether the pattern is one for Python, and its translation one for the engine that runs it."""
+    try:
+        re.compile(pattern)
+        spark.range(1).select(F.lit("").rlike(regex)).collect()
+    except (re.error, SparkRuntimeException):
+        return False
+    return True
+
+
 def search_code(files: DataFrame, pattern: str, max_results: int = 50) -> DataFrame:
     """Lines that match a pattern without regard to case, the first ones per repository.
 
     Lines are filtered inside their file's row, so only matching lines become rows.
     """
-    try:
-        re.compile(pattern)
-    except re.error:
+    regex = text.java_regex(pattern, "diu")
+    if not _valid(files.sparkSession, pattern, regex):
         return files.sparkSession.range(1).select(
             F.lit(None).cast("int").alias("repo_id"), F.lit(None).cast("string").alias("path"),
             F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("content"),
             F.lit(f"Invalid regex pattern: {pattern}").alias("error"),
         )
-    regex = text.java_regex(pattern, "diu")
+    if "is_text" in files.columns:
+        files = files.filter("is_text")
     searched = exclude_paths(files, lx.SEARCH_SKIP).filter(~paths.suffix(F.col("path")).isin(lx.BINARY_SUFFIXES))
     numbered = F.transform(
         text.lines(F.col("content")), lambda line, i: F.struct((i + 1).alias("line"), line.alias("content"))

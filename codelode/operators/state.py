@@ -53,7 +53,7 @@ def saved_names(profiles: DataFrame, existing: DataFrame, date: str) -> DataFram
     """
     named = profiles.withColumn("base", F.concat("repo_name", F.lit(f"_{date}")))
     bases = named.select("base").distinct()
-    suffixed = r"(?s)^(.*)-([1-9]\d{0,8})\z"
+    suffixed = r"(?s)^(.*)-([1-9]\d{0,17})\z"
     taken = (
         existing.select(F.col("name").alias("base"), F.lit(0).cast("bigint").alias("slot"))
         .union(

@@ -31,6 +31,15 @@ def file_facts(files: DataFrame) -> DataFrame:
     return fl.with_source_metrics(extras)
 
 
+def framework_facts(facts: DataFrame) -> DataFrame:
+    return rules.framework_rows(facts.filter(F.col("frameworks").isNotNull()))
+
+
+def endpoint_facts(facts: DataFrame) -> DataFrame:
+    suffix_pos = F.array_position(F.array(*map(F.lit, lx.ENDPOINT_SUFFIXES)), paths.suffix(F.col("path"))).cast("int")
+    return facts.filter(F.size("endpoints") > 0).select("repo_id", suffix_pos.alias("suffix_pos"), "path", F.inline("endpoints"))
+
+
 def analyze(files: DataFrame, repos: DataFrame, facts: DataFrame | None = None) -> DataFrame:
     """One row per repository with all sections of the analysis.
 
@@ -41,11 +50,7 @@ def analyze(files: DataFrame, repos: DataFrame, facts: DataFrame | None = None)
     paths_only = files.select("repo_id", "path")
     metrics = facts.filter("is_source")
     imports = fl.file_imports(metrics)
-    frameworks = rules.framework_rows(facts.filter(F.col("frameworks").isNotNull()))
-    suffix_pos = F.array_position(F.array(*map(F.lit, lx.ENDPOINT_SUFFIXES)), paths.suffix(F.col("path"))).cast("int")
-    endpoints = facts.filter(F.size("endpoints") > 0).select(
-        "repo_id", suffix_pos.alias("suffix_pos"), "path", F.inline("endpoints")
-    )
+    frameworks, endpoints = framework_facts(facts), endpoint_facts(facts)
 
     def listed(df, order, value, name):
         pairs = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v"))))

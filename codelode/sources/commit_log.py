@@ -13,9 +13,12 @@ COMMIT_FILE_SCHEMA = (
 )
 
 
-def read_commit_log(spark: SparkSession, path: str, ordered: bool = True) -> DataFrame:
-    """Commits of a log. Where the log has no walk positions, newest first by date, then sha."""
-    log = spark.read.schema(COMMIT_SCHEMA).json(path)
+def read_commit_log(spark: SparkSession, path: str, ordered: bool = False, mode: str = "FAILFAST") -> DataFrame:
+    """Commits of a log, numbered newest first by date, then sha; ``ordered`` says that the log has walk positions itself.
+
+    A line that cannot be read fails the job; another ``mode`` of the JSON source is the caller's choice.
+    """
+    log = spark.read.schema(COMMIT_SCHEMA).option("mode", mode).json(path)
     return log if ordered else number_commits(log)
 
 
@@ -26,5 +29,5 @@ def number_commits(log: DataFrame) -> DataFrame:
     return numbered.withColumn("walk_pos", F.col("walk_pos").cast("int"))
 
 
-def read_commit_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(COMMIT_FILE_SCHEMA).json(path)
+def read_commit_files(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
+    return spark.read.schema(COMMIT_FILE_SCHEMA).option("mode", mode).json(path)

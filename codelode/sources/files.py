@@ -1,26 +1,82 @@
 """File tables from directory trees of checked-out repositories."""
 
+import sys
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+# workers get this module's functions by value, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+LISTED = "repo_id string, path string, size long, at string"
+READ = "repo_id string, path string, size long, content binary"
+BATCH_BYTES = 8 << 20
+
+
+def _open(root: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """Every regular file below ``root/<repository>/``: (repo_id, path, size, at), names of any form included.
+
+    Spark's file sources skip names that begin with ``.`` or ``_``, which repositories are full of, so the tree is listed
+    with Arrow's file systems (local, HDFS, S3, GCS). The driver lists the repositories' names; tasks list what is in them.
+    """
+    files, base = _open(root.rstrip("/"))
+    names = [(i.base_name,) for i in files.get_file_info(fs.FileSelector(base)) if i.type == fs.FileType.Directory]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, base = _open(root.rstrip("/"))
+        for batch in batches:
+            for repo in batch.column(0).to_pylist():
+                below = f"{base.rstrip('/')}/{repo}"
+                found = [i for i in files.get_file_info(fs.FileSelector(below, recursive=True)) if i.type == fs.FileType.File]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array([repo] * len(found), pa.string()), pa.array([i.path[len(below) + 1 :] for i in found], pa.string()),
+                    pa.array([i.size for i in found], pa.int64()), pa.array([i.path for i in found], pa.string()),
+                ], names=["repo_id", "path", "size", "at"])
+
+    return spark.createDataFrame(names, "repo_id string").repartition("repo_id").mapInArrow(walk, LISTED)
+
 
 def read_files(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
-    """Every regular file below ``root/<repository>/``: (repo, path, size, is_text, content).
+    """Every regular file below ``root/<repository>/``: (repo_id, path, size, is_text, content).
 
-    Bytes that are no UTF-8 are dropped from the text. ``max_bytes`` is a filter on file length that
-    the source applies before it opens a file.
+    Files are dealt out by a hash of their path before they are read, so a large repository is read by many tasks. Bytes
+    that are no UTF-8 are dropped from the text. ``max_bytes`` rules files out before they are opened. Operators
+    that need only paths can take ``list_files``.
     """
-    base = root.rstrip("/")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    listed = list_files(spark, root)
     if max_bytes is not None:
-        listed = listed.filter(F.col("length") <= max_bytes)
-    relative = F.regexp_extract("path", rf"^(?:[a-z]+:/*)?/?\Q{base.lstrip('/')}\E/(.*)\z", 1)
-    raw = F.col("content").cast("binary")
-    return listed.select(
-        F.substring_index(relative, "/", 1).alias("repo"),
-        F.regexp_replace(relative, "^[^/]*/", "").alias("path"),
-        F.col("length").alias("size"),
-        F.is_valid_utf8(raw.cast("string")).alias("is_text"),
-        valid_text(raw).alias("content"),
+        listed = listed.filter(F.col("size") <= max_bytes)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = _open(root.rstrip("/"))
+        rows, held = [], 0
+
+        def made():
+            columns = list(zip(*rows)) or [()] * 4
+            types = (pa.string(), pa.string(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["repo_id", "path", "size", "content"])
+
+        for batch in batches:
+            for repo, path, size, at in zip(*(c.to_pylist() for c in batch.columns)):
+                with files.open_input_stream(at) as stream:
+                    rows.append((repo, path, size, stream.read()))
+                held += size
+                if held > BATCH_BYTES:
+                    yield made()
+                    rows, held = [], 0
+        if rows:
+            yield made()
+
+    raw = listed.repartition("repo_id", "path").mapInArrow(read, READ)
+    return raw.select(
+        "repo_id", "path", "size", F.is_valid_utf8(F.col("content").cast("string")).alias("is_text"), valid_text(F.col("content")).alias("content")
     )
 
 

@@ -1,49 +1,70 @@
 """Commit feeds as streams."""
 
+import hashlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 FEED_SCHEMA = (
     "repo_id int, sha string, author_email string, author_name string, committed_date timestamp_ntz, message string, "
     "walk_pos int, ingest_ts timestamp"
 )
+DELTA_SCHEMA = (
+    "repo_id int, email string, commits long, first_commit timestamp_ntz, last_commit timestamp_ntz, "
+    "newest struct<committed_date:timestamp_ntz,sha:string,author_name:string>"
+)
+PARTS = ", stream string, batch long"
 
 
-def read_feed(spark: SparkSession, folder: str, files_per_batch: int = 100) -> DataFrame:
-    """Commits from JSON files as they arrive in a folder."""
-    return spark.readStream.schema(FEED_SCHEMA).option("maxFilesPerTrigger", files_per_batch).json(folder)
-
+def read_feed(spark: SparkSession, folder: str, files_per_batch: int = 100, mode: str = "FAILFAST") -> DataFrame:
+    """Commits from JSON files as they arrive in a folder; a line that cannot be read fails the batch, unless ``mode`` says else."""
+    return spark.readStream.schema(FEED_SCHEMA).option("mode", mode).option("maxFilesPerTrigger", files_per_batch).json(folder)
 
-def distinct_commits(feed: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Each commit once. State is bounded by ingest time: commits may arrive with old commit dates."""
-    return feed.withWatermark("ingest_ts", delay).dropDuplicatesWithinWatermark(["repo_id", "sha"])
 
+def contributor_deltas(commits: DataFrame) -> DataFrame:
+    """Statistics per contributor of some commits; those of disjoint sets of commits add up (``contributor_counts``).
 
-def contributor_counts(commits: DataFrame) -> DataFrame:
-    """Running statistics per contributor over distinct commits."""
+    The newest commit is the latest by date and sha: positions in a log count from the day of its export.
+    """
     return commits.groupBy("repo_id", F.col("author_email").alias("email")).agg(
-        F.min_by("author_name", "walk_pos").alias("name"),
-        F.count("*").alias("commits"),
-        F.min("committed_date").alias("first_commit"),
-        F.max("committed_date").alias("last_commit"),
-        F.min("walk_pos").cast("bigint").alias("newest_pos"),
+        F.count("*").alias("commits"), F.min("committed_date").alias("first_commit"), F.max("committed_date").alias("last_commit"),
+        F.max(F.struct("committed_date", "sha", "author_name")).alias("newest"),
     )
 
 
-def _batch_folder(folder: str, batch_id: int) -> str:
-    return f"{folder.rstrip('/')}/batch={batch_id}"
+def contributor_counts(deltas: DataFrame) -> DataFrame:
+    return deltas.groupBy("repo_id", "email").agg(
+        F.sum("commits").alias("commits"), F.min("first_commit").alias("first_commit"), F.max("last_commit").alias("last_commit"),
+        F.max("newest").alias("newest"),
+    ).select(
+        "repo_id", "email", F.col("newest.author_name").alias("name"), "commits", "first_commit", "last_commit",
+        F.col("newest.sha").alias("newest_sha"),
+    )
 
 
-def stream_commits(spark: SparkSession, feed_folder: str, target: str, checkpoint: str, delay: str = "7 days"):
-    """Append every new commit once to a Parquet table, one folder per batch; returns the started query.
+def stream_commits(spark: SparkSession, feed_folder: str, target: str, checkpoint: str):
+    """Append every commit that is not stored yet to a Parquet table, and its contributors' statistics; returns the started query.
 
-    A batch that runs again after a failure overwrites its own folder, so a restart adds nothing twice.
+    Nothing is dropped by time: a commit counts as stored only if it is, however late it comes. A batch has folders of its own,
+    named by its stream (the checkpoint) and number, so one that runs again after a failure replaces only what it wrote, and
+    another stream into the same target leaves them alone. Of the versions of a commit the first to arrive stays whole.
+    Streams into one target run one after the other. Contributor statistics are kept as sums per batch.
     """
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_folder(target, batch_id))
+        session, own = batch.sparkSession, f"stream={stream}/batch={batch_id}"
+        rest = [c for c in batch.columns if c not in ("repo_id", "sha", "ingest_ts")]
+        first = batch.groupBy("repo_id", "sha").agg(F.min(F.struct("ingest_ts", *rest)).alias("c"))
+        others = _stored(session, f"{target}/commits", FEED_SCHEMA + PARTS).filter(~((F.col("stream") == stream) & (F.col("batch") == batch_id)))
+        fresh = first.join(others.select("repo_id", "sha"), ["repo_id", "sha"], "left_anti")
+        fresh = fresh.select(*[c if c in ("repo_id", "sha") else F.col(f"c.{c}") for c in batch.columns])
+        fresh.write.mode("overwrite").parquet(f"{target}/commits/{own}")
+        written = session.read.schema(FEED_SCHEMA).parquet(f"{target}/commits/{own}")
+        contributor_deltas(written).write.mode("overwrite").parquet(f"{target}/contributors/{own}")
 
     return (
-        distinct_commits(read_feed(spark, feed_folder), delay)
+        read_feed(spark, feed_folder)
         .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -51,13 +72,19 @@ def stream_commits(spark: SparkSession, feed_folder: str, target: str, checkpoin
     )
 
 
+def _stored(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def stored_commits(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.schema(FEED_SCHEMA).parquet(target)
+    return _stored(spark, f"{target}/commits", FEED_SCHEMA + PARTS).drop("stream", "batch")
 
 
 def contributor_table(spark: SparkSession, target: str) -> DataFrame:
-    """Contributor statistics of the stored feed; late duplicates beyond the watermark count once."""
-    once = stored_commits(spark, target).groupBy("repo_id", "sha").agg(
-        *[F.min(c).alias(c) for c in ("author_email", "author_name", "committed_date", "walk_pos")]
-    )
-    return contributor_counts(once)
+    """Contributor statistics of all that is stored, from the sums of the batches, not from the commits."""
+    return contributor_counts(_stored(spark, f"{target}/contributors", DELTA_SCHEMA + PARTS))

@@ -521,7 +521,10 @@ SELECT path, CASE WHEN repo_id % 2 = 0 THEN 'stale' ELSE hash END AS hash FROM r
 SELECT t.path, CASE WHEN reason IS NULL THEN 'sync' ELSE 'skipped' END AS status, reason FROM (SELECT t.path, CASE WHEN r.repo_id IS NULL THEN 'not_found'
   WHEN last_sync IS NOT NULL AND NOT EXISTS (SELECT 1 FROM fx_commits c WHERE c.repo_id = r.repo_id AND c.committed_date > t.last_sync) THEN 'unchanged' END AS reason FROM fx_tracked t LEFT JOIN fx_repos r USING (path)) t"""),
     "sync_summary": (["sync_plan"], "SELECT status, reason, count(*) AS n FROM sync_plan GROUP BY ALL"),
-    "streamed_contributors": (["contributor_stats"], "SELECT * FROM contributor_stats"),
+    "streamed_contributors": (["fx_commits"], """
+SELECT repo_id, author_email AS email, max({'d': committed_date, 's': sha, 'n': author_name}).n AS name, count(*) AS commits,
+  min(committed_date) AS first_commit, max(committed_date) AS last_commit, max({'d': committed_date, 's': sha}).s AS newest_sha
+FROM fx_commits GROUP BY repo_id, author_email"""),
 }
 
 

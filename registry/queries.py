@@ -12,7 +12,7 @@ from codelode.operators import (
 from codelode.plans import analysis, highlights as hl, repo_info as ri, reports
 from codelode.sources import sinks
 from codelode.sources.commit_log import number_commits
-from codelode.sources.shared import shared_folder
+from codelode.sources.shared import shared_folder, write_shared
 from codelode.streaming import commits as stream
 from registry.fixtures import Tables
 
@@ -35,12 +35,18 @@ def hits(t: Tables) -> DataFrame:
     return rules.file_rule_hits(t.files)
 
 
+def stored_hits(t: Tables) -> DataFrame:
+    """Written once, for queries that read them in several branches."""
+    return write_shared(hits(t), "rule-hits")
+
+
 def info(t: Tables) -> DataFrame:
     return ri.repo_info(t.files, t.commits, t.repos, instant())
 
 
 def endpoints(t: Tables) -> DataFrame:
-    return rp.api_endpoints(rp.endpoint_rows(t.files), rules.detect_frameworks(t.files))
+    facts = write_shared(analysis.file_facts(t.files).select("repo_id", "path", "frameworks", "endpoints"), "file-facts")
+    return rp.api_endpoints(analysis.endpoint_facts(facts), analysis.framework_facts(facts))
 
 
 def imports(t: Tables) -> DataFrame:
@@ -187,14 +193,17 @@ def repo_roots(t: Tables) -> DataFrame:
 
 
 def streamed_contributors(t: Tables) -> DataFrame:
-    """Feed all commits through the stream, a third of them twice, in two runs over one checkpoint."""
+    """Feed all commits in parts: most, then late duplicates with stale positions, then late firsts by a stream of their own."""
     folder = f"{shared_folder(t.spark)}/feed-{uuid.uuid4().hex}"
-    feed = t.commits.withColumn("ingest_ts", F.lit("2001-08-02 00:00:00").cast("timestamp"))
-    again = feed.filter(F.col("walk_pos") % 3 == 0)
-    target, checkpoint = f"{folder}/out", f"{folder}/checkpoint"
-    for part in (feed, again):
-        part.write.mode("append").json(f"{folder}/in")
-        stream.stream_commits(t.spark, f"{folder}/in", target, checkpoint).awaitTermination()
+    position, target = F.col("walk_pos"), f"{folder}/out"
+    late = position % 5 == 0
+    parts = [
+        ("a", t.commits.filter(~late), "2001-08-20"), ("a", t.commits.filter(position % 3 == 0).withColumn("walk_pos", position + 7), "2001-09-21"),
+        ("a", t.commits.filter(late & (position % 2 == 0)), "2001-08-01"), ("b", t.commits.filter(late), "2001-07-01"),
+    ]
+    for name, part, day in parts:
+        part.withColumn("ingest_ts", F.lit(day).cast("timestamp")).write.mode("append").json(f"{folder}/in-{name}")
+        stream.stream_commits(t.spark, f"{folder}/in-{name}", target, f"{folder}/checkpoint-{name}").awaitTermination()
     return stream.contributor_table(t.spark, target)
 
 
@@ -282,12 +291,12 @@ QUERIES = {
         "repo_id", "path", "part", "position", F.length("content").alias("chars")
     ),
     "features": lambda t: rules.detect_features(hits(t)),
-    "feature_evidence": lambda t: (lambda h: rules.feature_evidence(h, rules.detect_features(h)))(hits(t)),
+    "feature_evidence": lambda t: (lambda h: rules.feature_evidence(h, rules.detect_features(h)))(stored_hits(t)),
     "integrations": lambda t: rules.detect_integrations(hits(t)),
-    "integration_evidence": lambda t: (lambda h: rules.integration_evidence(h, rules.detect_integrations(h)))(hits(t)),
+    "integration_evidence": lambda t: (lambda h: rules.integration_evidence(h, rules.detect_integrations(h)))(stored_hits(t)),
     "scale_indicators": lambda t: rules.scale_indicators(hits(t)),
     "domains": lambda t: rules.detect_domain(hits(t), t.repos),
-    "skills": lambda t: (lambda h: rules.skills(rules.detect_features(h), rules.detect_integrations(h)))(hits(t)),
+    "skills": lambda t: (lambda h: rules.skills(rules.detect_features(h), rules.detect_integrations(h)))(stored_hits(t)),
     # assembly and reports
     "repo_analysis": repo_analysis,
     "repo_info": info_row,

@@ -101,9 +101,9 @@ def test_commit_detail_and_ambiguous_prefix(spark):
     assert stats == {"d0": (2, 6), "abc1": (0, 0), "abc2": (0, 0)}
 
 
-@pytest.mark.parametrize("bound", [0, 200_000])
-def test_diffs_with_and_without_broadcast(spark, commits, monkeypatch, bound):
-    monkeypatch.setattr(history, "BROADCAST_ROWS", bound)
+@pytest.mark.parametrize("threshold", ["-1", "10485760"])
+def test_diffs_with_and_without_broadcast(spark, commits, threshold):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     table = commits([f"message {i}" for i in range(30)])
     long = "\n".join(f"+{i}" for i in range(60))
     changes = [(1, f"{c:040d}", p, f"f{p}", "MADRX"[p % 5], 1, 0, long if p == 1 else "") for c in (0, 29) for p in range(1, 14)]
@@ -145,12 +145,42 @@ def test_read_commit_log(spark, commits, tmp_path):
         assert sorted(map(tuple, back.select(*table.columns).collect())) == sorted(map(tuple, table.collect()))
 
 
-def test_stream_equals_batch_with_duplicates_and_a_restart(spark, commits, tmp_path):
-    table = commits([f"m{i}" for i in range(40)]).withColumn("ingest_ts", F.lit("2024-02-01 00:00:00").cast("timestamp"))
-    feed, out, checkpoint = (str(tmp_path / n) for n in ("feed", "out", "checkpoint"))
-    for part in ("walk_pos % 3 = 0", "walk_pos % 3 <> 1", "true"):
-        table.filter(part).write.mode("append").json(feed)
-        stream.stream_commits(spark, feed, out, checkpoint).awaitTermination()
-    assert stream.stored_commits(spark, out).count() == 40
-    expected = history.contributor_stats(table).select("repo_id", "email", "name", "commits", "first_commit", "last_commit", "newest_pos")
+def test_a_broken_log_line_fails_instead_of_becoming_nulls(spark, tmp_path):
+    (tmp_path / "log.json").write_text('{"repo_id": 1, "sha": "a", "committed_date": "2024-01-01T00:00:00"}\n{broken\n')
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED"):
+        commit_log.read_commit_log(spark, str(tmp_path)).collect()
+    rows = commit_log.read_commit_log(spark, str(tmp_path), mode="DROPMALFORMED").collect()
+    assert [(r.sha, r.walk_pos) for r in rows] == [("a", 1)]
+
+
+def test_stream_loses_nothing(spark, commits, tmp_path):
+    table = commits([f"m{i}" for i in range(40)])
+    out, position = str(tmp_path / "out"), F.col("walk_pos")
+    parts = [  # most; duplicates with stale positions; late firsts far behind; the same again by another stream
+        ("a", table.filter(position % 4 != 0), "2024-02-20"), ("a", table.filter(position % 3 == 0).withColumn("walk_pos", position + 5), "2024-03-21"),
+        ("a", table.filter(position % 8 == 0), "2024-01-01"), ("b", table.filter(position % 2 == 0), "2024-01-01"),
+    ]
+    for name, part, when in parts:
+        feed = str(tmp_path / f"feed-{name}")
+        part.withColumn("ingest_ts", F.lit(when).cast("timestamp")).write.mode("append").json(feed)
+        stream.stream_commits(spark, feed, out, str(tmp_path / f"checkpoint-{name}")).awaitTermination()
+    stored = stream.stored_commits(spark, out)
+    assert stored.count() == 40 and stored.select("repo_id", "sha").distinct().count() == 40
+    expected = stream.contributor_counts(stream.contributor_deltas(table))
     assert sorted(map(tuple, stream.contributor_table(spark, out).collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_a_hot_repository_is_dealt_over_tasks(spark, commits):
+    rows = spark.range(4000).select(
+        F.when(F.col("id") % 10 < 7, 1).otherwise((F.col("id") % 50 + 2).cast("int")).alias("repo_id"), F.col("id").cast("string").alias("sha"),
+        F.expr("timestamp_ntz'2024-01-01' - make_dt_interval(CAST(id AS INT))").alias("committed_date"), (F.col("id") + 1).cast("int").alias("walk_pos"),
+    )
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for plan in (history.commit_batches(rows), history.commits_since(rows, day("2024-02-01"))):
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            joined = [line for line in text.splitlines() if "Join" in line]
+            assert joined and all("__slot" in line for line in joined), text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)

@@ -95,3 +95,18 @@ def test_line_metrics_need_no_shuffle(lake):
 def test_files_are_scanned_once_for_all_facts(lake):
     assert plan(analysis.file_facts(lake["files"])).count("FileScan") == 1
     assert plan(rules.file_rule_hits(lake["files"])).count("FileScan") == 1
+
+
+def test_one_request_leaves_texts_where_they_are(spark, lake):
+    asked = spark.createDataFrame([(1, "src/m1.py")], "repo_id int, path string")
+    text = plan(search.read_file(lake["files"], asked))
+    assert "BroadcastHashJoin" in text
+    for line in text.splitlines():
+        if " Exchange " in line:
+            assert "content" not in line
+
+
+def test_commit_stats_deals_file_rows_once(spark, lake):
+    rows = spark.createDataFrame([], "repo_id int, sha string, file_pos int, path string, insertions int, deletions int")
+    text = plan(history.commit_stats(lake["commits"], rows))
+    assert text.count("hashpartitioning(repo_id") - text.count("ENSURE_REQUIREMENTS") <= 1

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelode import lexicons as lx
-from codelode.operators import files as fl, manifests, repo as rp, repo_docs as docs, search, trees
+from codelode.operators import files as fl, manifests, repo as rp, repo_docs as docs, rules, search, trees
 from codelode.plans import analysis, highlights as hl, repo_info as ri, reports
 
 
@@ -120,6 +120,41 @@ def test_search_code(files):
     assert {r.line for r in search.search_code(files({"a": "q\nw\n"}), "^$").collect()} == {3}
 
 
+@pytest.mark.parametrize(
+    "pattern, line, found",
+    [
+        (r"\Wé?1", "é1 x", False), (r"\Wé?1", "a é1", True), (r"^\d$", "٣", True), (r"^\D$", "٣", False), (r"a\Bb", "ab", True),
+        (r"(?P<my_name>x)(?P=my_name)", "axxb", True), (r"[\W]", "é", False), (r"[\d.]+7", "1.7", True),
+    ],
+)
+def test_search_speaks_pythons_dialect(files, pattern, line, found):
+    rows = search.search_code(files({"a": line}), pattern).collect()
+    assert [r.error for r in rows] == [None] * found
+
+
+def test_search_answers_what_the_engine_cannot_run(files):
+    assert "Invalid" in search.search_code(files({"a": "x"}), r"(?P<n>x)(?(n)y|z)").collect()[0].error
+
+
+def test_undecodable_files_are_passed_over(spark, repos):
+    table = spark.createDataFrame(
+        [(1, "README.md", "bad", False), (1, "README.txt", "plain\n" * 30, True)], "repo_id int, path string, content string, is_text boolean"
+    )
+    assert [r.path for r in search.search_code(table, "a").collect()] == ["README.txt"] * 30
+    assert docs.readme_quality(table, repos()).first().readme_quality == "basic"
+
+
+def test_detectors_take_lexicons_of_the_user(files, repos):
+    own = {**rules.HIGHLIGHT_LEXICONS, "feature": {"zebra": ["zebra"]}, "integration": {"Acme": ["acme"]}, "scale": {"huge": ["zebra"]}, "domain": {"zoo": ["zebra"]}}
+    hits = rules.file_rule_hits(files({"a.py": "zebra " * 9 + "acme"}), own)
+    found = rules.detect_features(hits, lexicons=own)
+    assert [(r.feature, r.title, r.hits) for r in found.collect()] == [("zebra", "zebra", 9)]
+    assert [r.path for r in rules.feature_evidence(hits, found, lexicons=own).collect()] == ["a.py"]
+    assert [r.integration for r in rules.detect_integrations(hits, own).collect()] == ["Acme"]
+    assert [r.indicator for r in rules.scale_indicators(hits, own).collect()] == ["huge"]
+    assert rules.detect_domain(hits, repos(), lexicons=own).first().domain == "zoo"
+
+
 def test_shares_and_primary_language(files):
     table = files({**{f"{i}.py": "" for i in range(3)}, **{f"{i}.js": "" for i in range(3)}, **{f"x{i}.go": "" for i in range(295)}})
     breakdown = rp.language_breakdown_files(fl.file_language_wide(table)).orderBy("position").collect()

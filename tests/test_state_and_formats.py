@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelode.functions import formats
-from codelode.operators import state
+from codelode.operators import repo, repo_docs as docs, state
 from codelode.sources import files as source, sinks
 
 
@@ -156,8 +156,32 @@ def test_read_files(spark, tmp_path):
     (tmp_path / "r1" / "bad.bin").write_bytes(b"a\xff\xfeb")
     (tmp_path / "r2").mkdir()
     (tmp_path / "r2" / "big.txt").write_text("x" * 100)
-    rows = {(r.repo, r.path): r for r in source.read_files(spark, str(tmp_path)).collect()}
+    rows = {(r.repo_id, r.path): r for r in source.read_files(spark, str(tmp_path)).collect()}
     assert rows[("r1", "src/a b+c%20.py")].content == "é\n"
     assert (rows[("r1", "bad.bin")].content, rows[("r1", "bad.bin")].is_text) == ("ab", False)
     small = source.read_files(spark, str(tmp_path), max_bytes=50)
-    assert {r.repo for r in small.collect()} == {"r1"}
+    assert {r.repo_id for r in small.collect()} == {"r1"}
+
+
+HIDDEN = [
+    "__init__.py", "__main__.py", "_priv.py", ".env.example", ".gitlab-ci.yml", ".github/workflows/ci.yml", "__tests__/a.js", "src/a.py",
+]
+
+
+def test_read_files_sees_names_of_any_form(spark, tmp_path):
+    for name in HIDDEN:
+        (tmp_path / "r1" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "r1" / name).write_text("x = 1\n")
+    table = source.read_files(spark, f"file://{tmp_path}")
+    assert sorted(r.path for r in table.collect()) == sorted(HIDDEN)
+    assert sorted(r.path for r in source.list_files(spark, str(tmp_path)).collect()) == sorted(HIDDEN)
+    ids = spark.createDataFrame([("r1",)], "repo_id string")
+    assert docs.repo_has_ci(table, ids).first().has_ci is True
+    assert docs.repo_has_tests(table, ids).first().has_tests is True
+    assert "__main__.py" in {r.path for r in repo.entry_points(table).collect()}
+
+
+def test_saved_names_see_long_suffixes(spark):
+    profiles = spark.createDataFrame([("a", 1), ("a", 2)], "repo_name string, ord long")
+    taken = spark.createDataFrame([("a_d",), ("a_d-1",), ("a_d-12345678901",)], "name string")
+    assert {r.name for r in state.saved_names(profiles, taken, "d").collect()} == {"a_d-2", "a_d-3"}
