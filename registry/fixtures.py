@@ -14,7 +14,7 @@ BASE = "region nation customer supplier part orders lineitem events documents em
 
 CODE_PATH = """concat(CASE CAST(floor(p_partkey / 25) % 9 AS INT) WHEN 0 THEN 'src/' WHEN 1 THEN 'src/components/' WHEN 2 THEN 'tests/' WHEN 3 THEN 'api/routes/' WHEN 4 THEN 'models/'
    WHEN 5 THEN 'node_modules/x/' WHEN 6 THEN 'controllers/' WHEN 7 THEN 'services/core/' ELSE '' END,
-  CASE WHEN p_size % 9 = 0 THEN 'main' WHEN p_size % 9 = 1 THEN concat('test_', CAST(p_partkey AS STRING)) ELSE concat('m', CAST(p_partkey AS STRING)) END,
+  CASE WHEN p_size % 9 = 0 THEN concat(CASE WHEN p_partkey < 225 THEN '' ELSE concat('d', CAST(CAST(floor(p_partkey / 225) AS INT) AS STRING), '/') END, 'main') WHEN p_size % 9 = 1 THEN concat('test_', CAST(p_partkey AS STRING)) ELSE concat('m', CAST(p_partkey AS STRING)) END,
   CASE CAST(p_size % 11 AS INT) WHEN 0 THEN '.py' WHEN 1 THEN '.js' WHEN 2 THEN '.ts' WHEN 3 THEN '.go' WHEN 4 THEN '.rs' WHEN 5 THEN '.rb' WHEN 6 THEN '.java'
    WHEN 7 THEN '.tsx' WHEN 8 THEN '.py' WHEN 9 THEN '.kt' ELSE '.md' END)"""
 
@@ -89,8 +89,7 @@ UNION ALL SELECT repo_id, CASE CAST(repo_id % 3 AS INT) WHEN 0 THEN 'src/app.py'
 UNION ALL SELECT repo_id, 'web/app.test.ts' AS path, concat('import { test } from "vitest"', chr(10), 'import fp from "lodash/fp"', chr(10), 'describe("', label, '", () => { it("works") })', chr(10)) AS content FROM fx_seed WHERE repo_id % 6 = 2
 UNION ALL SELECT repo_id, 'domain/core/.keep/setup.cfg' AS path, label AS content FROM fx_seed WHERE repo_id % 9 = 4"""),
     "fx_files": (["fx_files_code", "fx_files_docs", "fx_files_root"], """
-SELECT repo_id, path, max(content) AS content FROM (
-  SELECT * FROM fx_files_code UNION ALL SELECT * FROM fx_files_docs UNION ALL SELECT * FROM fx_files_root) t GROUP BY repo_id, path"""),
+SELECT repo_id, path, content FROM fx_files_code UNION ALL SELECT repo_id, path, content FROM fx_files_docs UNION ALL SELECT repo_id, path, content FROM fx_files_root"""),
     "fx_commit_files": (["lineitem", "part", "fx_commit_rows"], """
 SELECT c.repo_id, c.sha, l.l_linenumber AS file_pos, concat('src/m', CAST(l.l_partkey AS STRING), CASE CAST(p.p_size % 4 AS INT) WHEN 0 THEN '.py' WHEN 1 THEN '.go' WHEN 2 THEN '.ts' ELSE '.txt' END) AS path,
  CASE l.l_returnflag WHEN 'A' THEN 'A' WHEN 'R' THEN 'R' ELSE 'M' END AS change_type,

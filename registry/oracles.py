@@ -99,6 +99,7 @@ SELECT repo_id, path, language, len(ls) AS lines_total, len(list_filter(ls, lamb
   len(list_filter(ls, lambda l: l <> '' AND ({COMMENT}))) AS lines_comment,
   len(list_filter(ls, lambda l: l <> '' AND NOT ({COMMENT}))) AS lines_code
 FROM (SELECT *, list_transform(string_split(content, chr(10)), lambda x: {trim('x')}) AS ls FROM src)"""),
+    "comment_lines": (["line_metrics"], "SELECT repo_id, path, lines_comment FROM line_metrics"),
     "js_metrics": (["src"], f"""
 SELECT repo_id, path, {counts(lx.JS_FUNCTION_PATTERNS)} AS functions, {count(lx.JS_CLASS_PATTERN)} AS classes,
   {counts(lx.JS_BRANCH_PATTERNS)} AS complexity FROM src WHERE {JS}"""),
@@ -324,6 +325,9 @@ SELECT c.repo_id, c.sha[:8] AS sha, c.sha AS full_sha, trim(message) AS message,
 FROM fx_commits c LEFT JOIN commit_paths p ON p.sha = c.sha AND p.repo_id = c.repo_id WHERE c.sha = lpad('42', 40, '0')"""),
     "commits_since": (["fx_commits"], f"""
 SELECT repo_id, sha, walk_pos FROM fx_commits c WHERE NOT EXISTS (SELECT 1 FROM fx_commits o WHERE o.repo_id = c.repo_id AND o.walk_pos <= c.walk_pos AND o.committed_date < {AS_OF} - INTERVAL 365 DAY)"""),
+    "commits_since_sha": (["fx_commits"], f"""
+SELECT repo_id, sha, walk_pos FROM fx_commits c JOIN (SELECT repo_id, min(walk_pos) AS upto FROM fx_commits WHERE starts_with(sha, repeat('0', 37)) GROUP BY repo_id) n USING (repo_id)
+WHERE walk_pos < upto AND NOT EXISTS (SELECT 1 FROM fx_commits o WHERE o.repo_id = c.repo_id AND o.walk_pos <= c.walk_pos AND o.committed_date < {AS_OF} - INTERVAL 3650 DAY)"""),
     "commits_since_date": (["commits_since", "fx_commits"], """
 SELECT repo_id, sha, walk_pos FROM commits_since JOIN fx_commits USING (repo_id, sha, walk_pos) WHERE committed_date >= TIMESTAMP '2001-03-01 00:00:00'"""),
     "numbered_commits": (["fx_commits"], """

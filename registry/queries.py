@@ -207,6 +207,15 @@ def streamed_contributors(t: Tables) -> DataFrame:
     return stream.contributor_table(t.spark, target)
 
 
+def comment_lines(t: Tables) -> DataFrame:
+    """Comment lines per source file, judged line by line."""
+    source = fl.collect_source_files(t.files).join(fl.file_language(t.files), ["repo_id", "path"])
+    lines = F.filter(F.split("content", "\n"), lambda line: fl.is_comment_line(line, F.col("language")))
+    return source.select("repo_id", "path", F.size(lines).alias("lines_comment"))
+
+
+SINCE_SHA = "0" * 37  # commits of a few orders
+
 QUERIES = {
     "repo_code_overview": overview,
     # files
@@ -215,6 +224,7 @@ QUERIES = {
     "file_language": lambda t: fl.file_language(t.files),
     "file_language_wide": lambda t: fl.file_language_wide(t.files),
     "line_metrics": lambda t: fl.line_metrics(t.files),
+    "comment_lines": comment_lines,
     "js_metrics": lambda t: fl.js_metrics(t.files),
     "js_imports": lambda t: fl.js_imports(t.files),
     "go_metrics": lambda t: fl.go_metrics(t.files),
@@ -273,6 +283,9 @@ QUERIES = {
     "commit_stats": lambda t: history.commit_stats(t.commits, t.commit_files),
     "commit_detail": lambda t: history.commit_detail(t.commits, t.commit_files, "42".zfill(40)),
     "commits_since": lambda t: history.commits_since(t.commits, instant()).select("repo_id", "sha", "walk_pos"),
+    "commits_since_sha": lambda t: history.commits_since(
+        t.commits, instant(), days=3650, since_sha=SINCE_SHA
+    ).select("repo_id", "sha", "walk_pos"),
     "commits_since_date": lambda t: history.commits_since(
         t.commits, instant(), since_date=instant("2001-03-01")
     ).select("repo_id", "sha", "walk_pos"),
