@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from codelode import lexicons as lx
 from codelode.operators import files as fl, manifests, repo as rp, repo_docs as docs, rules, search, trees
 from codelode.plans import analysis, highlights as hl, repo_info as ri, reports
 
