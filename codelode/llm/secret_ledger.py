@@ -4,7 +4,7 @@ import hashlib
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from codelode.sources.shared import shared_folder, write_shared
 
@@ -113,4 +113,5 @@ def _read_ledger(spark: SparkSession, ledger: str) -> DataFrame:
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], LEDGER)
+        columns = (F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(LEDGER))
+        return spark.range(0).select(*columns)

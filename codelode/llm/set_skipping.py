@@ -13,6 +13,7 @@ KNOWN = 1 << 16  # frequent shingles that the order puts last
 BUFFER = 1 << 21  # shingles that are counted at a time
 BLOCK = 8192  # sets of one list that a task holds
 SEEN = 1 << 20
+GUESS = 3  # lists that a likely pair shares for each one that its leader leads
 
 
 def _passes(overlap, a, b):
@@ -20,6 +21,16 @@ def _passes(overlap, a, b):
     return 9 * overlap >= 4 * (a + b)
 
 
+def _may_link(shared):
+    """Whether columns n and m allow a link of sets that share ``shared`` prefix shingles.
+
+    Of two prefixes one ends first in the common order; what the sets share up to there is in both prefixes, and behind
+    it that set has all but its prefix left.
+    """
+    behind = F.greatest(F.ceil(F.col("n") * 8 / 10), F.ceil(F.col("m") * 8 / 10)) - 1
+    return _passes(shared + behind, F.col("n"), F.col("m")) & (10 * F.least("n", "m") >= 8 * F.greatest("n", "m"))
+
+
 def _digest(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums that stand for a set in joins."""
     one = mix(s).sum(dtype=np.uint64)
@@ -57,10 +68,10 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(frequent: np.ndarray, rank: np.ndarray):
-    """(key, c, np) of every set's prefix: the shingles that any set similar enough must share one of.
+    """(key, c, n) of every set's prefix: the shingles that any set similar enough must share one of.
 
     The order of shingles: those not known to be frequent by hash, then the frequent ones by ascending count. Any one
-    order of all shingles gives exact answers; this one keeps lists short. np packs the size and the position.
+    order of all shingles gives exact answers; this one keeps lists short.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,23 +94,23 @@ def _prefixes(frequent: np.ndarray, rank: np.ndarray):
                     keys = s[order]
                 else:
                     keys = s[:length]
-                out.append((keys, c, (n << 32) + np.arange(length)))
+                out.append((keys, c, n))
             sizes = [len(k) for k, _, _ in out]
             columns = (
-                [np.concatenate([k for k, _, _ in out]).view(np.int64), np.repeat([c for _, c, _ in out], sizes), np.concatenate([p for _, _, p in out])]
+                [np.concatenate([k for k, _, _ in out]).view(np.int64), np.repeat([c for _, c, _ in out], sizes), np.repeat([n for _, _, n in out], sizes)]
                 if out else [np.zeros(0, np.int64)] * 3
             )
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "c", "np"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "c", "n"])
 
     return emit
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of keys that two or more sets have, from rows sorted by key and set; repeated sets of a key once."""
-    last = None  # (key, c, np, whether the row before has its key)
+    last = None  # (key, c, n, whether the row before has its key)
 
     def made(columns):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "c", "np"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "c", "n"])
 
     for batch in batches:
         key, c, where = (x.to_numpy() for x in batch.columns)
@@ -139,38 +150,44 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of sets of different components in one list that no bound rules out.
+    """(a, b, n, m, lists): pairs of sets of different components, and how many lists of a batch they share.
 
     Rows come by (key, block): the block's odd ones first, then all sets of the list by size. Runs of sizes that
-    cannot reach the odd one, and positions from which too little is left, are skipped; so are pairs whose known
-    distances to the list's leader differ by more than the join's distance.
+    cannot reach the odd one are skipped; so are pairs whose known distances to the list's leader differ by more
+    than the join's distance, which rules them out wherever else they meet.
     """
     group, odd, out = None, [], None
     for batch in batches:
-        key, block, kind, sid, comp, n, pos, far, main = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
+        key, block, kind, sid, comp, n, far, main = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
         edges = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (kind[1:] != kind[:-1]))))
-        out_a, out_b = [], []
+        out = [[], [], [], []]
         for start, stop in zip(edges, np.append(edges[1:], len(key))):
             here = (key[start], block[start])
-            rows = (sid[start:stop], comp[start:stop], n[start:stop], pos[start:stop], far[start:stop], main[start:stop])
+            rows = (sid[start:stop], comp[start:stop], n[start:stop], far[start:stop], main[start:stop])
             if kind[start] == 0:
                 odd = [np.concatenate(x) for x in zip(odd, rows)] if here == group else list(rows)
                 group = here
                 continue
             if here != group:
                 continue
-            s, k, m, p, f, whole = rows
+            s, k, m, f, whole = rows
             for i in range(len(odd[0])):
                 lo, hi = np.searchsorted(m, -(-odd[2][i] * 8 // 10)), np.searchsorted(m, odd[2][i] * 10 // 8, side="right")
-                left = np.minimum(m[lo:hi] - p[lo:hi], odd[2][i] - odd[3][i])
-                ok = (k[lo:hi] != odd[1][i]) & (whole[lo:hi] | (s[lo:hi] > odd[0][i])) & _passes(left, m[lo:hi], odd[2][i])
+                ok = (k[lo:hi] != odd[1][i]) & (whole[lo:hi] | (s[lo:hi] > odd[0][i]))
                 with np.errstate(invalid="ignore"):
-                    ok &= ~(np.abs(f[lo:hi] - odd[4][i]) > 0.2 + 1e-9)  # an unknown distance (NaN) rules nothing out
-                out_b.append(s[lo:hi][ok])
-                out_a.append(np.full(len(out_b[-1]), odd[0][i]))
-        if out_a:
-            pairs = np.unique(np.stack((np.concatenate(out_a), np.concatenate(out_b)), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                    ok &= ~(np.abs(f[lo:hi] - odd[3][i]) > 0.2 + 1e-9)  # an unknown distance (NaN) rules nothing out
+                found = np.flatnonzero(ok) + lo
+                for column, values in zip(out, (np.full(len(found), odd[0][i]), s[found], np.full(len(found), odd[2][i]), m[found])):
+                    column.append(values)
+        if out[0]:
+            one, two, n1, n2 = map(np.concatenate, out)
+            low, high = np.minimum(one, two), np.maximum(one, two)
+            small, large = np.where(one < two, n1, n2), np.where(one < two, n2, n1)
+            order = np.lexsort((high, low))
+            low, high = low[order], high[order]
+            first = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))) if len(low) else order
+            columns = (low[first], high[first], small[order][first], large[order][first], np.diff(np.append(first, len(low))))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n", "m", "lists"])
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -183,10 +200,11 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
        share a shingle with that of any similar set. The frequent ones come from counts over all documents; the table that
        tasks get holds at most ``KNOWN`` of them and only decides the order, never the answers.
     2. Prefix shingles make index lists; those of one set only are dropped. Each set is compared with one leader, the one
-       that leads most of its lists, and sets linked to their leaders form components.
-    3. Links inside a component are answered by it. A list with several components compares the sets outside its largest
-       one with the rest, in blocks, by size and position and by distances to the leader that are already known (distance is
-       a metric, so two that differ by more than 0.2 rule a link out). What remains is compared exactly.
+       that leads most of its lists, and sets linked to their leaders form groups.
+    3. Links inside a group are answered by it. A list with several groups pairs the sets outside its largest one with the
+       rest, in blocks, by size; pairs whose prefixes share enough are compared exactly, and links make components.
+    4. Where a set was not linked to its leader after all, lists are paired once more, now by component and by the distances
+       to the leader that are known (distance is a metric, so two that differ by more than 0.2 rule a link out).
 
     Each task holds a block of a list or a batch of texts; a large group of copies costs a row per prefix shingle and set.
     Defined cases: null and empty texts, and texts of white space, have no shingles and are their own components; null ids
@@ -202,50 +220,42 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     frequent = common["a"].to_numpy(np.int64).view(np.uint64)
     rank = np.lexsort((frequent, common["count"].to_numpy(np.int64))).argsort() + 1
     order = np.argsort(frequent)
-    prefixes = texts.select("text").mapInArrow(_prefixes(frequent[order], rank[order]), "key long, c long, np long")
-    lists = prefixes.repartition("key").sortWithinPartitions("key", "c").mapInArrow(_live, "key long, c long, np long")
+    prefixes = texts.select("text").mapInArrow(_prefixes(frequent[order], rank[order]), "key long, c long, n long")
+    lists = prefixes.repartition("key").sortWithinPartitions("key", "c").mapInArrow(_live, "key long, c long, n long")
     lists = write_shared(lists, "ngram-lists")
 
     sets = docs.filter("n > 0").groupBy("n", "c", "d").agg(F.min("doc_id").alias("rep"))
     nodes = sets.join(lists.select("c").distinct(), "c").withColumn("sid", F.monotonically_increasing_id())
     nodes = write_shared(nodes, "ngram-nodes")
-    lists = lists.select("key", "c", F.shiftright("np", 32).alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).alias("pos"))
-    lists = write_shared(lists.join(nodes.select("c", "n", "sid"), ["c", "n"]).drop("c"), "ngram-postings")
-    wanted = nodes.select(F.col("rep")).distinct()
-    data = texts.join(wanted, F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    data = data.mapInArrow(_sets, "c long, d long, n long, data binary").dropDuplicates(["c", "d", "n"])
-    data = write_shared(data.join(nodes, ["c", "d", "n"]).select("sid", "n", "data"), "ngram-sets")
-
-    leaders = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), "sid", "n", "pos")).alias("lead"))
-    led = lists.join(leaders, "key").select(
-        "key", "sid", "n", "pos", F.col("lead.sid").alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.pos").alias("leader_pos")
-    )
-    left = F.least(F.col("n") - F.col("pos"), F.col("leader_n") - F.col("leader_pos"))
-    near = led.filter((F.col("sid") != F.col("leader")) & _passes(left, F.col("n"), F.col("leader_n")))
-    votes = near.groupBy("sid", "leader").agg(F.count("*").alias("lists"))
-    chosen = votes.groupBy("sid").agg(F.max(F.struct("lists", "leader")).alias("v")).select(F.col("sid").alias("b"), F.col("v.leader").alias("a"))
-    first = _compare(chosen, data)
-    labels = _components(nodes, first)
-
-    known = first.select(
-        F.col("b").alias("sid"), F.col("a").alias("leader"), (1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))).alias("far")
-    )
-    listed = led.join(labels, "sid").join(known, ["sid", "leader"], "left")
-    listed = listed.withColumn("far", F.when(F.col("sid") == F.col("leader"), 0.0).otherwise(F.col("far")))
-    listed = write_shared(listed.select("key", "sid", "label", "n", "pos", "far"), "ngram-listed")
-    shares = listed.groupBy("key", "label").agg(F.count("*").alias("size"))
-    split = shares.groupBy("key").agg(
-        F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels"), F.sum("size").alias("all")
-    ).filter("labels > 1").select("key", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("blocks"))
-    rows = listed.join(split, "key").select(
-        "key", "sid", "label", "n", "pos", F.coalesce("far", F.lit(float("nan"))).alias("far"), (F.col("label") == F.col("main")).alias("main"), "blocks"
-    )
-    odd = rows.filter(~F.col("main")).withColumns({"block": F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"), "kind": F.lit(0)})
-    rest = rows.withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "kind": F.lit(1)})
-    both = odd.unionByName(rest).repartition("key", "block").sortWithinPartitions("key", "block", "kind", "n")
-    crossing = both.select("key", "block", "kind", "sid", "label", "n", "pos", "far", "main").mapInArrow(_crossing, "a long, b long")
-    second = _compare(crossing.distinct(), data)
-    labels = _components(nodes, first.unionByName(second))
+    lists = lists.join(nodes.select("c", "n", "sid"), ["c", "n"]).drop("c")
+    leaders = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), "sid", "n")).alias("lead"))
+    led = lists.join(leaders, "key").select("key", "sid", "n", F.col("lead.sid").alias("leader"), F.col("lead.n").alias("m"))
+    led = write_shared(led, "ngram-postings")
+    # a pair may share more lists than its leader leads: the choice is a guess, and a wrong one costs comparisons only
+    votes = led.filter("sid != leader").groupBy("sid", "leader", "n", "m").agg(F.count("*").alias("lists"))
+    votes = votes.filter(_may_link(GUESS * F.col("lists")))
+    chosen = votes.groupBy("sid").agg(F.max(F.struct("lists", "leader")).alias("v")).select(F.col("v.leader").alias("a"), F.col("sid").alias("b"))
+    chosen = write_shared(chosen, "ngram-chosen")
+    # as if every set were linked to its leader: pairs across such groups are all that other comparisons can need now
+    across = _crossing_pairs(led.withColumn("far", F.lit(None).cast("double")), _components(nodes, chosen))
+    across = write_shared(across, "ngram-across")
+    both = chosen.unionByName(across)
+    members = both.select(F.col("a").alias("sid")).union(both.select("b")).distinct()
+    wanted = write_shared(nodes.join(members, "sid"), "ngram-wanted")
+    data = texts.join(wanted.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
+    data = data.mapInArrow(_sets, "c long, d long, n long, data binary").join(wanted, ["c", "d", "n"]).select("sid", "n", "data")
+    data = write_shared(data.dropDuplicates(["sid"]), "ngram-sets")
+    first, second = _compare(chosen, data), _compare(across, data)
+    compared = first.unionByName(second)
+    labels = _components(nodes, _linked(compared))
+
+    # pairs of one leader that are not in one component after all: both have been compared with it
+    far = 1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))
+    known = first.select(F.col("b").alias("sid"), F.col("a").alias("leader"), far.alias("far"))
+    placed = led.join(known, ["sid", "leader"], "left").withColumn("far", F.when(F.col("sid") == F.col("leader"), 0.0).otherwise(F.col("far")))
+    done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    third = _compare(_crossing_pairs(placed, labels).join(done, ["a", "b"], "left_anti"), data)
+    labels = _components(nodes, _linked(compared.unionByName(third)))
 
     grouped = nodes.join(labels, "sid")
     smallest = grouped.groupBy("label").agg(F.min("rep").alias("smallest"))
@@ -258,6 +268,25 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     ).unionByName(alone)
 
 
+def _crossing_pairs(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b), a < b: pairs of sets of different labels that may link; placed(key, sid, n, far) lists every set by key."""
+    listed = write_shared(placed.join(labels, "sid").select("key", "sid", "label", "n", "far"), "ngram-listed")
+    shares = listed.groupBy("key", "label").agg(F.count("*").alias("size"))
+    split = shares.groupBy("key").agg(
+        F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels"), F.sum("size").alias("all")
+    ).filter("labels > 1").select("key", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("blocks"))
+    rows = listed.join(split, "key").select(
+        "key", "sid", "label", "n", F.coalesce("far", F.lit(float("nan"))).alias("far"), (F.col("label") == F.col("main")).alias("main"), "blocks"
+    )
+    odd = rows.filter(~F.col("main")).withColumns({"block": F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"), "kind": F.lit(0)})
+    rest = rows.withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "kind": F.lit(1)})
+    both = odd.unionByName(rest).repartition("key", "block").sortWithinPartitions("key", "block", "kind", "n")
+    crossing = both.select("key", "block", "kind", "sid", "label", "n", "far", "main").mapInArrow(
+        _crossing, "a long, b long, n long, m long, lists long"
+    )
+    return crossing.groupBy("a", "b", "n", "m").agg(F.sum("lists").alias("lists")).filter(_may_link(F.col("lists"))).select("a", "b")
+
+
 def _compare(pairs: DataFrame, data: DataFrame) -> DataFrame:
     """Pairs (a, b) with their sizes and exact overlap, written once."""
     one = data.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("data").alias("one"))
@@ -266,10 +295,13 @@ def _compare(pairs: DataFrame, data: DataFrame) -> DataFrame:
     return write_shared(both.mapInArrow(_overlaps, "a long, b long, na long, nb long, overlap long"), "ngram-compared")
 
 
-def _components(nodes: DataFrame, compared: DataFrame) -> DataFrame:
+def _linked(compared: DataFrame) -> DataFrame:
+    return compared.filter(_passes(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
+
+
+def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(sid, label): in each round every node hooks to its smallest neighbour if that is smaller, and edges are contracted."""
-    linked = compared.filter(_passes(F.col("overlap"), F.col("na"), F.col("nb")))
-    edges = write_shared(linked.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "ngram-links")
+    edges = write_shared(links.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "ngram-links")
     labels = nodes.select("sid", F.col("sid").alias("label"))
     while edges.limit(1).count():
         hooks = write_shared(edges.groupBy("high").agg(F.min("low").alias("to")), "ngram-hooks")

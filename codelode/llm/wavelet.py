@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codelode.llm.tokens import encoder, vocabulary_path
 
@@ -179,8 +179,6 @@ def _shard(part, shard, ids, docs, ends, bits) -> pa.RecordBatch:
 
 def _starts(spark: SparkSession, path: str) -> DataFrame:
     """(part, shard, start): tokens before each shard, summed over files first and then inside each."""
-    from pyspark.sql import Window
-
     shards = spark.read.parquet(path).select("part", "shard", "n_tokens")
     files = shards.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each file
