@@ -4,7 +4,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelode.llm import branch_bound, config_packing, cube_mix, exact_dedup, prefix_counts, secret_ledger, set_skipping, toxicity, url_rules, wavelet
+from codelode.llm import branch_bound, config_packing, cube_mix, exact_dedup, merkle, prefix_counts, rtree, secret_ledger, set_skipping, sharding, toxicity, url_rules, wavelet
 from codelode.sources.shared import shared_folder
 
 # Rules of the URL query.
@@ -62,8 +62,27 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    def without_line_feeds(documents: DataFrame) -> dict:
+        chosen = F.crc32(documents["doc_id"].cast("string").cast("binary")) % 2 == 0
+        return {"text": F.when(chosen, F.translate(documents["text"], "\n", "")).otherwise(documents["text"])}
+
+    return merkle.verified_documents(_table(spark, folder, "documents"), without_line_feeds)
+
+
+def op12_rtree(spark: SparkSession, folder: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return rtree.hard_negatives(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op13_virtual_slots(spark: SparkSession, folder: str) -> DataFrame:
+    placed = sharding.place(_table(spark, folder, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_branch_bound, op2_cube_mix, op3_set_skipping, op4_config_packing, op5_wavelet, op6_url_rules, op7_secret_ledger, op8_toxicity, op9_prefix_counts, op10_exact_dedup,
+    op1_branch_bound, op2_cube_mix, op3_set_skipping, op4_config_packing, op5_wavelet, op6_url_rules, op7_secret_ledger, op8_toxicity, op9_prefix_counts,
+    op10_exact_dedup, op11_merkle, op12_rtree, op13_virtual_slots,
 )}
 
 ORACLES = {
