@@ -8,7 +8,6 @@ from codelode.sources.shared import write_shared
 LEAF_COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
 LANES = 64  # pieces that rows equal in every hashed column are counted in
 RUN = 1 << 16
-NOTHING = F.lit(b"")
 
 
 def _hex(digest: Column) -> Column:
@@ -154,6 +153,8 @@ def _lower(nodes: DataFrame, levels: list[DataFrame], tops: DataFrame, fanout: i
         if level:
             answers = spread.select("tree", (F.col("parent") * fanout + F.col("child.slot")).alias("parent"), "subroot", "root", path)
             answers = answers.unionByName(roots(level))
+            if level % 4 == 0:  # keeps plans small, however high the tree
+                answers = write_shared(answers, f"merkle-answers{level}")
         else:
             leaves = spread.select("tree", "child.node.doc_id", "child.node.digest", "child.node.seen", "subroot", "root", path)
     alone = nodes.filter("n = 1").join(roots(0), "tree").select("tree", "doc_id", "digest", "seen", "subroot", "root", "path")
@@ -162,8 +163,8 @@ def _lower(nodes: DataFrame, levels: list[DataFrame], tops: DataFrame, fanout: i
 
 def _child(j: int, fanout: int) -> Column:
     """What slot ``j`` of a pivoted row holds: the node, and the other slots before and after it."""
-    others = [F.coalesce(F.col(f"slot{k}.digest"), NOTHING) for k in range(fanout)]
+    others = [F.coalesce(F.col(f"slot{k}.digest"), F.lit(b"")) for k in range(fanout)]
     return F.struct(
-        F.lit(j).alias("slot"), F.col(f"slot{j}").alias("node"), F.concat(NOTHING, *others[:j]).alias("before"),
-        F.concat(NOTHING, *others[j + 1 :]).alias("after"),
+        F.lit(j).alias("slot"), F.col(f"slot{j}").alias("node"), F.concat(F.lit(b""), *others[:j]).alias("before"),
+        F.concat(F.lit(b""), *others[j + 1 :]).alias("after"),
     )

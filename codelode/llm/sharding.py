@@ -57,7 +57,7 @@ def rebalance(table: SlotMap, weights: DataFrame, weight: str = "bytes") -> Slot
 
 
 def grow(table: SlotMap, weights: DataFrame, weight: str = "bytes") -> SlotMap:
-    """Append the edits that fill one more shard; slots move only into it."""
+    """Append the edits that fill one more shard; slots move only into it, the lighter ones of each shard that exceed the new mean."""
     return table.append(_moves(table, weights, weight, table.shards() + 1, True))
 
 
@@ -67,7 +67,7 @@ def _moves(table: SlotMap, weights: DataFrame, weight: str, shards: int, only_ne
     mean = held.agg((F.sum("w") / shards).alias("mean"))
     held = held.withColumn("running", F.sum("w").over(by_weight)).crossJoin(F.broadcast(mean))
     # one row of at most MOST_SLOTS loose slots and `shards` loads
-    loose = F.col("running") > F.col("mean")
+    loose = F.col("running") - (F.col("w") / 2 if only_new else F.lit(0)) > F.col("mean")
     row = held.agg(
         F.reverse(F.array_sort(F.collect_list(F.when(loose, F.struct("w", "slot"))))).alias("loose"),
         F.collect_list(F.when(~loose, F.struct("shard", "w"))).alias("kept"),

@@ -58,5 +58,5 @@ def test_stages_take_effect(spark, folder):
 
 def test_it_is_registered_and_runs(spark, folder):
     assert "pipeline" in __spark_entry__.queries()
-    assert {f"op{n}_" for n in range(1, 11)} == {q.split("_")[0] + "_" for q in __spark_entry__.queries() if q.startswith("op") and q[2].isdigit()}
+    assert {f"op{n}_" for n in range(1, 14)} == {q.split("_")[0] + "_" for q in __spark_entry__.queries() if q.startswith("op") and q[2].isdigit()}
     assert corpus_pipeline.run(spark, folder).count() > 0
