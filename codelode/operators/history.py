@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codelode import lexicons as lx
 from codelode.functions import formats, text
-from codelode.operators.ranking import spread_join, top_k
+from codelode.operators.ranking import likely_rows, spread_join, top_k
 
 
 def commit_summary(commits: DataFrame, repos: DataFrame) -> DataFrame:
@@ -160,17 +160,18 @@ def commits_with_diffs(
 ) -> DataFrame:
     """Recent commits with the first files of each and their shortened diffs.
 
-    Diffs are shortened in the scan; which join keeps the files of recent commits is the planner's choice.
+    A filter of the recent commits' keys is broadcast to the scan of the files, so diffs of older commits are read but neither
+    shortened nor shuffled. The first files of a commit are chosen before the shuffle as well, by commit; the join with the
+    commits then needs no further one.
     """
-    recent = commits_since(commits, as_of, days, count)
     keys = ["repo_id", "sha"]
+    recent = commits_since(commits, as_of, days, count)
     order = [F.col(c) for c in ("file_pos", "path", "change_type", "insertions", "deletions")]
-    cut = commit_files.select(
+    likely = likely_rows(commit_files, recent, keys).select(
         *keys, "file_pos", "path", "change_type", "insertions", "deletions",
         formats.truncate_diff(F.col("diff"), max_lines).alias("diff"),
     )
-    cut = cut.join(recent.select(*keys), keys, "left_semi")
-    first = top_k(cut, keys, order, max_files, "file_no").select(*keys, "file_no", "path", "change_type", "diff")
+    first = top_k(likely, keys, order, max_files, "file_no").select(*keys, "file_no", "path", "change_type", "diff")
     return recent.join(first, keys, "left").select(
         *keys, "walk_pos", text.strip(F.col("message")).alias("message"), "author_name", "author_email",
         formats.iso(F.col("committed_date")).alias("date"), "file_no", "path", "change_type", "diff",

@@ -26,6 +26,25 @@ def spread_join(rows: DataFrame, per_key: DataFrame, key: str, by: list[str], ho
     return rows.withColumn(slot, F.pmod(F.xxhash64(*by), F.lit(spread))).join(copies, [key, slot], how).drop(slot)
 
 
+FILTER_WORDS = 1 << 20  # 64-bit words of a key filter: all that is ever broadcast
+
+
+def likely_rows(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows whose key is among those of ``wanted``, and a few others, without a shuffle of the rows.
+
+    The wanted keys set one bit each of a filter of ``FILTER_WORDS`` words, of which at most as many as there are keys are
+    broadcast: at most some 32 MB whatever the number of keys. More keys only let more other rows pass, so an exact join has to follow.
+    """
+    def marked(df: DataFrame) -> DataFrame:
+        code = F.xxhash64(*keys)
+        return df.withColumns({"__word": F.pmod(code, F.lit(FILTER_WORDS)), "__bit": F.pmod(F.shiftright(code, 40), F.lit(64)).cast("int")})
+
+    one = F.expr("shiftleft(1L, __bit)")
+    words = marked(wanted.select(*keys)).groupBy("__word").agg(F.bit_or(one).alias("__bits"))
+    passed = marked(rows).join(F.broadcast(words), "__word").filter(F.getbit("__bits", "__bit") == 1)
+    return passed.drop("__word", "__bit", "__bits")
+
+
 def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Column, out: str) -> DataFrame:
     """Running sum of ``value`` per key in ``order`` (a total order), current row included.
 
@@ -59,3 +78,28 @@ def running_total(df: DataFrame, keys: list[str], order: list[Column], value: Co
 def row_numbers(df: DataFrame, keys: list[str], order: list[Column], out: str) -> DataFrame:
     """1-based row number per key in a total order, for keys of any size."""
     return running_total(df, keys, order, F.lit(1), out)
+
+
+def page_rows(df: DataFrame, keys: list[str], order: list[Column], offset: int, limit: int) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of ``df`` in ``order``, a total order over columns ``keys`` that name a row.
+
+    Only the keys are sorted, by range partitions: those before the page are skipped by their counts, and what is
+    sorted whole is the partition or two that hold the page. The page's rows are then looked up by their keys, at most ``limit``.
+    """
+    piece = "__piece"
+    ranged = write_shared(df.select(*keys).repartitionByRange(*order).withColumn(piece, F.spark_partition_id()), "page-keys")
+    counts = ranged.groupBy(piece).agg(F.count("*").alias("n")).orderBy(piece).collect()  # a row per partition
+    before, held = 0, []
+    for r in counts:
+        if before + r.n > offset and before < offset + limit:
+            held.append((r[piece], before))
+        before += r.n
+    first = held[0][1] if held else 0
+    chosen = ranged.filter(F.col(piece).isin([p for p, _ in held])).drop(piece)
+    page = chosen.orderBy(*order).offset(offset - first if held else 0).limit(limit)
+    same = None
+    page = page.select(*[F.col(k).alias(f"__{k}") for k in keys])
+    for k in keys:
+        one = df[k].eqNullSafe(page[f"__{k}"])
+        same = one if same is None else same & one
+    return df.join(F.broadcast(page), same, "left_semi").orderBy(*order)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from codelode.functions import formats
-from codelode.operators.ranking import row_numbers, running_total
+from codelode.operators.ranking import page_rows, row_numbers, running_total
 
 
 # --- profiles ------------------------------------------------------------------------------------------------------------------------
@@ -88,7 +88,7 @@ def stories_query(
     stories: DataFrame, repo_name: str | None = None, since: Column | None = None, technologies: str | None = None,
     limit: int = 50, offset: int = 0,
 ) -> DataFrame:
-    """One page of stories, newest first, with the number of all that fit."""
+    """One page of stories, newest first, with the number of all that fit; an offset of any size costs the same."""
     fitting = stories
     if repo_name is not None:
         fitting = fitting.filter(F.col("repo_name") == repo_name)
@@ -100,7 +100,8 @@ def stories_query(
             F.arrays_overlap(F.transform("technologies", lambda t: F.lower(t)), F.array(*map(F.lit, wanted)))
         )
     total = fitting.agg(F.count("*").alias("total")).scalar()
-    page = fitting.orderBy(F.desc("last_commit_at"), "story_id").offset(offset).limit(limit)
+    order = [F.desc_nulls_last("last_commit_at"), F.col("story_id")]
+    page = page_rows(fitting, ["last_commit_at", "story_id"], order, offset, limit)
     return page.withColumn("total", total)
 
 

@@ -2,8 +2,10 @@
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelode.operators.ranking import row_numbers
+from codelode.operators.ranking import row_numbers, spread_join
+from codelode.sources.shared import write_shared
 
+EARLIEST = -(1 << 62)
 COMMIT_SCHEMA = (
     "repo_id int, sha string, author_email string, author_name string, committed_date timestamp_ntz, message string, "
     "walk_pos int"
@@ -13,13 +15,25 @@ COMMIT_FILE_SCHEMA = (
 )
 
 
-def read_commit_log(spark: SparkSession, path: str, ordered: bool = False, mode: str = "FAILFAST") -> DataFrame:
+def keyed(schema: str, key: str) -> str:
+    """The schema with ``repo_id`` of the type ``key``: ``int`` numbers, or ``string`` for repositories known by name."""
+    return schema.replace("repo_id int", f"repo_id {key}", 1)
+
+
+def read_commit_log(
+    spark: SparkSession, path: str, ordered: bool = False, mode: str = "FAILFAST", key: str = "int", parents: bool = False
+) -> DataFrame:
     """Commits of a log, numbered newest first by date, then sha; ``ordered`` says that the log has walk positions itself.
 
-    A line that cannot be read fails the job; another ``mode`` of the JSON source is the caller's choice.
+    With ``parents`` the log has a field of that name, a list of shas, and is numbered as ``walk_commits`` does.
+
+    A line that cannot be read fails the job; another ``mode`` of the JSON source is the caller's choice. ``key`` is the type of
+    ``repo_id``: with ``string`` the log joins the files of ``read_files`` by the repositories' names, and with ``int`` those read with
+    ``ids``.
     """
-    log = spark.read.schema(COMMIT_SCHEMA).option("mode", mode).json(path)
-    return log if ordered else number_commits(log)
+    schema = keyed(COMMIT_SCHEMA, key) + (", parents array<string>" if parents else "")
+    log = spark.read.schema(schema).option("mode", mode).json(path)
+    return log if ordered else walk_commits(log) if parents else number_commits(log)
 
 
 def number_commits(log: DataFrame) -> DataFrame:
@@ -29,5 +43,74 @@ def number_commits(log: DataFrame) -> DataFrame:
     return numbered.withColumn("walk_pos", F.col("walk_pos").cast("int"))
 
 
-def read_commit_files(spark: SparkSession, path: str, mode: str = "FAILFAST") -> DataFrame:
-    return spark.read.schema(COMMIT_FILE_SCHEMA).option("mode", mode).json(path)
+def walk_commits(log: DataFrame) -> DataFrame:
+    """Walk positions from the graph of ``parents``: no commit before any of its children, else newest first, then by sha.
+
+    Commits are ordered by corrected date: the commit's own, or a microsecond after the latest corrected date of its parents if
+    that is later. So clocks that run wrong never put a commit behind its parents, and where they are right the order is by date.
+
+    Chains of commits with one parent and one child are solved by pointer jumping: each round doubles how far every commit sees,
+    with the greatest date and distance on the way, so a chain of 100,000 commits takes 17 rounds. Dates then pass between
+    chains until none changes: as many rounds as chains follow one another within a stretch of wrong dates. Rounds
+    are joins by commit, so a repository with most commits spreads like any other.
+
+    Parents that the log does not hold are ignored, a null list is an empty one, and a null date counts as the
+    earliest; a graph with a cycle is refused. Of rows that repeat a commit all take positions, side by side.
+    """
+    keys = ["repo_id", "sha"]
+    date = F.coalesce(F.unix_micros(F.col("committed_date").cast("timestamp")), F.lit(EARLIEST))
+    nodes = write_shared(log.groupBy(*keys).agg(F.max(date).alias("date"), F.flatten(F.collect_set(F.coalesce("parents", F.array().cast("array<string>")))).alias("parents")), "walk-nodes")
+    edges = nodes.select("repo_id", "sha", F.explode(F.array_distinct("parents")).alias("parent"))
+    edges = edges.join(nodes.select("repo_id", F.col("sha").alias("parent")), ["repo_id", "parent"], "left_semi")
+    edges = write_shared(edges, "walk-edges")
+    # a link of a chain: an only parent whose only child this is
+    one_parent = edges.groupBy(*keys).agg(F.count("*").alias("n"), F.first("parent").alias("parent")).filter("n = 1").drop("n")
+    one_child = edges.groupBy("repo_id", "parent").agg(F.count("*").alias("n")).filter("n = 1").drop("n")
+    links = one_parent.join(one_child, ["repo_id", "parent"])
+    state = nodes.select(*keys, F.col("date").alias("best")).join(links, keys, "left").select(
+        *keys, F.coalesce("parent", "sha").alias("at"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("dist"), "best",
+        F.col("parent").isNull().alias("done"),
+    )
+    state, rounds = write_shared(state, "walk-0"), 0
+    left = state.filter("NOT done").count()
+    limit = left.bit_length() + 1
+    while left:
+        if rounds > limit:
+            raise ValueError("the parents of some commits lead back to them")
+        far = state.select("repo_id", F.col("sha").alias("at"), F.col("at").alias("at2"), F.col("dist").alias("dist2"), F.col("best").alias("best2"), F.col("done").alias("done2"))
+        moved = state.filter("NOT done").join(far, ["repo_id", "at"]).select(
+            *keys, F.col("at2").alias("at"), (F.col("dist") + F.col("dist2")).alias("dist"), F.greatest("best", F.col("best2") + F.col("dist")).alias("best"),
+            F.col("done2").alias("done"),
+        )
+        state, rounds = write_shared(state.filter("done").unionByName(moved), f"walk-{rounds + 1}"), rounds + 1
+        left = state.filter("NOT done").count()
+    # chains: `at` is the oldest commit of one; what leads into it are the parents of that commit, each the newest of its chain
+    chains = state.groupBy("repo_id", F.col("at").alias("chain")).agg(F.max(F.struct("dist", "sha", "best")).alias("newest")).select(
+        "repo_id", "chain", F.col("newest.sha").alias("newest"), F.col("newest.dist").alias("length"), F.col("newest.best").alias("out")
+    )
+    chains = write_shared(chains.withColumn("into", F.lit(EARLIEST)), "walk-chains-0")
+    into = edges.join(chains.select("repo_id", F.col("chain").alias("sha")), ["repo_id", "sha"], "left_semi")
+    owner = chains.select("repo_id", F.col("newest").alias("parent"), F.col("chain").alias("before"))
+    into = write_shared(into.join(owner, ["repo_id", "parent"]).select("repo_id", F.col("sha").alias("chain"), "before"), "walk-into")
+    changed, rounds, limit = True, 0, into.count() + 1
+    while changed:
+        if rounds > limit:
+            raise ValueError("the parents of some commits lead back to them")
+        given = into.join(chains.select("repo_id", F.col("chain").alias("before"), "out"), ["repo_id", "before"])
+        given = given.groupBy("repo_id", "chain").agg((F.max("out") + 1).alias("given"))
+        later = chains.join(given, ["repo_id", "chain"], "left").withColumn("given", F.greatest("into", "given"))
+        later = later.select("repo_id", "chain", "newest", "length", F.greatest("out", F.col("given") + F.col("length")).alias("out"), F.col("given").alias("into"), (F.col("given") > F.col("into")).alias("moved"))
+        later = write_shared(later, f"walk-chains-{rounds + 1}")
+        chains, rounds = later.drop("moved"), rounds + 1
+        changed = not later.filter("moved").isEmpty()
+    whole = spread_join(
+        state.withColumn("chain", F.struct("repo_id", "at")), chains.select(F.struct("repo_id", F.col("chain").alias("at")).alias("chain"), "into"), "chain", ["sha"]
+    ).select(*keys, F.greatest("best", F.col("into") + F.col("dist")).alias("__corrected"))
+    # a repository may hold most commits, a commit holds few rows
+    dated = log.drop("walk_pos", "parents").join(whole, keys)
+    numbered = row_numbers(dated, ["repo_id"], [F.desc("__corrected"), F.col("sha")], "walk_pos")
+    return numbered.withColumn("walk_pos", F.col("walk_pos").cast("int")).drop("__corrected")
+
+
+def read_commit_files(spark: SparkSession, path: str, mode: str = "FAILFAST", key: str = "int") -> DataFrame:
+    return spark.read.schema(keyed(COMMIT_FILE_SCHEMA, key)).option("mode", mode).json(path)

@@ -170,6 +170,82 @@ def test_stream_loses_nothing(spark, commits, tmp_path):
     assert sorted(map(tuple, stream.contributor_table(spark, out).collect())) == sorted(map(tuple, expected.collect()))
 
 
+def test_a_batch_costs_what_it_brings(spark, commits, tmp_path):
+    """The second batch never opens what is stored: those files are not even readable."""
+    table, out, feed = commits([f"m{i}" for i in range(40)]), tmp_path / "out", str(tmp_path / "feed")
+    position = F.col("walk_pos")
+
+    def arrive(part, when):
+        part.withColumn("ingest_ts", F.lit(when).cast("timestamp")).write.mode("append").json(feed)
+        query = stream.stream_commits(spark, feed, str(out), str(tmp_path / "checkpoint"))
+        query.awaitTermination()
+        return query
+
+    arrive(table.filter(position <= 30), "2024-02-20")
+    stored = list((out / "commits").rglob("*.parquet"))
+    held = {f: f.read_bytes() for f in stored}
+    for f in stored:
+        f.write_bytes(b"no parquet")
+    query = arrive(table.filter(position > 28), "2024-02-21")  # two of the commits are stored already
+    progress = query.recentProgress
+    assert sum(p["numInputRows"] for p in progress) == 12
+    assert any("RocksDB" in str(p["stateOperators"]) or "rocksdb" in str(p["stateOperators"]) for p in progress)
+    for f, content in held.items():
+        f.write_bytes(content)
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    assert stream.stored_commits(spark, str(out)).count() == 40
+    expected = stream.contributor_counts(stream.contributor_deltas(table))
+    assert sorted(map(tuple, stream.contributor_table(spark, str(out)).collect())) == sorted(map(tuple, expected.collect()))
+
+
+def test_a_batch_that_runs_again_changes_nothing(spark, commits, tmp_path):
+    """Landed twice, as after a failure between landing and its checkpoint; the first version by time of arrival stays whole."""
+    table, out = commits(["a", "b", "c"]), str(tmp_path / "out")
+    for when, part in (("2024-02-20", table), ("2024-02-19", table.withColumn("message", F.upper("message")))):
+        part.withColumn("ingest_ts", F.lit(when).cast("timestamp")).write.mode("append").json(str(tmp_path / "feed"))
+    for name in ("one", "two"):
+        stream.land_commits(spark, str(tmp_path / "feed"), out, str(tmp_path / name)).awaitTermination()
+    for _ in range(2):
+        stream.admit_commits(spark, out).awaitTermination()
+    assert sorted(r.message for r in stream.stored_commits(spark, out).collect()) == ["A", "B", "C"]
+
+
+def test_feeds_of_repositories_known_by_name(spark, commits, tmp_path):
+    table = commits(["a", "b"]).withColumn("repo_id", F.lit("acme")).withColumn("ingest_ts", F.lit("2024-02-20").cast("timestamp"))
+    table.write.json(str(tmp_path / "feed"))
+    stream.stream_commits(spark, str(tmp_path / "feed"), str(tmp_path / "out"), str(tmp_path / "checkpoint"), key="string").awaitTermination()
+    assert {r.repo_id for r in stream.stored_commits(spark, str(tmp_path / "out"), "string").collect()} == {"acme"}
+    assert [r.repo_id for r in stream.contributor_table(spark, str(tmp_path / "out"), "string").collect()] == ["acme"] * 2
+
+
+def test_diffs_of_old_commits_stay_in_the_scan(spark, tmp_path):
+    """No shuffle carries the diffs of all commits: they pass a filter of the recent keys first, and none is shuffled twice."""
+    spark.range(2000).select(
+        (F.col("id") % 3).cast("int").alias("repo_id"), F.col("id").cast("string").alias("sha"), F.lit("u").alias("author_email"), F.lit("U").alias("author_name"),
+        F.expr("timestamp_ntz'2024-01-01' - make_dt_interval(CAST(id AS INT))").alias("committed_date"), F.lit("m").alias("message"),
+        (F.floor(F.col("id") / 3) + 1).cast("int").alias("walk_pos"),
+    ).write.parquet(str(tmp_path / "commits"))
+    spark.range(40_000).select(
+        (F.col("id") % 2000 % 3).cast("int").alias("repo_id"), (F.col("id") % 2000).cast("string").alias("sha"), F.floor(F.col("id") / 2000).cast("int").alias("file_pos"),
+        F.concat(F.lit("f"), "id").alias("path"), F.lit("M").alias("change_type"), F.lit(1).alias("insertions"), F.lit(1).alias("deletions"), F.lit("+x").alias("diff"),
+    ).write.parquet(str(tmp_path / "changes"))
+    table, changes = spark.read.parquet(str(tmp_path / "commits")), spark.read.parquet(str(tmp_path / "changes"))
+    likely = ranking.likely_rows(changes, table.filter("walk_pos <= 10"), ["repo_id", "sha"])
+    assert 30 * 20 <= likely.count() < 30 * 20 * 1.2
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = history.commits_with_diffs(table, changes, day("2024-01-01"), days=30, max_files=10)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin [__word" in plan and "WindowGroupLimit" in plan
+        shuffled = [line for line in plan.splitlines() if " Exchange hashpartitioning" in line]
+        after = plan[plan.index("Exchange hashpartitioning") :]
+        assert shuffled and after
+        assert found.filter("path is not null").count() == 31 * 10
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_a_hot_repository_is_dealt_over_tasks(spark, commits):
     rows = spark.range(4000).select(
         F.when(F.col("id") % 10 < 7, 1).otherwise((F.col("id") % 50 + 2).cast("int")).alias("repo_id"), F.col("id").cast("string").alias("sha"),
@@ -184,3 +260,70 @@ def test_a_hot_repository_is_dealt_over_tasks(spark, commits):
             assert joined and all("__slot" in line for line in joined), text
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
+WALK = "repo_id int, sha string, committed_date timestamp_ntz, message string, walk_pos int, parents array<string>"
+
+
+def graph(spark, rows):
+    return spark.createDataFrame([(1, s, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h) if h is not None else None, "m", 9, p) for s, h, p in rows], WALK)
+
+
+def test_the_walk_follows_the_graph_not_the_clock(spark):
+    rows = [  # a slow clock at d, a fast one at b, a merge, a second root, a parent that is not there, nulls
+        ("a", 0, None), ("b", 500, ["a"]), ("c", 2, ["b"]), ("d", -100, ["b"]), ("e", 3, ["c", "d"]), ("f", 4, ["e", "gone"]), ("r", 600, []), ("s", None, ["r"]),
+    ]
+    found = [r.sha for r in commit_log.walk_commits(graph(spark, rows)).orderBy("walk_pos").collect()]
+    place = {s: i for i, s in enumerate(found)}
+    assert len(found) == 8 and all(place[s] < place[p] for s, _, ps in rows for p in ps or () if p in place)
+    assert found.index("s") == 0 and found[-1] == "a"
+
+
+def test_random_graphs_agree_with_a_sequential_reading(spark):
+    rng = random.Random(5)
+    rows, corrected = [], {}
+    for i in range(300):
+        parents = sorted({f"c{rng.randrange(max(0, i - 6), i):03d}" for _ in range(rng.choice([1, 1, 1, 1, 2]))}) if i else []
+        date = rng.randrange(-40, 40) + i
+        rows.append((f"c{i:03d}", date, parents))
+        corrected[f"c{i:03d}"] = max([date * 3_600_000_000, *[corrected[p] + 1 for p in parents]])
+    shuffled = rows[:]
+    rng.shuffle(shuffled)
+    found = [r.sha for r in commit_log.walk_commits(graph(spark, shuffled)).orderBy("walk_pos").collect()]
+    assert found == sorted(corrected, key=lambda s: (-corrected[s], s))
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    written = []
+    real = commit_log.write_shared
+    monkeypatch.setattr(commit_log, "write_shared", lambda df, name: written.append(name) or real(df, name))
+    n = 20_000
+    chain = spark.range(n).select(
+        F.lit(1).alias("repo_id"), F.col("id").cast("string").alias("sha"), F.lit("2024-01-01").cast("timestamp_ntz").alias("committed_date"),
+        F.when(F.col("id") > 0, F.array((F.col("id") - 1).cast("string"))).alias("parents"), F.lit("m").alias("message"),
+    )
+    first = commit_log.walk_commits(chain).filter("walk_pos IN (1, 2, 20000)").orderBy("walk_pos").collect()
+    assert [r.sha for r in first] == [str(n - 1), str(n - 2), "0"]
+    assert len(written) < 26
+
+
+def test_a_cycle_is_refused(spark):
+    with pytest.raises(ValueError, match="lead back"):
+        commit_log.walk_commits(graph(spark, [("a", 0, ["b"]), ("b", 1, ["a"]), ("c", 2, ["b"])])).count()
+
+
+def test_a_log_with_parents_is_read(spark, tmp_path):
+    spark.createDataFrame([(1, "b", "2024-01-01T00:00:00", ["a"]), (1, "a", "2024-01-02T00:00:00", [])], "repo_id int, sha string, committed_date string, parents array<string>").write.json(str(tmp_path / "log"))
+    found = commit_log.read_commit_log(spark, str(tmp_path / "log"), parents=True).orderBy("walk_pos").collect()
+    assert [r.sha for r in found] == ["b", "a"]
+
+
+def test_pages_skip_what_lies_before_them(spark):
+    rows = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 7919 % 5000).alias("v"), F.lit("x" * 10).alias("wide"))
+    rows = rows.withColumn("v", F.when(F.col("v") % 10 == 3, None).otherwise(F.floor(F.col("v") / 4)))
+    order = [F.desc_nulls_last("v"), F.col("k")]
+    everything = [tuple(r) for r in rows.orderBy(*order).collect()]
+    for offset, limit in ((0, 5), (1234, 50), (4990, 50), (6000, 5), (0, 5000), (700, 0)):
+        found = [tuple(r) for r in ranking.page_rows(rows, ["v", "k"], order, offset, limit).collect()]
+        assert found == everything[offset : offset + limit]
+    assert ranking.page_rows(rows.filter("false"), ["v", "k"], order, 0, 5).collect() == []

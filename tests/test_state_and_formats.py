@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codelode.functions import formats
 from codelode.operators import repo, repo_docs as docs, state
-from codelode.sources import files as source, sinks
+from codelode.sources import commit_log, files as source, sinks
 
 
 def value(spark, column):
@@ -181,6 +181,44 @@ def test_read_files_sees_names_of_any_form(spark, tmp_path):
     assert "__main__.py" in {r.path for r in repo.entry_points(table).collect()}
 
 
+def test_one_repository_is_listed_by_many_tasks(spark, tmp_path, monkeypatch):
+    for i in range(400):
+        (tmp_path / "tree" / "big" / f"d{i}").mkdir(parents=True)
+        (tmp_path / "tree" / "big" / f"d{i}" / "f.py").write_text("x")
+    (tmp_path / "tree" / "top.txt").write_text("beside the repositories")
+    (tmp_path / "tree" / "big" / "d1" / "loop").symlink_to(tmp_path / "tree")
+    written = []
+    monkeypatch.setattr(source, "write_shared", lambda df, name: written.append(df) or df.sparkSession.createDataFrame(df.collect(), df.schema))
+    found = source.list_files(spark, str(tmp_path / "tree"))
+    assert found.count() == 400 and {r.repo_id for r in found.select("repo_id").distinct().collect()} == {"big"}
+    assert len(written) == 3 and written[2].rdd.getNumPartitions() >= 8
+    by_task = written[2].groupBy(F.spark_partition_id()).count().collect()
+    assert len(by_task) >= 8 and max(r["count"] for r in by_task) <= 120
+
+
+def test_a_tree_joins_its_commit_log(spark, tmp_path):
+    for name in ("acme", "zeta", "left-out"):
+        (tmp_path / "tree" / name / "node_modules" / "x").mkdir(parents=True)
+        (tmp_path / "tree" / name / "a.py").write_text(name)
+        (tmp_path / "tree" / name / "node_modules" / "x" / "b.js").write_text("b")
+    by_name = [(n, f"s{n}", "e", "N", dt.datetime(2024, 1, 1), "m", 1) for n in ("acme", "zeta")]
+    columns = "repo_id string, sha string, author_email string, author_name string, committed_date timestamp_ntz, message string, walk_pos int"
+    spark.createDataFrame(by_name, columns).write.json(str(tmp_path / "log"))
+    files = source.read_files(spark, str(tmp_path / "tree"), skip_folders=["node_modules"])
+    joined = files.join(commit_log.read_commit_log(spark, str(tmp_path / "log"), key="string"), "repo_id")
+    assert sorted((r.repo_id, r.path, r.sha) for r in joined.collect()) == [("acme", "a.py", "sacme"), ("zeta", "a.py", "szeta")]
+    ids = source.repository_ids(spark.createDataFrame([("zeta",), ("acme",), ("acme",)], "name string"))
+    assert sorted(map(tuple, ids.collect())) == [("acme", 1), ("zeta", 2)]
+    spark.createDataFrame([(1 if n[0] == "acme" else 2, *n[1:]) for n in by_name], columns.replace("repo_id string", "repo_id int")).write.json(str(tmp_path / "numbered"))
+    files = source.read_files(spark, str(tmp_path / "tree"), ids=ids)
+    assert files.schema["repo_id"].dataType.simpleString() == "int" and files.count() == 4
+    joined = files.join(commit_log.read_commit_log(spark, str(tmp_path / "numbered")), "repo_id")
+    assert sorted((r.repo_id, r.content, r.sha) for r in joined.filter("path = 'a.py'").collect()) == [(1, "acme", "sacme"), (2, "zeta", "szeta")]
+    assert source.list_files(spark, str(tmp_path / "tree" / "acme" / "node_modules")).count() == 1
+    (tmp_path / "empty").mkdir()
+    assert source.read_files(spark, str(tmp_path / "empty")).count() == 0
+
+
 def test_saved_names_see_long_suffixes(spark):
     profiles = spark.createDataFrame([("a", 1), ("a", 2)], "repo_name string, ord long")
     taken = spark.createDataFrame([("a_d",), ("a_d-1",), ("a_d-12345678901",)], "name string")
