@@ -1,7 +1,8 @@
 """Rule lexicons matched against file texts in one scan.
 
 A lexicon is ``{rule: [pattern, ...]}``. All patterns of all lexicons are looked for together in one
-pass over each text, and only non-zero counts leave the scan.
+pass over each text, and only non-zero counts leave the scan. The detectors also take a table of rules, with the
+rows of ``rule_rows`` and any others, beside the hits that ``rule_tables.rule_table_hits`` finds for it.
 """
 
 from pyspark.sql import DataFrame, functions as F
@@ -15,6 +16,7 @@ from codelode.operators.ranking import top_k
 HIGHLIGHT_LEXICONS = {
     "feature": lx.FEATURES, "integration": lx.INTEGRATIONS, "scale": lx.SCALE, "domain": lx.DOMAINS,
 }
+MOST_BROADCAST = 100_000  # patterns of a lexicon that is broadcast
 
 
 def rule_rows(spark, lexicons=HIGHLIGHT_LEXICONS) -> DataFrame:
@@ -61,20 +63,25 @@ def framework_sample(files: DataFrame, n: int | None = None) -> DataFrame:
     return source.unionByName(package)
 
 
-def file_rule_hits(files: DataFrame, lexicons=HIGHLIGHT_LEXICONS) -> DataFrame:
-    """Matches per (file, pattern): one scan for all lexicons, zero counts left out.
-
-    ``in_corpus`` rows count matches on lowercase text and describe the repository; ``in_evidence``
-    rows name files that match when case is ignored. A pattern of several rules is looked for once.
-    """
+def in_scope(files: DataFrame) -> DataFrame:
+    """(repo_id, path, corpus, evidence, content) of the files whose texts rules are matched with."""
     path = F.col("path")
     is_source = paths.lower_suffix(path).isin(lx.CORPUS_SUFFIXES) & ~paths.has_part(path, lx.CORPUS_SKIP)
-    scope = files.select(
+    return files.select(
         "repo_id", "path",
         (path.isin(lx.CONFIG_FILES) | is_source).alias("corpus"),
         (~paths.has_part(path, lx.SEARCH_SKIP)).alias("evidence"),
         "content",
     ).filter("corpus or evidence")
+
+
+def file_rule_hits(files: DataFrame, lexicons=HIGHLIGHT_LEXICONS) -> DataFrame:
+    """Matches per (file, pattern): one scan for all lexicons, zero counts left out.
+
+    ``in_corpus`` rows count matches on lowercase text and describe the repository; ``in_evidence``
+    rows name files that match when case is ignored. A pattern of several rules is looked for once.
+    """
+    scope = in_scope(files)
     scan = lexicon_scan(p for lexicon in lexicons.values() for ps in lexicon.values() for p in ps)
     found = scope.select("repo_id", "path", "corpus", "evidence", scan("content").alias("found"))
     return (
@@ -99,11 +106,18 @@ def pattern_evidence(hits: DataFrame, max_files: int = 10) -> DataFrame:
     return top_k(seen, ["repo_id", "pattern"], [paths.parts(F.col("path"))], max_files, "file_pos")
 
 
+def rules_of(hits: DataFrame, kind: str, lexicons=HIGHLIGHT_LEXICONS) -> DataFrame:
+    """(rule_pos, rule, pattern_pos, pattern) of one kind; of a table of rules, the planner decides how it is joined."""
+    if isinstance(lexicons, DataFrame):
+        return lexicons.filter(F.col("kind") == kind).select("rule_pos", "rule", "pattern_pos", "pattern")
+    rows = rule_rows(hits.sparkSession, {kind: lexicons[kind]}).drop("kind")
+    patterns = sum(map(len, lexicons[kind].values()))
+    return F.broadcast(rows) if patterns <= MOST_BROADCAST else rows
+
+
 def rule_totals(hits: DataFrame, kind: str, lexicons=HIGHLIGHT_LEXICONS) -> DataFrame:
-    """Corpus matches per (repository, rule, pattern) of one lexicon."""
-    spark = hits.sparkSession
-    rules = rule_rows(spark, {kind: lexicons[kind]}).drop("kind")
-    return pattern_totals(hits).join(F.broadcast(rules), "pattern")
+    """Corpus matches per (repository, rule, pattern) of one kind of rules."""
+    return pattern_totals(hits).join(rules_of(hits, kind, lexicons), "pattern")
 
 
 def detect_features(hits: DataFrame, min_hits: int = 3, k: int = 10, lexicons=HIGHLIGHT_LEXICONS) -> DataFrame:
@@ -122,14 +136,12 @@ def detect_features(hits: DataFrame, min_hits: int = 3, k: int = 10, lexicons=HI
 
 def feature_evidence(hits: DataFrame, features: DataFrame, k: int = 5, lexicons=HIGHLIGHT_LEXICONS) -> DataFrame:
     """First evidence files of each detected feature: by pattern, then file order, no file twice."""
-    rules = rule_rows(hits.sparkSession, {"feature": lexicons["feature"]}).select(
-        F.col("rule").alias("feature"), "pattern", "pattern_pos"
-    )
+    rules = rules_of(hits, "feature", lexicons).select(F.col("rule").alias("feature"), "pattern", "pattern_pos")
     counted = pattern_totals(hits).select("repo_id", "pattern")
     candidates = (
         pattern_evidence(hits)
         .join(counted, ["repo_id", "pattern"], "left_semi")
-        .join(F.broadcast(rules), "pattern")
+        .join(rules, "pattern")
         .join(features.select("repo_id", "feature"), ["repo_id", "feature"], "left_semi")
         .groupBy("repo_id", "feature", "path")
         .agg(F.min(F.struct("pattern_pos", "file_pos")).alias("first"))

@@ -2,7 +2,7 @@
 
 import re
 
-from pyspark.errors import SparkRuntimeException
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from codelode import lexicons as lx
@@ -51,40 +51,54 @@ def read_file(files: DataFrame, requests: DataFrame, max_lines: int = 500) -> Da
     )
 
 
-def _valid(spark: SparkSession, pattern: str, regex: str) -> bool:
-    """Whether the pattern is one for Python, and its translation one for the engine that runs it."""
+def is_valid(spark: SparkSession, pattern: str, regex: str) -> bool:
+    """Whether the pattern is one for Python, and its translation one for the engine that runs it; needs no job."""
     try:
         re.compile(pattern)
-        spark.range(1).select(F.lit("").rlike(regex)).collect()
-    except (re.error, SparkRuntimeException):
+    except re.error:
+        return False
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(regex)
+    except IllegalArgumentException:
         return False
     return True
 
 
-def search_code(files: DataFrame, pattern: str, max_results: int = 50) -> DataFrame:
-    """Lines that match a pattern without regard to case, the first ones per repository.
+def invalid_pattern(spark: SparkSession, pattern: str) -> DataFrame:
+    return spark.range(1).select(
+        F.lit(None).cast("int").alias("repo_id"), F.lit(None).cast("string").alias("path"),
+        F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("content"),
+        F.lit(f"Invalid regex pattern: {pattern}").alias("error"),
+    )
 
-    Lines are filtered inside their file's row, so only matching lines become rows.
-    """
-    regex = text.java_regex(pattern, "diu")
-    if not _valid(files.sparkSession, pattern, regex):
-        return files.sparkSession.range(1).select(
-            F.lit(None).cast("int").alias("repo_id"), F.lit(None).cast("string").alias("path"),
-            F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("content"),
-            F.lit(f"Invalid regex pattern: {pattern}").alias("error"),
-        )
+
+def searchable(files: DataFrame) -> DataFrame:
+    """The files that a search looks into."""
     if "is_text" in files.columns:
         files = files.filter("is_text")
-    searched = exclude_paths(files, lx.SEARCH_SKIP).filter(~paths.suffix(F.col("path")).isin(lx.BINARY_SUFFIXES))
+    return exclude_paths(files, lx.SEARCH_SKIP).filter(~paths.suffix(F.col("path")).isin(lx.BINARY_SUFFIXES))
+
+
+def line_hits(texts: DataFrame, keys: list[str], pattern: str, regex: str) -> DataFrame:
+    """(keys, line, content) of the lines that match; lines are filtered inside their text's row, so only they become rows."""
     numbered = F.transform(
         text.lines(F.col("content")), lambda line, i: F.struct((i + 1).alias("line"), line.alias("content"))
     )
     if not re.search(r"\\[AZz]|\^|\$|\(\?", pattern):
         # without anchors a match in a line is a match in the file: files without one stay whole
-        searched = searched.filter(F.col("content").rlike(regex))
-    hits = searched.select(
-        "repo_id", "path", F.inline(F.filter(numbered, lambda n: n["content"].rlike(regex)))
-    )
-    shown = hits.withColumn("content", F.substring(text.strip_inline(F.col("content")), 1, 200))
+        texts = texts.filter(F.col("content").rlike(regex))
+    hits = texts.select(*keys, F.inline(F.filter(numbered, lambda n: n["content"].rlike(regex))))
+    return hits.withColumn("content", F.substring(text.strip_inline(F.col("content")), 1, 200))
+
+
+def search_code(files: DataFrame, pattern: str, max_results: int = 50) -> DataFrame:
+    """Lines that match a pattern without regard to case, the first ones per repository.
+
+    Every call reads every text; ``search_index`` answers repeated searches of the same files from an index.
+    """
+    regex = text.java_regex(pattern, "diu")
+    if not is_valid(files.sparkSession, pattern, regex):
+        return invalid_pattern(files.sparkSession, pattern)
+    shown = line_hits(searchable(files), ["repo_id", "path"], pattern, regex)
     first = top_k(shown, ["repo_id"], [paths.parts(F.col("path")), F.col("line")], max_results, "position")
     return first.select("repo_id", "path", "line", "content", F.lit(None).cast("string").alias("error"))

@@ -64,6 +64,11 @@ FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey"""),
     # for DuckDB; Spark numbers the rows without a window over a whole repository, see Tables.commits
     "fx_commits": (["fx_commit_rows"], """
 SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY committed_date DESC, sha DESC) AS walk_pos FROM fx_commit_rows"""),
+    # a graph along the dates, with a merge every eleven commits and clocks that are weeks fast every forty
+    "fx_walk": (["fx_commit_rows"], """
+SELECT repo_id, sha, CASE WHEN r % 40 = 7 THEN committed_date + INTERVAL '30' DAY ELSE committed_date END AS committed_date,
+  CASE WHEN r = 1 THEN NULL WHEN r % 11 = 0 THEN split(concat(p1, ',', p5), ',') ELSE split(p1, ',') END AS parents
+FROM (SELECT *, row_number() OVER w AS r, lag(sha, 1) OVER w AS p1, lag(sha, 5) OVER w AS p5 FROM fx_commit_rows WINDOW w AS (PARTITION BY repo_id ORDER BY committed_date, sha)) x"""),
     "fx_files_code": (["part"], f"""
 SELECT CAST(p_partkey % 25 AS INT) AS repo_id, {CODE_PATH} AS path, {CODE_CONTENT} AS content FROM part"""),
     "fx_files_docs": (["documents"], """

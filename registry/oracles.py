@@ -60,6 +60,10 @@ RULE_ROWS = [
     for i, (rule, patterns) in enumerate(lexicon.items())
     for j, pattern in enumerate(patterns)
 ]
+FEATURES = """
+SELECT repo_id, position, feature, coalesce(title, feature) AS title, hits, confidence FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY confidence DESC, rule_pos) AS position FROM (
+  SELECT repo_id, rule_pos, rule AS feature, CAST(sum(hits) AS BIGINT) AS hits, least(1.0::DOUBLE, sum(hits) / 20) AS confidence FROM rule_hits WHERE kind = 'feature' GROUP BY ALL HAVING sum(hits) >= 3)
+LEFT JOIN """ + values([(q(k), q(t)) for k, (t, _) in lx.FEATURE_INFO.items()], "f, title") + """ ON f = feature) WHERE position <= 10"""
 FRAMEWORK_ROWS = [
     (i, q(rule), q(pattern)) for i, (rule, patterns) in enumerate(lx.FRAMEWORKS.items()) for pattern in patterns
 ]
@@ -186,6 +190,11 @@ FROM wanted_paths w LEFT JOIN (SELECT *, octet_length(encode(content)) AS size F
 SELECT repo_id, path, line, content, CAST(NULL AS VARCHAR) AS error FROM (SELECT repo_id, path, line, {trim('l')}[:200] AS content, row_number() OVER (PARTITION BY repo_id ORDER BY {PARTS}, line) AS rn
 FROM (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM sfx
   WHERE sfx NOT IN ({names(lx.BINARY_SUFFIXES)}) AND NOT {skipped(lx.SEARCH_SKIP)}) WHERE regexp_matches(l, '(?i)async|range|the on')) WHERE rn <= 50"""),
+    "indexed_search": (["search_code"], "SELECT * FROM search_code"),
+    "indexed_search_word": (["sfx"], f"""
+SELECT repo_id, path, line, content, CAST(NULL AS VARCHAR) AS error FROM (SELECT repo_id, path, line, {trim('l')}[:200] AS content, row_number() OVER (PARTITION BY repo_id ORDER BY {PARTS}, line) AS rn
+FROM (SELECT repo_id, path, unnest(string_split(content, chr(10))) AS l, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM sfx
+  WHERE sfx NOT IN ({names(lx.BINARY_SUFFIXES)}) AND NOT {skipped(lx.SEARCH_SKIP)}) WHERE regexp_matches(l, '(?i)\\bgem +.rails')) WHERE rn <= 50"""),
     "tree_paths": (["fx_files"], f"""
 SELECT repo_id, p, d, len(list_filter(p[:d], lambda c: c[1] = '.' OR c IN ({names(lx.LANGUAGE_SKIP)}))) AS hidden
 FROM (SELECT repo_id, {PARTS} AS p, unnest(range(1, least(len({PARTS}), 4) + 1)) AS d FROM fx_files)"""),
@@ -332,6 +341,14 @@ WHERE walk_pos < upto AND NOT EXISTS (SELECT 1 FROM fx_commits o WHERE o.repo_id
 SELECT repo_id, sha, walk_pos FROM commits_since JOIN fx_commits USING (repo_id, sha, walk_pos) WHERE committed_date >= TIMESTAMP '2001-03-01 00:00:00'"""),
     "numbered_commits": (["fx_commits"], """
 SELECT repo_id, sha, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY committed_date DESC, sha) AS INT) AS walk_pos FROM fx_commits"""),
+    "walk_rows": (["fx_commit_rows"], """
+SELECT repo_id, sha, r, epoch_us(committed_date + CASE WHEN r % 40 = 7 THEN INTERVAL '30' DAY ELSE INTERVAL '0' DAY END) AS d, r % 11 = 0 AS merges
+FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY committed_date, sha) AS r FROM fx_commit_rows)"""),
+    "walked_commits": (["walk_rows"], """
+SELECT repo_id, sha, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY last[-1] DESC, sha) AS INT) AS walk_pos FROM (WITH RECURSIVE walk AS (
+  SELECT repo_id, sha, r, [d] AS last FROM walk_rows WHERE r = 1
+  UNION ALL SELECT w.repo_id, w.sha, w.r, list_append(last, greatest(d, last[-1] + 1, CASE WHEN merges THEN last[-5] + 1 ELSE d END))[-5:] FROM walk JOIN walk_rows w ON w.repo_id = walk.repo_id AND w.r = walk.r + 1
+) SELECT * FROM walk)"""),
     "commit_batches": (["fx_commits"], """
 SELECT repo_id, sha, CAST(ceil(walk_pos / 25) AS BIGINT) AS batch_num, CAST(ceil(count(*) OVER (PARTITION BY repo_id) / 25) AS BIGINT) AS total_batches FROM fx_commits"""),
     "diffs": (["fx_commits", "fx_commit_files"], f"""
@@ -379,13 +396,21 @@ SELECT repo_id, pattern, CAST(sum(len(regexp_extract_all(lower(content), pattern
     "evidence": (["fx_files", "totals"], f"""
 SELECT repo_id, pattern, path, file_pos FROM (SELECT f.repo_id, pattern, path, row_number() OVER (PARTITION BY f.repo_id, pattern ORDER BY {PARTS}) AS file_pos FROM fx_files f JOIN totals t
 ON t.repo_id = f.repo_id AND regexp_matches(lower(translate(f.content, 'ıİſ', 'iis')), pattern) WHERE NOT {skipped(lx.SEARCH_SKIP)}) WHERE file_pos <= 10"""),
-    "features": (["rule_hits"], """
-SELECT repo_id, position, feature, title, hits, confidence FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY confidence DESC, rule_pos) AS position FROM (
-  SELECT repo_id, rule_pos, rule AS feature, CAST(sum(hits) AS BIGINT) AS hits, least(1.0::DOUBLE, sum(hits) / 20) AS confidence FROM rule_hits WHERE kind = 'feature' GROUP BY ALL HAVING sum(hits) >= 3)
-JOIN """ + values([(q(k), q(t)) for k, (t, _) in lx.FEATURE_INFO.items()], "f, title") + """ ON f = feature) WHERE position <= 10"""),
+    "features": (["rule_hits"], FEATURES),
     "feature_evidence": (["features", "rules", "evidence"], """
 SELECT repo_id, feature, position, path FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, feature ORDER BY o) AS position FROM (
   SELECT repo_id, feature, path, min(pattern_pos * 100 + file_pos) AS o FROM evidence JOIN rules USING (pattern) JOIN features f USING (repo_id) WHERE rule = feature AND kind = 'feature' GROUP BY ALL)) WHERE position <= 5"""),
+    "own_rules": (["fx_seed", "part"], """
+SELECT 'integration' AS kind, repo_id + 10000 AS rule_pos, label AS rule, lower(label) AS pattern FROM fx_seed
+UNION ALL SELECT 'feature', min(p_partkey) + 10000, string_split(p_name, ' ')[2], lower(string_split(p_name, ' ')[2]) FROM part GROUP BY ALL"""),
+    "own_hits": (["corpus", "own_rules"], """
+SELECT repo_id, kind, rule_pos, rule, pattern, CAST(sum((length(t) - length(replace(t, pattern, ''))) // length(pattern)) AS BIGINT) AS hits
+FROM (SELECT repo_id, lower(content) AS t FROM corpus) JOIN own_rules ON contains(t, pattern) GROUP BY ALL"""),
+    "all_hits": (["rule_hits", "own_hits"], """
+SELECT repo_id, kind, rule_pos, rule, pattern_pos, pattern, hits FROM rule_hits UNION ALL SELECT repo_id, kind, rule_pos, rule, 0, pattern, hits FROM own_hits"""),
+    "table_rule_integrations": (["all_hits"], """
+SELECT repo_id, rule_pos, rule AS integration, arg_min(pattern, pattern_pos) AS pattern, 0.8::DOUBLE AS confidence FROM all_hits WHERE kind = 'integration' GROUP BY ALL"""),
+    "table_rule_features": (["all_hits"], FEATURES.replace("rule_hits", "all_hits")),
     "integrations": (["rule_hits"], """
 SELECT repo_id, rule_pos, rule AS integration, arg_min(pattern, pattern_pos) AS pattern, 0.8::DOUBLE AS confidence FROM rule_hits WHERE kind = 'integration' GROUP BY ALL"""),
     "integration_evidence": (["integrations", "evidence"], """

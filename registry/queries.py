@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 from codelode import lexicons as lx
 from codelode.functions import formats
 from codelode.operators import (
-    files as fl, history, manifests, repo as rp, repo_docs as docs, rules, search, state, trees,
+    files as fl, history, manifests, repo as rp, repo_docs as docs, rule_tables, rules, search, search_index, state, trees,
 )
 from codelode.plans import analysis, highlights as hl, repo_info as ri, reports
 from codelode.sources import sinks
-from codelode.sources.commit_log import number_commits
+from codelode.sources.commit_log import number_commits, walk_commits
 from codelode.sources.shared import shared_folder, write_shared
 from codelode.streaming import commits as stream
 from registry.fixtures import Tables
@@ -214,6 +214,27 @@ def comment_lines(t: Tables) -> DataFrame:
     return source.select("repo_id", "path", F.size(lines).alias("lines_comment"))
 
 
+def rule_table(t: Tables) -> DataFrame:
+    """The lexicons as rows, an integration named like each repository, and a feature for each second word of a part's name."""
+    named = t.fixture("fx_seed").select(
+        F.lit("integration"), (F.col("repo_id") + 10_000).cast("int"), "label", F.lit(0), F.lower("label")
+    )
+    word = F.split("p_name", " ")[1]
+    parts = t.spark.read.parquet(f"{t.folder}/part.parquet").groupBy(word.alias("word")).agg(F.min("p_partkey").alias("first"))
+    nouns = parts.select(F.lit("feature"), (F.col("first") + 10_000).cast("int"), "word", F.lit(0), F.lower("word"))
+    return write_shared(rules.rule_rows(t.spark).union(named).union(nouns), "rule-rows")
+
+
+def table_rule_integrations(t: Tables) -> DataFrame:
+    given = rule_table(t)
+    return rules.detect_integrations(rule_tables.rule_table_hits(t.files, given), given)
+
+
+def table_rule_features(t: Tables) -> DataFrame:
+    given = rule_table(t)
+    return rules.detect_features(rule_tables.rule_table_hits(t.files, given), lexicons=given)
+
+
 SINCE_SHA = "0" * 37  # commits of a few orders
 
 QUERIES = {
@@ -245,6 +266,8 @@ QUERIES = {
     # reading, searching, trees
     "read_files": read_files,
     "search_code": lambda t: search.search_code(t.files, "async|range|the on"),
+    "indexed_search": lambda t: search_index.search_index(search_index.build_index(t.files, buckets=16), "async|range|the on"),
+    "indexed_search_word": lambda t: search_index.search_index(search_index.build_index(t.files, buckets=16), r"\bgem +.rails"),
     "file_tree": lambda t: trees.file_tree(t.files).drop("order"),
     "file_tree_nested": lambda t: trees.file_tree_nested(t.files),
     "key_files": lambda t: rp.key_files(t.files),
@@ -290,6 +313,7 @@ QUERIES = {
         t.commits, instant(), since_date=instant("2001-03-01")
     ).select("repo_id", "sha", "walk_pos"),
     "numbered_commits": lambda t: number_commits(t.commits).select("repo_id", "sha", "walk_pos"),
+    "walked_commits": lambda t: walk_commits(t.fixture("fx_walk")).select("repo_id", "sha", "walk_pos"),
     "commit_batches": lambda t: history.commit_batches(t.commits).select("repo_id", "sha", "batch_num", "total_batches"),
     "commits_with_diffs": lambda t: history.commits_with_diffs(t.commits, t.commit_files, instant(), 200, 730).withColumn(
         "diff", F.md5("diff")
@@ -310,6 +334,8 @@ QUERIES = {
     "scale_indicators": lambda t: rules.scale_indicators(hits(t)),
     "domains": lambda t: rules.detect_domain(hits(t), t.repos),
     "skills": lambda t: (lambda h: rules.skills(rules.detect_features(h), rules.detect_integrations(h)))(stored_hits(t)),
+    "table_rule_integrations": table_rule_integrations,
+    "table_rule_features": table_rule_features,
     # assembly and reports
     "repo_analysis": repo_analysis,
     "repo_info": info_row,
