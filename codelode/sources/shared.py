@@ -33,3 +33,27 @@ def write_shared(df: DataFrame, name: str) -> DataFrame:
     target = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+class Scratch:
+    """Intermediate tables of one job, each in a folder of its own, that are deleted once nothing reads them again."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.folder, self.paths = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` and read it back; a name that is used again gets one more folder."""
+        paths = self.paths.setdefault(name, [])
+        paths.append(f"{self.folder}/{name}-{len(paths)}")
+        df.write.parquet(paths[-1])
+        return self.spark.read.schema(df.schema).parquet(paths[-1])
+
+    def drop(self, *names: str) -> None:
+        """Delete tables; all that was made of them has to be written by now."""
+        for name in names:
+            for path in self.paths.pop(name, []):
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def drop_but(self, *names: str) -> None:
+        self.drop(*[n for n in self.paths if n not in names])
