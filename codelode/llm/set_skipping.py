@@ -4,16 +4,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codelode.llm.words import mix, shingle_sets
-from codelode.sources.shared import write_shared
+from codelode.sources.shared import Scratch, write_shared
 
 KNOWN = 1 << 16  # frequent shingles that the order puts last
 BUFFER = 1 << 21  # shingles that are counted at a time
-BLOCK = 8192  # sets of one list that a task holds
-SEEN = 1 << 20
+SEEN = 1 << 17  # sets that a task remembers so as not to list equal ones again
 GUESS = 3  # lists that a likely pair shares for each one that its leader leads
+GRADE = 1.04  # sizes of a block differ by this factor at most
+LANE = 1 << 23  # shingles of a family that one task compares with the family's base
+SPAN = 1 << 20  # differing shingles of a family that one task holds in an index
+STEP = 1 << 22  # index entries that are counted at a time
 
 
 def _passes(overlap, a, b):
@@ -31,6 +34,11 @@ def _may_link(shared):
     return _passes(shared + behind, F.col("n"), F.col("m")) & (10 * F.least("n", "m") >= 8 * F.greatest("n", "m"))
 
 
+def _least_shared(n: Column, m: Column) -> Column:
+    """Nine times the prefix shingles that sets of n and m shingles share at least if they link; see ``_may_link``."""
+    return 4 * (n + m) - 9 * (F.greatest(F.ceil(n * 8 / 10), F.ceil(m * 8 / 10)) - 1)
+
+
 def _digest(s: np.ndarray) -> tuple[int, int]:
     """Two 64-bit sums that stand for a set in joins."""
     one = mix(s).sum(dtype=np.uint64)
@@ -68,7 +76,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(frequent: np.ndarray, rank: np.ndarray):
-    """(key, c, n) of every set's prefix: the shingles that any set similar enough must share one of.
+    """(key, c, at) of every set's prefix: the shingles that any set similar enough must share one of.
+
+    ``at`` holds the set's size and the shingle's position in the set, in the halves of a number.
 
     The order of shingles: those not known to be frequent by hash, then the frequent ones by ascending count. Any one
     order of all shingles gives exact answers; this one keeps lists short.
@@ -96,21 +106,21 @@ def _prefixes(frequent: np.ndarray, rank: np.ndarray):
                     keys = s[:length]
                 out.append((keys, c, n))
             sizes = [len(k) for k, _, _ in out]
-            columns = (
-                [np.concatenate([k for k, _, _ in out]).view(np.int64), np.repeat([c for _, c, _ in out], sizes), np.repeat([n for _, _, n in out], sizes)]
-                if out else [np.zeros(0, np.int64)] * 3
-            )
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "c", "n"])
+            columns = [np.zeros(0, np.int64)] * 3
+            if out:
+                places = np.concatenate([np.arange(x) for x in sizes]) + np.repeat([n << 32 for _, _, n in out], sizes)
+                columns = [np.concatenate([k for k, _, _ in out]).view(np.int64), np.repeat([c for _, c, _ in out], sizes), places]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "c", "at"])
 
     return emit
 
 
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of keys that two or more sets have, from rows sorted by key and set; repeated sets of a key once."""
-    last = None  # (key, c, n, whether the row before has its key)
+    last = None  # (key, c, at, whether the row before has its key)
 
     def made(columns):
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "c", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "c", "at"])
 
     for batch in batches:
         key, c, where = (x.to_numpy() for x in batch.columns)
@@ -149,45 +159,77 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.int64())], names=["a", "b", "na", "nb", "overlap"])
 
 
-def _crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, n, m, lists): pairs of sets of different components, and how many lists of a batch they share.
+def _diffs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(family, sid, label, n, base, missing, diff): what tells each set from its family's base, whose row comes first.
 
-    Rows come by (key, block): the block's odd ones first, then all sets of the list by size. Runs of sizes that
-    cannot reach the odd one are skipped; so are pairs whose known distances to the list's leader differ by more
-    than the join's distance, which rules them out wherever else they meet.
+    ``diff`` holds the base's shingles that the set lacks, ``missing`` of them, and the set's that the base lacks.
     """
-    group, odd, out = None, [], None
+    group, base = None, None
     for batch in batches:
-        key, block, kind, sid, comp, n, far, main = (x.to_numpy(zero_copy_only=False) for x in batch.columns)
-        edges = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]) | (kind[1:] != kind[:-1]))))
-        out = [[], [], [], []]
-        for start, stop in zip(edges, np.append(edges[1:], len(key))):
-            here = (key[start], block[start])
-            rows = (sid[start:stop], comp[start:stop], n[start:stop], far[start:stop], main[start:stop])
-            if kind[start] == 0:
-                odd = [np.concatenate(x) for x in zip(odd, rows)] if here == group else list(rows)
-                group = here
+        out = []
+        for family, lane, kind, sid, label, data in zip(*(c.to_pylist() for c in batch.columns)):
+            data = np.frombuffer(data, np.uint64)
+            if kind == 0:
+                group, base = (family, lane), data
                 continue
-            if here != group:
-                continue
-            s, k, m, f, whole = rows
-            for i in range(len(odd[0])):
-                lo, hi = np.searchsorted(m, -(-odd[2][i] * 8 // 10)), np.searchsorted(m, odd[2][i] * 10 // 8, side="right")
-                ok = (k[lo:hi] != odd[1][i]) & (whole[lo:hi] | (s[lo:hi] > odd[0][i]))
-                with np.errstate(invalid="ignore"):
-                    ok &= ~(np.abs(f[lo:hi] - odd[3][i]) > 0.2 + 1e-9)  # an unknown distance (NaN) rules nothing out
-                found = np.flatnonzero(ok) + lo
-                for column, values in zip(out, (np.full(len(found), odd[0][i]), s[found], np.full(len(found), odd[2][i]), m[found])):
-                    column.append(values)
-        if out[0]:
-            one, two, n1, n2 = map(np.concatenate, out)
-            low, high = np.minimum(one, two), np.maximum(one, two)
-            small, large = np.where(one < two, n1, n2), np.where(one < two, n2, n1)
-            order = np.lexsort((high, low))
-            low, high = low[order], high[order]
-            first = np.flatnonzero(np.concatenate(([True], (low[1:] != low[:-1]) | (high[1:] != high[:-1])))) if len(low) else order
-            columns = (low[first], high[first], small[order][first], large[order][first], np.diff(np.append(first, len(low))))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "n", "m", "lists"])
+            assert group == (family, lane)
+            lacks = np.setdiff1d(base, data, assume_unique=True)
+            diff = np.concatenate((lacks, np.setdiff1d(data, base, assume_unique=True)))
+            out.append((family, sid, label, len(data), len(base), len(lacks), len(diff), diff.tobytes()))
+        columns = zip(*out) if out else [[]] * 8
+        kinds = [pa.int64()] * 7 + [pa.binary()]
+        names = ["family", "sid", "label", "n", "base", "missing", "size", "diff"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+
+class _Index:
+    """Sets of a family, by the shingles that tell them from its base."""
+
+    def __init__(self, rows: list[tuple]):
+        self.sid, self.label, self.n, self.missing = (np.array([r[c] for r in rows], np.int64) for c in range(4))
+        sizes = [len(r[4]) for r in rows]
+        shingles, owner = np.concatenate([r[4] for r in rows]), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+        order = np.argsort(shingles, kind="stable")
+        self.shingles, self.owner = shingles[order], owner[order]
+
+    def shared(self, diff: np.ndarray) -> np.ndarray:
+        """How many shingles of ``diff`` each set's difference has too."""
+        start, stop = np.searchsorted(self.shingles, diff), np.searchsorted(self.shingles, diff, side="right")
+        counts, found = stop - start, np.zeros(len(self.sid), np.int64)
+        ends = np.cumsum(counts)
+        at = 0
+        while at < len(diff):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + STEP, side="right")))
+            c = counts[at:to]
+            places = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c) + np.repeat(start[at:to], c)
+            found += np.bincount(self.owner[places], minlength=len(found))
+            at = to
+        return found
+
+    def links(self, sid: int, label: int, n: int, base: int, missing: int, diff: np.ndarray) -> np.ndarray:
+        """A set of each other label that links with this one; overlaps follow from the base's and the two differences."""
+        overlap = base - missing - self.missing + self.shared(diff)
+        hits = np.flatnonzero(_passes(overlap, n, self.n) & (self.label != label))
+        return self.sid[hits[np.unique(self.label[hits], return_index=True)[1]]]
+
+
+def _family_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between sets of one family and different labels: first come the sets of a block, then those that ask."""
+    group, held, index = None, [], None
+    for batch in batches:
+        found = []
+        for family, block, kind, sid, label, n, base, missing, diff in zip(*(c.to_pylist() for c in batch.columns)):
+            if group != (family, block):
+                group, held, index = (family, block), [], None
+            diff = np.frombuffer(diff, np.uint64)
+            if kind == 0:
+                held.append((sid, label, n, missing, diff))
+            elif held or index is not None:
+                if index is None:
+                    index, held = _Index(held), []
+                found += [(sid, other) for other in index.links(sid, label, n, base, missing, diff).tolist()]
+        columns = zip(*found) if found else [[]] * 2
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -199,117 +241,160 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     1. Equal sets become one node. A set's prefix, a fifth of its shingles in an order with frequent ones last, must
        share a shingle with that of any similar set. The frequent ones come from counts over all documents; the table that
        tasks get holds at most ``KNOWN`` of them and only decides the order, never the answers.
-    2. Prefix shingles make index lists; those of one set only are dropped. Each set is compared with one leader, the one
-       that leads most of its lists, and sets linked to their leaders form groups.
-    3. Links inside a group are answered by it. A list with several groups pairs the sets outside its largest one with the
-       rest, in blocks, by size; pairs whose prefixes share enough are compared exactly, and links make components.
-    4. Where a set was not linked to its leader after all, lists are paired once more, now by component and by the distances
-       to the leader that are known (distance is a metric, so two that differ by more than 0.2 rule a link out).
-
-    Each task holds a block of a list or a batch of texts; a large group of copies costs a row per prefix shingle and set.
+    2. Prefix shingles make index lists; those of one set only are dropped. An entry carries the set's size and the
+       shingle's position. Each set follows one leader, the one that leads most of its lists; a list is led by the set with the largest share of
+       shingles in lists, which near copies have most in common with. Sets that lead to each other make a family, and all are compared with their leaders.
+    3. Lists with several families are first read in blocks, one for each family and grade of size: a set skips a whole block if
+       it shares too few lists with it, or none at a position early enough for any link. Only sets that remain
+       are paired with the members of a block; pairs whose prefixes share enough are compared exactly.
+    4. A family whose members are not all linked by now derives the other answers from one base set: members are written as their
+       differences from it, so the overlap of two follows from the shingles that both differences hold, counted by
+       an index of these. So no pair of a family is ever a row; a set that finds links reports one for each component.
+
+    Each task holds a batch of texts, or an index of about a million differing shingles; a large group of copies costs a row per
+    prefix shingle and set. Intermediate tables are deleted when all that read them is written.
     Defined cases: null and empty texts, and texts of white space, have no shingles and are their own components; null ids
     link as others do and get the smallest id reached, or null; repeated rows give a row each. Other columns are ignored.
     """
-    spark = documents.sparkSession
+    scratch = Scratch(documents.sparkSession, "ngram")
     texts = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    described = write_shared(
-        texts.select("id", "text", F.xxhash64("text")).mapInArrow(_describe, "k int, a long, b long, c long, d long, t long"), "ngram-documents"
+    described = scratch.write(
+        texts.select("id", "text", F.xxhash64("text")).mapInArrow(_describe, "k int, a long, b long, c long, d long, t long"), "documents"
     )
     docs = described.filter("k = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("n"), "c", "d", F.col("t").alias("text_hash"))
     common = described.filter("k = 1").groupBy("a").agg(F.sum("b").alias("count")).orderBy(F.desc("count"), "a").limit(KNOWN).toPandas()
     frequent = common["a"].to_numpy(np.int64).view(np.uint64)
     rank = np.lexsort((frequent, common["count"].to_numpy(np.int64))).argsort() + 1
     order = np.argsort(frequent)
-    prefixes = texts.select("text").mapInArrow(_prefixes(frequent[order], rank[order]), "key long, c long, n long")
-    lists = prefixes.repartition("key").sortWithinPartitions("key", "c").mapInArrow(_live, "key long, c long, n long")
-    lists = write_shared(lists, "ngram-lists")
+    prefixes = texts.select("text").mapInArrow(_prefixes(frequent[order], rank[order]), "key long, c long, at long")
+    lists = prefixes.repartition("key").sortWithinPartitions("key", "c").mapInArrow(_live, "key long, c long, at long")
+    lists = scratch.write(lists, "lists").withColumn("n", F.shiftright("at", 32)).withColumn("pos", F.col("at").bitwiseAND((1 << 32) - 1))
 
     sets = docs.filter("n > 0").groupBy("n", "c", "d").agg(F.min("doc_id").alias("rep"))
-    nodes = sets.join(lists.select("c").distinct(), "c").withColumn("sid", F.monotonically_increasing_id())
-    nodes = write_shared(nodes, "ngram-nodes")
-    lists = lists.join(nodes.select("c", "n", "sid"), ["c", "n"]).drop("c")
-    leaders = lists.groupBy("key").agg(F.min(F.struct(F.xxhash64("sid").alias("h"), "sid", "n")).alias("lead"))
-    led = lists.join(leaders, "key").select("key", "sid", "n", F.col("lead.sid").alias("leader"), F.col("lead.n").alias("m"))
-    led = write_shared(led, "ngram-postings")
+    alive = lists.groupBy("c", "n").agg(F.count("*").alias("live"))
+    nodes = scratch.write(sets.join(alive, ["c", "n"]).withColumn("sid", F.monotonically_increasing_id()), "nodes")
+    entries = lists.join(nodes.select("c", "n", "sid", (F.col("live") / F.col("n")).alias("share")), ["c", "n"]).drop("c", "at")
+    leaders = entries.groupBy("key").agg(F.max(F.struct("share", F.xxhash64("sid").alias("h"), "sid", "n")).alias("lead"))
+    led = entries.join(leaders, "key").select("key", "sid", "n", "pos", F.col("lead.sid").alias("leader"), F.col("lead.n").alias("m"))
+    led = scratch.write(led, "entries")
+    scratch.drop("lists")
     # a pair may share more lists than its leader leads: the choice is a guess, and a wrong one costs comparisons only
     votes = led.filter("sid != leader").groupBy("sid", "leader", "n", "m").agg(F.count("*").alias("lists"))
     votes = votes.filter(_may_link(GUESS * F.col("lists")))
     chosen = votes.groupBy("sid").agg(F.max(F.struct("lists", "leader")).alias("v")).select(F.col("v.leader").alias("a"), F.col("sid").alias("b"))
-    chosen = write_shared(chosen, "ngram-chosen")
-    # as if every set were linked to its leader: pairs across such groups are all that other comparisons can need now
-    across = _crossing_pairs(led.withColumn("far", F.lit(None).cast("double")), _components(nodes, chosen))
-    across = write_shared(across, "ngram-across")
+    chosen = scratch.write(chosen, "chosen")
+    families = _components(nodes, chosen, scratch)
+    across = scratch.write(_pairs_across(led, families, scratch), "across")
+    scratch.drop("entries", "listed")
+
     both = chosen.unionByName(across)
     members = both.select(F.col("a").alias("sid")).union(both.select("b")).distinct()
-    wanted = write_shared(nodes.join(members, "sid"), "ngram-wanted")
+    wanted = scratch.write(nodes.join(members, "sid"), "wanted")
     data = texts.join(wanted.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
     data = data.mapInArrow(_sets, "c long, d long, n long, data binary").join(wanted, ["c", "d", "n"]).select("sid", "n", "data")
-    data = write_shared(data.dropDuplicates(["sid"]), "ngram-sets")
-    first, second = _compare(chosen, data), _compare(across, data)
-    compared = first.unionByName(second)
-    labels = _components(nodes, _linked(compared))
-
-    # pairs of one leader that are not in one component after all: both have been compared with it
-    far = 1 - F.col("overlap") / (F.col("na") + F.col("nb") - F.col("overlap"))
-    known = first.select(F.col("b").alias("sid"), F.col("a").alias("leader"), far.alias("far"))
-    placed = led.join(known, ["sid", "leader"], "left").withColumn("far", F.when(F.col("sid") == F.col("leader"), 0.0).otherwise(F.col("far")))
-    done = compared.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    third = _compare(_crossing_pairs(placed, labels).join(done, ["a", "b"], "left_anti"), data)
-    labels = _components(nodes, _linked(compared.unionByName(third)))
+    data = scratch.write(data.dropDuplicates(["sid"]), "sets")
+    links = scratch.write(_linked(_compare(both, data)), "links")
+    labels = _components(nodes, links, scratch)
+    more = scratch.write(_links_within(families, labels, chosen, data, scratch), "links-within")
+    labels = _components(nodes, links.unionByName(more), scratch)
 
     grouped = nodes.join(labels, "sid")
     smallest = grouped.groupBy("label").agg(F.min("rep").alias("smallest"))
-    found = write_shared(grouped.join(smallest, "label").select("n", "c", "d", "smallest"), "ngram-classes")
+    found = scratch.write(grouped.join(smallest, "label").select("n", "c", "d", "smallest"), "classes")
     classes = sets.join(found, ["n", "c", "d"], "left").select("n", "c", "d", F.coalesce("smallest", "rep").alias("component_id"))
-    classes = write_shared(classes, "ngram-components")
+    classes = scratch.write(classes, "components")
+    scratch.drop_but("documents", "components")
     alone = docs.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), "text_hash")
     return docs.filter("n > 0").join(classes, ["n", "c", "d"]).select(
         "doc_id", F.col("n").alias("n_shingles"), "component_id", "text_hash"
     ).unionByName(alone)
 
 
-def _crossing_pairs(placed: DataFrame, labels: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs of sets of different labels that may link; placed(key, sid, n, far) lists every set by key."""
-    listed = write_shared(placed.join(labels, "sid").select("key", "sid", "label", "n", "far"), "ngram-listed")
-    shares = listed.groupBy("key", "label").agg(F.count("*").alias("size"))
-    split = shares.groupBy("key").agg(
-        F.max(F.struct("size", "label")).alias("top"), F.count("*").alias("labels"), F.sum("size").alias("all")
-    ).filter("labels > 1").select("key", F.col("top.label").alias("main"), F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int").alias("blocks"))
-    rows = listed.join(split, "key").select(
-        "key", "sid", "label", "n", F.coalesce("far", F.lit(float("nan"))).alias("far"), (F.col("label") == F.col("main")).alias("main"), "blocks"
+def _pairs_across(entries: DataFrame, families: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b), a < b: pairs of sets of different families that may link.
+
+    Of two families the set of the smaller one asks, in all lists alike, so what it shares with a block is counted whole.
+    """
+    sizes = families.groupBy("label").agg(F.count("*").alias("size"))
+    grade = F.floor(F.log(F.col("n").cast("double")) / float(np.log(GRADE))).cast("int")
+    listed = entries.select("key", "sid", "n", "pos").join(families.join(sizes, "label"), "sid").withColumn("grade", grade)
+    listed = scratch.write(listed, "listed")
+    mixed = listed.groupBy("key").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one != other").select("key")
+    rows = scratch.write(listed.join(mixed, "key"), "mixed")
+    blocks = rows.groupBy("key", F.col("label").alias("label2"), F.col("size").alias("size2"), F.col("grade").alias("grade2")).agg(
+        F.min("n").alias("m0"), F.max("n").alias("m1"), F.min("pos").alias("first")
+    )
+    n, m0, m1 = F.col("n"), F.col("m0"), F.col("m1")
+    met = rows.join(blocks, "key").filter(
+        (F.struct("size", "label") < F.struct(F.col("size2").alias("size"), F.col("label2").alias("label"))) & (10 * m1 >= 8 * n) & (8 * m0 <= 10 * n)
+    )
+    # a link shares its first shingle where enough of both sets is still to come
+    early = (9 * F.col("pos") <= 5 * n - 4 * m0) & (9 * F.col("first") <= 5 * m1 - 4 * n)
+    met = met.groupBy("sid", "n", "label2", "grade2").agg(
+        F.count("*").alias("shared"), F.min("m0").alias("m0"), F.max("m1").alias("m1"), F.bool_or(early).alias("early")
+    )
+    # between two sizes what a link has to share is least at one of them
+    worth = met.filter(F.col("early") & (9 * F.col("shared") >= F.least(_least_shared(n, m0), _least_shared(n, m1))))
+    asking = rows.select("key", "sid", "n").join(worth.select("sid", F.col("label2").alias("label"), F.col("grade2").alias("grade")), "sid")
+    asked = rows.select("key", "label", "grade", F.col("sid").alias("other"), F.col("n").alias("m"))
+    pairs = asking.join(asked, ["key", "label", "grade"]).groupBy("sid", "other", "n", "m").agg(F.count("*").alias("lists"))
+    return pairs.filter(_may_link(F.col("lists"))).select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
+
+
+def _links_within(families: DataFrame, labels: DataFrame, chosen: DataFrame, data: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between sets of one family that have different labels, at least one between any two labels that have any."""
+    placed = families.withColumnRenamed("label", "family").join(labels, "sid")
+    split = placed.groupBy("family").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one != other").select("family")
+    members = scratch.write(placed.join(split, "family"), "members")
+    followers = chosen.groupBy(F.col("a").alias("sid")).agg(F.count("*").alias("followers"))
+    bases = members.join(followers, "sid").groupBy("family").agg(F.max(F.struct("followers", "sid")).alias("base")).select("family", F.col("base.sid").alias("sid"))
+    held = members.join(data, "sid")
+    lanes = members.join(data.select("sid", "n"), "sid").groupBy("family").agg(F.ceil(F.sum("n") / LANE).cast("int").alias("lanes"))
+    first = bases.join(data, "sid").join(lanes, "family").select(
+        "family", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(0).alias("kind"), "sid", F.lit(0).cast("long").alias("label"), "data"
     )
-    odd = rows.filter(~F.col("main")).withColumns({"block": F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"), "kind": F.lit(0)})
-    rest = rows.withColumns({"block": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)), "kind": F.lit(1)})
-    both = odd.unionByName(rest).repartition("key", "block").sortWithinPartitions("key", "block", "kind", "n")
-    crossing = both.select("key", "block", "kind", "sid", "label", "n", "far", "main").mapInArrow(
-        _crossing, "a long, b long, n long, m long, lists long"
+    rest = held.join(lanes, "family").select("family", F.pmod(F.xxhash64("sid"), F.col("lanes")).cast("int").alias("lane"), F.lit(1).alias("kind"), "sid", "label", "data")
+    both = first.unionByName(rest).repartition("family", "lane").sortWithinPartitions("family", "lane", "kind")
+    diffs = both.mapInArrow(_diffs, "family long, sid long, label long, n long, base long, missing long, size long, diff binary")
+    diffs = scratch.write(diffs, "diffs")
+    counts = diffs.groupBy("family", "label").agg(F.count("*").alias("sets"), F.sum("size").alias("size"))
+    spans = counts.groupBy("family").agg(
+        F.max(F.struct("sets", "label")).alias("main"), F.greatest(F.ceil(F.sum("size") / SPAN), F.lit(1)).cast("int").alias("blocks")
     )
-    return crossing.groupBy("a", "b", "n", "m").agg(F.sum("lists").alias("lists")).filter(_may_link(F.col("lists"))).select("a", "b")
+    spread = diffs.join(spans, "family")
+    columns = ["kind", "sid", "label", "n", "base", "missing", "diff"]
+    index = spread.withColumn("kind", F.lit(0)).select("family", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"), *columns)
+    ask = spread.filter(F.col("label") != F.col("main.label")).withColumn("kind", F.lit(1))
+    ask = ask.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *columns)
+    dealt = index.unionByName(ask).repartition("family", "block").sortWithinPartitions("family", "block", "kind")
+    return dealt.mapInArrow(_family_links, "a long, b long")
 
 
 def _compare(pairs: DataFrame, data: DataFrame) -> DataFrame:
-    """Pairs (a, b) with their sizes and exact overlap, written once."""
+    """Pairs (a, b) with their sizes and exact overlap."""
     one = data.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("data").alias("one"))
     two = data.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("data").alias("two"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "one", "two")
-    return write_shared(both.mapInArrow(_overlaps, "a long, b long, na long, nb long, overlap long"), "ngram-compared")
+    return both.mapInArrow(_overlaps, "a long, b long, na long, nb long, overlap long")
 
 
 def _linked(compared: DataFrame) -> DataFrame:
     return compared.filter(_passes(F.col("overlap"), F.col("na"), F.col("nb"))).select("a", "b")
 
 
-def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+def _components(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(sid, label): in each round every node hooks to its smallest neighbour if that is smaller, and edges are contracted."""
-    edges = write_shared(links.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "ngram-links")
+    edges = scratch.write(links.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).distinct(), "edges")
     labels = nodes.select("sid", F.col("sid").alias("label"))
     while edges.limit(1).count():
-        hooks = write_shared(edges.groupBy("high").agg(F.min("low").alias("to")), "ngram-hooks")
+        hooks = scratch.write(edges.groupBy("high").agg(F.min("low").alias("to")), "hooks")
         labels = labels.join(hooks.withColumnRenamed("high", "label"), "label", "left").select("sid", F.coalesce("to", "label").alias("label"))
         lows, highs = hooks.select(F.col("high").alias("low"), F.col("to").alias("x")), hooks.select("high", F.col("to").alias("y"))
         moved = edges.join(lows, "low", "left").join(highs, "high", "left").select(F.coalesce("x", "low").alias("u"), F.coalesce("y", "high").alias("v"))
-        edges = write_shared(moved.filter("u != v").select(F.least("u", "v").alias("low"), F.greatest("u", "v").alias("high")).distinct(), "ngram-links")
-    return write_shared(labels, "ngram-labels")
+        edges = scratch.write(moved.filter("u != v").select(F.least("u", "v").alias("low"), F.greatest("u", "v").alias("high")).distinct(), "edges")
+    labels = scratch.write(labels, "labels")
+    scratch.drop("edges", "hooks")
+    return labels
 
 
 def without_near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

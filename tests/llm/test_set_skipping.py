@@ -62,10 +62,11 @@ def docs(spark):
     return lambda rows: spark.createDataFrame([(*r, 2, "k") for r in rows], "doc_id long, text string, n int, key string")
 
 
-@pytest.mark.parametrize("seed,known,block", [(1, 1 << 16, 8192), (2, 0, 3), (3, 20, 1)])
-def test_components_match_brute_force(docs, monkeypatch, seed, known, block):
+@pytest.mark.parametrize("seed,known,span", [(1, 1 << 16, 1 << 20), (2, 0, 300), (3, 20, 40), (4, 20, 1 << 20)])
+def test_components_match_brute_force(docs, monkeypatch, seed, known, span):
     monkeypatch.setattr(set_skipping, "KNOWN", known)
-    monkeypatch.setattr(set_skipping, "BLOCK", block)
+    for name in ("LANE", "SPAN", "STEP"):
+        monkeypatch.setattr(set_skipping, name, span)
     rng = random.Random(seed)
     texts = corpus(seed)
     ids = rng.sample(range(10000), len(texts))
@@ -96,6 +97,62 @@ def test_a_large_group_makes_few_pairs(spark, docs):
     assert found.filter("component_id = 0").count() == 600
 
 
+def loose_group(n, seed=9, words=100):
+    """Near copies of a base that are often too far from each other, and texts that share a passage only."""
+    rng = random.Random(seed)
+    base, passage = [f"v{i}" for i in range(words)], [f"p{i}" for i in range(30)]
+    rows = []
+    for i in range(n):
+        new = list(base)
+        for j in range(rng.choice([1, 2, 2, 3, 4])):
+            new[rng.randrange(words)] = f"x{i}y{j}"
+        rows.append((2 * i, " ".join(new)))
+        own = [f"o{i}z{j}" for j in range(rng.randint(20, 60))]
+        rows.append((2 * i + 1, " ".join(own[:10] + passage + own[10:])))
+    return rows
+
+
+def test_a_loose_group_is_answered_without_pairs(spark, docs, monkeypatch):
+    """What the steps write grows with the group, not with its square; and the links are those of brute force."""
+    written = {}
+    real = set_skipping.Scratch.write
+
+    def count(self, df, name):
+        out = real(self, df, name)
+        written[name] = max(written.get(name, 0), out.count())
+        return out
+
+    monkeypatch.setattr(set_skipping.Scratch, "write", count)
+    counts = []
+    for n in (100, 400):
+        written.clear()
+        rows = loose_group(n)
+        found = set_skipping.near_duplicates(docs(rows)).drop("text_hash").collect()
+        assert sorted(map(tuple, found), key=str) == brute(rows)
+        counts.append(dict(written))
+    for name in ("across", "links-within", "links", "diffs"):
+        assert counts[1][name] <= 6 * counts[0][name] + 50, (name, counts)
+    assert counts[1]["across"] < 400
+
+
+def test_very_long_and_very_equal_texts(docs, monkeypatch):
+    monkeypatch.setattr(set_skipping, "SPAN", 5000)
+    long = " ".join(f"l{i}" for i in range(30_000))
+    rows = [(1, long), (2, long + " tail"), (3, "l1 " * 50_000), (4, "l1 " * 40_000), (5, "x" * 200_000), (6, "x" * 200_000 + " y")]
+    found = set_skipping.near_duplicates(docs(rows + [(9, "same few words here now")] * 40)).collect()
+    assert {r.doc_id: r.component_id for r in found} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 6, 9: 9} and len(found) == 46
+
+
+def test_nothing_is_left_behind(spark, docs):
+    import os
+
+    from codelode.sources.shared import shared_folder
+
+    set_skipping.near_duplicates(docs([(i, t) for i, t in enumerate(corpus(7, 60))])).collect()
+    newest = max((os.path.join(shared_folder(spark), f) for f in os.listdir(shared_folder(spark)) if f.startswith("ngram-")), key=os.path.getmtime)
+    assert sorted(f.rsplit("-", 1)[0] for f in os.listdir(newest)) == ["components", "documents"]
+
+
 def test_join_of_nothing(docs):
     assert set_skipping.near_duplicates(docs([])).count() == 0
     assert set_skipping.near_duplicates(docs([(1, "a"), (2, "b")])).filter(F.col("doc_id") == F.col("component_id")).count() == 2
