@@ -539,6 +539,9 @@ JOIN (SELECT lang, slot, row_number() OVER (PARTITION BY lang ORDER BY slot) AS
     "stories_page": (["fx_stories"], """
 SELECT story_id, repo_name, files_changed, lines_added, lines_removed, last_commit_at, (SELECT count(*) FROM fx_stories WHERE list_has_any(list_transform(technologies, lambda t: lower(t)), ['python', 'sql']) AND last_commit_at >= TIMESTAMP '1998-01-01 00:00:00') AS total
 FROM fx_stories WHERE list_has_any(list_transform(technologies, lambda t: lower(t)), ['python', 'sql']) AND last_commit_at >= TIMESTAMP '1998-01-01 00:00:00' ORDER BY last_commit_at DESC, story_id LIMIT 50 OFFSET 20"""),
+    "committed_profiles": (["documents"], """
+SELECT lang || '_2001-08-02' || CASE WHEN j = 1 THEN '' ELSE '-' || (j - 1) END AS name, lang AS repo_name, md5(text) AS content, source AS metadata, '2001-08-02' AS saved_on
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id % 2, doc_id) AS j FROM documents)"""),
     "story_cards": (["fx_stories"], """
 SELECT story_id, summary, array_to_string(technologies[:5], ' ') AS technologies, repo_name || ' • ' || files_changed || ' files • +' || lines_added || ' -' || lines_removed || ' • ' || strftime(last_commit_at, '%Y-%m-%d') AS details FROM fx_stories"""),
     "stored": (["repo_hashes", "fx_repos"], """

@@ -156,6 +156,17 @@ def saved_names(t: Tables) -> DataFrame:
     return state.saved_names(profiles, existing, DATE)
 
 
+def committed_profiles(t: Tables) -> DataFrame:
+    """Profiles named by language, written by two writers in turn."""
+    documents = t.spark.read.parquet(f"{t.folder}/documents.parquet")
+    rows = documents.select(F.col("lang").alias("repo_name"), F.col("doc_id").alias("ord"), F.md5("text").alias("content"), "source")
+    rows = rows.withColumnRenamed("source", "metadata")
+    path = f"{shared_folder(t.spark)}/profiles-{uuid.uuid4().hex}"
+    for turn in range(2):
+        sinks.ProfileStore(t.spark, path).save(rows.filter(F.col("ord") % 2 == turn), DATE)
+    return sinks.ProfileStore(t.spark, path).read()
+
+
 def stored_state(t: Tables) -> DataFrame:
     current = state.repo_fingerprints(t.commits, t.repos).join(t.repos.select("path", "repo_id"), "path")
     kept = current.filter(F.col("repo_id") % 5 != 4).select(
@@ -373,6 +384,7 @@ QUERIES = {
     "profiles_to_push": lambda t: state.profiles_to_push(listed_profiles(t)),
     "push_summary": push_summary,
     "saved_names": saved_names,
+    "committed_profiles": committed_profiles,
     "stories_page": stories_page,
     "story_cards": lambda t: state.story_cards(t.stories),
     "changed_repos": lambda t: state.changed_repos(state.repo_fingerprints(t.commits, t.repos), stored_state(t)),

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codelode.operators import files as fl, history, manifests, repo as rp, repo_docs as docs, rules, search, state, trees
-from codelode.plans import analysis
+from codelode.plans import analysis, repo_info
 from tests.conftest import COMMITS, FILES
 
 
@@ -110,3 +110,13 @@ def test_commit_stats_deals_file_rows_once(spark, lake):
     rows = spark.createDataFrame([], "repo_id int, sha string, file_pos int, path string, insertions int, deletions int")
     text = plan(history.commit_stats(lake["commits"], rows))
     assert text.count("hashpartitioning(repo_id") - text.count("ENSURE_REQUIREMENTS") <= 1
+
+
+def test_a_portfolio_reads_repository_info_once(lake):
+    repos = lake["repos"].withColumns({c: F.lit(None).cast("string") for c in ("remote_url", "user_email", "user_name")})
+    info = repo_info.repo_info(lake["files"], lake["commits"], repos, F.lit("2024-01-01").cast("timestamp_ntz"))
+    once = plan(info).count("FileScan")
+    for made in (repo_info.portfolio_rollup(info), repo_info.portfolio_header(info), repo_info.portfolio_languages(info)):
+        assert plan(made).count("FileScan") <= once
+    empty = repo_info.portfolio_rollup(info.filter("false")).collect()
+    assert [tuple(r) for r in empty] == [(0, "Unknown", "Unknown", "Unknown")]

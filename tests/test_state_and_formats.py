@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -223,3 +224,51 @@ def test_saved_names_see_long_suffixes(spark):
     profiles = spark.createDataFrame([("a", 1), ("a", 2)], "repo_name string, ord long")
     taken = spark.createDataFrame([("a_d",), ("a_d-1",), ("a_d-12345678901",)], "name string")
     assert {r.name for r in state.saved_names(profiles, taken, "d").collect()} == {"a_d-2", "a_d-3"}
+
+
+def some_profiles(spark, content, n=3):
+    return spark.createDataFrame([("repo" if i else "other", i, f"{content}{i}", "{}") for i in range(n)], "repo_name string, ord long, content string, metadata string")
+
+
+def test_two_writers_never_share_a_name(spark, tmp_path, monkeypatch):
+    """The second writer commits while the first is about to: the first sees it, and gives out names anew."""
+    first, second = (sinks.ProfileStore(spark, str(tmp_path / "store")) for _ in range(2))
+    assert first.read().count() == 0
+    claim, tried = first._claim, []
+
+    def late(number, rows, names):
+        if not tried:
+            assert second.save(some_profiles(spark, "b"), "2024-01-01") == 0
+        tried.append(number)
+        return claim(number, rows, names)
+
+    monkeypatch.setattr(first, "_claim", late)
+    assert first.save(some_profiles(spark, "a"), "2024-01-01") == 1 and tried == [0, 1]
+    rows = {r.name: r.content for r in second.read().collect()}
+    assert rows == {
+        "other_2024-01-01": "b0", "repo_2024-01-01": "b1", "repo_2024-01-01-1": "b2", "other_2024-01-01-1": "a0", "repo_2024-01-01-2": "a1", "repo_2024-01-01-3": "a2",
+    }
+    assert not [f for f in (tmp_path / "store" / "log").iterdir() if not f.name.startswith(".") and not f.name.endswith(".json")]
+
+
+def test_writers_at_once(spark, tmp_path):
+    store = sinks.ProfileStore(spark, str(tmp_path / "store"))
+    with ThreadPoolExecutor(3) as pool:
+        numbers = list(pool.map(lambda i: sinks.ProfileStore(spark, store.path).save(some_profiles(spark, f"w{i}-", 2), "2024-01-01"), range(3)))
+    assert sorted(numbers) == [0, 1, 2]
+    rows = store.read().collect()
+    assert len({r.name for r in rows}) == 6 == len({r.content for r in rows})
+
+
+def test_a_failed_writer_leaves_nothing_to_read(spark, tmp_path, monkeypatch):
+    store = sinks.ProfileStore(spark, str(tmp_path / "store"))
+    store.save(some_profiles(spark, "a"), "2024-01-01")
+    broken = some_profiles(spark, "b").withColumn("content", F.when(F.col("ord") == 2, F.raise_error(F.lit("lost"))).otherwise(F.col("content")))
+    with pytest.raises(Exception, match="lost"):
+        store.save(broken, "2024-01-01")
+    monkeypatch.setattr(store, "_claim", lambda *a: False)
+    with pytest.raises(RuntimeError, match="claimed"):
+        store.save(some_profiles(spark, "c"), "2024-01-01", tries=2)
+    fresh = sinks.ProfileStore(spark, store.path)
+    assert sorted(r.content for r in fresh.read().collect()) == ["a0", "a1", "a2"]
+    assert fresh.save(some_profiles(spark, "d"), "2024-01-01") == 1 and fresh.read().count() == 6
