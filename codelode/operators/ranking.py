@@ -103,3 +103,16 @@ def page_rows(df: DataFrame, keys: list[str], order: list[Column], offset: int,
         one = df[k].eqNullSafe(page[f"__{k}"])
         same = one if same is None else same & one
     return df.join(F.broadcast(page), same, "left_semi").orderBy(*order)
+
+
+def side_by_side(keys: DataFrame, key: str, parts: list[DataFrame]) -> DataFrame:
+    """The rows of ``keys`` with the columns of all parts, each with at most one row per key: left joins by one aggregate.
+
+    The parts' rows meet once, by key, however many parts there are; a plan of as many joins costs far more to make and run.
+    """
+    merged = parts[0]
+    for part in parts[1:]:
+        merged = merged.unionByName(part, allowMissingColumns=True)
+    columns = [c for c in merged.columns if c != key]
+    gathered = merged.groupBy(key).agg(*[F.any_value(c, ignoreNulls=F.lit(True)).alias(c) for c in columns])
+    return keys.join(gathered, key, "left")

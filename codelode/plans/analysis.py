@@ -1,25 +1,34 @@
 """Whole-repository analysis: one content scan into a narrow fact table, then rollups of it."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from codelode import lexicons as lx
 from codelode.functions import paths
 from codelode.operators import files as fl, repo as rp, repo_docs as docs, rules
+from codelode.operators.ranking import side_by_side
 from codelode.sources.shared import write_shared
 
 
+def _uses(path: Column) -> tuple[Column, Column, Column]:
+    """Whether the file counts as source, is searched for frameworks, and may declare routes."""
+    is_source = paths.lower_suffix(path).isin(lx.SOURCE_SUFFIXES) & ~paths.has_part(path, lx.ANALYSIS_SKIP)
+    return is_source, rules.in_framework_sample(path), paths.suffix(path).isin(lx.ENDPOINT_SUFFIXES)
+
+
+def needs_text(path: Column) -> Column:
+    """Whether ``file_facts`` looks into the file at all."""
+    is_source, sampled, routed = _uses(path)
+    return is_source | sampled | routed
+
+
 def file_facts(files: DataFrame) -> DataFrame:
     """What the rollups need of each file, without its text.
 
     One scan gives source metrics, framework names and route declarations together; files that
     contribute none of them are left out.
     """
-    path = F.col("path")
-    suffix = paths.suffix(path)
-    is_source = paths.lower_suffix(path).isin(lx.SOURCE_SUFFIXES) & ~paths.has_part(path, lx.ANALYSIS_SKIP)
-    sampled = rules.in_framework_sample(path)
-    routed = suffix.isin(lx.ENDPOINT_SUFFIXES)
-    scanned = files.filter(is_source | sampled | routed).select(
+    is_source, sampled, routed = _uses(F.col("path"))
+    scanned = files.filter(needs_text(F.col("path"))).select(
         "repo_id", "path", "content", is_source.alias("is_source"),
         rules.framework_scan()(F.when(sampled, F.col("content"))).alias("found"),
     )
@@ -76,9 +85,7 @@ def analyze(files: DataFrame, repos: DataFrame, facts: DataFrame | None = None)
             rp.import_counts(imports, 15), "position", F.struct("name", F.col("n").alias("count")), "most_used_imports"
         ),
     ]
-    out = repos.select("repo_id")
-    for section in sections:
-        out = out.join(section, "repo_id", "left")
+    out = side_by_side(repos.select("repo_id"), "repo_id", sections)
 
     def number(name, kind="bigint"):
         return F.coalesce(name, F.lit(0)).cast(kind).alias(name)

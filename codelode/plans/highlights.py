@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from codelode import lexicons as lx
 from codelode.operators import history, repo_docs as docs, rules
+from codelode.operators.ranking import side_by_side
 from codelode.sources.shared import write_shared
 
 
@@ -44,8 +45,7 @@ def highlights(files: DataFrame, commits: DataFrame, repos: DataFrame, hits: Dat
     skills = rules.skills(features, integrations).groupBy("repo_id").agg(
         F.array_sort(F.collect_set("skill")).alias("skills_demonstrated")
     )
-    out = repos.select("repo_id", "name")
-    for part in (
+    out = side_by_side(repos.select("repo_id", "name"), "repo_id", [
         _ordered(built, "position", F.col("item"), "features"),
         _ordered(used, "rule_pos", F.col("item"), "integrations"),
         _ordered(history.achievements(commits), "position", F.col("subject"), "achievements"),
@@ -53,8 +53,7 @@ def highlights(files: DataFrame, commits: DataFrame, repos: DataFrame, hits: Dat
         _ordered(rules.scale_indicators(hits), "rule_pos", F.col("indicator"), "scale_indicators"),
         skills,
         docs.readme_excerpt(files),
-    ):
-        out = out.join(part, "repo_id", "left")
+    ])
     for name, kind in {
         "features": "array<struct<name:string,description:string,confidence:double,skills:array<string>,evidence_files:array<string>>>",
         "integrations": "array<struct<name:string,description:string>>",

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codelode.functions import formats
 from codelode.operators import files as fl, history, manifests, repo as rp, repo_docs as docs
+from codelode.operators.ranking import side_by_side
 
 
 def repo_info(files: DataFrame, commits: DataFrame, repos: DataFrame, as_of: Column) -> DataFrame:
@@ -18,13 +19,11 @@ def repo_info(files: DataFrame, commits: DataFrame, repos: DataFrame, as_of: Col
             "frameworks"
         )
     )
-    joined = repos.select("repo_id", "name", "path", "remote_url")
-    for part in (
+    joined = side_by_side(repos.select("repo_id", "name", "path", "remote_url"), "repo_id", [
         history.commit_summary(commits, repos), shares, rp.primary_language(breakdown), docs.is_fork(repos),
         docs.repo_description(files, repos), names, docs.repo_has_tests(paths_only, repos),
         docs.repo_has_ci(paths_only, repos),
-    ):
-        joined = joined.join(part, "repo_id", "left")
+    ])
     languages = F.transform("shares", lambda s: F.struct(s["language"].alias("language"), s["pct"].alias("pct")))
     return joined.select(
         "repo_id", "name", "path", "commit_count", "user_commit_count", "first_commit_date", "last_commit_date",

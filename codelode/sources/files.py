@@ -2,6 +2,7 @@
 
 import os
 import sys
+import uuid
 from collections.abc import Collection, Iterator
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from codelode.sources.shared import write_shared
 # workers get this module's functions by value, so they need no copy of the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-ENTRIES = "folder string, name string, is_folder boolean, size long"
+ENTRIES = "folder string, name string, is_folder boolean, size long, modified long"
 READ = "repo_id string, path string, size long, content binary"
 BATCH_BYTES = 8 << 20
 ENTRY_ROWS = 10_000
@@ -26,7 +27,7 @@ def _open(root: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
 
 
-def list_files(spark: SparkSession, root: str, ids: DataFrame | None = None, skip_folders: Collection[str] = ()) -> DataFrame:
+def list_files(spark: SparkSession, root: str, ids: DataFrame | None = None, skip_folders: Collection[str] = (), stamps: bool = False) -> DataFrame:
     """Every regular file below ``root/<repository>/``: (repo_id, path, size, at), names of any form included.
 
     Spark's file sources skip names that begin with ``.`` or ``_``, which repositories are full of, so the tree is listed
@@ -36,7 +37,8 @@ def list_files(spark: SparkSession, root: str, ids: DataFrame | None = None, ski
 
     ``repo_id`` is the repository's folder name, or with ``ids(name, repo_id)`` the number or key that it gives to that
     name; repositories it does not name are left out before they are listed. ``skip_folders`` names folders that are not entered at
-    any depth. Links to folders are not followed. A folder that vanishes between two rounds counts as empty.
+    any depth. ``stamps`` adds a column ``stamp`` of size and time of change, by which a file is known as
+    unchanged; a store that tells no times makes all files new in every listing. Links to folders are not followed. A folder that vanishes between two rounds counts as empty.
     """
     files, base = _open(root.rstrip("/"))
     base, skipped = base.rstrip("/"), frozenset(skip_folders)
@@ -53,7 +55,8 @@ def list_files(spark: SparkSession, root: str, ids: DataFrame | None = None, ski
                     yield pa.RecordBatch.from_arrays([
                         pa.array([folder] * len(part), pa.string()), pa.array([i.base_name for i in part], pa.string()),
                         pa.array([i.type == fs.FileType.Directory for i in part], pa.bool_()), pa.array([i.size for i in part], pa.int64()),
-                    ], names=["folder", "name", "is_folder", "size"])
+                        pa.array([i.mtime_ns for i in part], pa.int64()),
+                    ], names=["folder", "name", "is_folder", "size", "modified"])
 
     levels, most = [], 4 * spark.sparkContext.defaultParallelism
     folders, count = spark.createDataFrame([("",)], "folder string"), 1
@@ -65,7 +68,7 @@ def list_files(spark: SparkSession, root: str, ids: DataFrame | None = None, ski
         folders = found.filter("is_folder").select(path.alias("folder"))
         if not levels and ids is not None:
             folders = folders.join(ids.select(F.col("name").alias("folder")).distinct(), "folder", "left_semi")
-        levels.append(found.filter("NOT is_folder").select(path.alias("below"), "size"))
+        levels.append(found.filter("NOT is_folder").select(path.alias("below"), "size", "modified"))
         count = folders.count()
     listed = levels[0].filter("false")  # files beside the repositories belong to none
     for level in levels[1:]:
@@ -73,13 +76,16 @@ def list_files(spark: SparkSession, root: str, ids: DataFrame | None = None, ski
     listed = listed.select(
         F.substring_index("below", "/", 1).alias("repo_id"), F.expr("substring(below, instr(below, '/') + 1)").alias("path"), "size",
         F.concat(F.lit(f"{base}/"), "below").alias("at"),
+        F.concat(F.col("size").cast("string"), F.lit(":"), F.coalesce(F.col("modified").cast("string"), F.lit(uuid.uuid4().hex))).alias("stamp"),
     )
+    if not stamps:
+        listed = listed.drop("stamp")
     if ids is None:
         return listed
     keys = ids.select(F.col("name").alias("__name"), F.col("repo_id").alias("__id"))
     # one row per repository, and a repository may hold most files: those are dealt over slots before they meet it
     keyed = spread_join(listed.withColumnRenamed("repo_id", "__name"), keys, "__name", ["path"])
-    return keyed.select(F.col("__id").alias("repo_id"), "path", "size", "at")
+    return keyed.select(F.col("__id").alias("repo_id"), *listed.columns[1:])
 
 
 def repository_ids(names: DataFrame) -> DataFrame:
@@ -98,10 +104,13 @@ def read_files(
     that need only paths can take ``list_files``.
     """
     listed = list_files(spark, root, ids, skip_folders)
+    return read_listed(listed if max_bytes is None else listed.filter(F.col("size") <= max_bytes), root)
+
+
+def read_listed(listed: DataFrame, root: str) -> DataFrame:
+    """The texts of listed files, see ``read_files``; only these files are opened."""
     key = listed.schema["repo_id"].dataType
-    listed = listed.withColumn("repo_id", F.col("repo_id").cast("string"))
-    if max_bytes is not None:
-        listed = listed.filter(F.col("size") <= max_bytes)
+    listed = listed.select(F.col("repo_id").cast("string").alias("repo_id"), "path", "size", "at")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, _ = _open(root.rstrip("/"))

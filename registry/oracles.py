@@ -539,6 +539,11 @@ JOIN (SELECT lang, slot, row_number() OVER (PARTITION BY lang ORDER BY slot) AS
     "stories_page": (["fx_stories"], """
 SELECT story_id, repo_name, files_changed, lines_added, lines_removed, last_commit_at, (SELECT count(*) FROM fx_stories WHERE list_has_any(list_transform(technologies, lambda t: lower(t)), ['python', 'sql']) AND last_commit_at >= TIMESTAMP '1998-01-01 00:00:00') AS total
 FROM fx_stories WHERE list_has_any(list_transform(technologies, lambda t: lower(t)), ['python', 'sql']) AND last_commit_at >= TIMESTAMP '1998-01-01 00:00:00' ORDER BY last_commit_at DESC, story_id LIMIT 50 OFFSET 20"""),
+    "known_files": (["fx_files"], "SELECT repo_id, path, CASE WHEN length(path) % 17 = 1 THEN 'old' ELSE md5(content) END AS stamp FROM fx_files WHERE length(path) % 13 <> 3"),
+    "current_files": (["fx_files"], "SELECT repo_id, path, md5(content) AS stamp FROM fx_files WHERE length(path) % 13 <> 5"),
+    "changed_files": (["known_files", "current_files"], """
+SELECT repo_id, path, stamp, 'changed' AS kind FROM current_files c WHERE NOT EXISTS (SELECT 1 FROM known_files k WHERE k.repo_id = c.repo_id AND k.path = c.path AND k.stamp = c.stamp)
+UNION ALL SELECT repo_id, path, NULL, 'gone' FROM known_files k WHERE NOT EXISTS (SELECT 1 FROM current_files c WHERE k.repo_id = c.repo_id AND k.path = c.path)"""),
     "committed_profiles": (["documents"], """
 SELECT lang || '_2001-08-02' || CASE WHEN j = 1 THEN '' ELSE '-' || (j - 1) END AS name, lang AS repo_name, md5(text) AS content, source AS metadata, '2001-08-02' AS saved_on
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id % 2, doc_id) AS j FROM documents)"""),

@@ -9,7 +9,7 @@ from codelode.functions import formats
 from codelode.operators import (
     files as fl, history, manifests, repo as rp, repo_docs as docs, rule_tables, rules, search, search_index, state, trees,
 )
-from codelode.plans import analysis, highlights as hl, repo_info as ri, reports
+from codelode.plans import analysis, highlights as hl, incremental, repo_info as ri, reports
 from codelode.sources import sinks
 from codelode.sources.commit_log import number_commits, walk_commits
 from codelode.sources.shared import shared_folder, write_shared
@@ -167,6 +167,16 @@ def committed_profiles(t: Tables) -> DataFrame:
     return sinks.ProfileStore(t.spark, path).read()
 
 
+def changed_files(t: Tables) -> DataFrame:
+    """Two listings of the same files: of the earlier one some are missing, some differ, and some are gone since."""
+    listed = t.files.select("repo_id", "path", F.md5("content").alias("stamp"))
+    size, of_length = F.length("path"), F.length("path") % 13
+    current = listed.filter(of_length != 5)
+    known = listed.filter(of_length != 3).withColumn("stamp", F.when(size % 17 == 1, "old").otherwise(F.col("stamp")))
+    changed, gone = incremental.changed_files(current, known)
+    return changed.withColumn("kind", F.lit("changed")).unionByName(gone.withColumns({"stamp": F.lit(None).cast("string"), "kind": F.lit("gone")}))
+
+
 def stored_state(t: Tables) -> DataFrame:
     current = state.repo_fingerprints(t.commits, t.repos).join(t.repos.select("path", "repo_id"), "path")
     kept = current.filter(F.col("repo_id") % 5 != 4).select(
@@ -388,6 +398,7 @@ QUERIES = {
     "stories_page": stories_page,
     "story_cards": lambda t: state.story_cards(t.stories),
     "changed_repos": lambda t: state.changed_repos(state.repo_fingerprints(t.commits, t.repos), stored_state(t)),
+    "changed_files": changed_files,
     "next_state": lambda t: state.next_state(state.repo_fingerprints(t.commits, t.repos), stored_state(t)),
     "tracked_status": lambda t: state.tracked_status(t.tracked, t.repos),
     "sync_plan": lambda t: state.sync_plan(t.tracked, t.repos, t.commits),
