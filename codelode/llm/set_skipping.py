@@ -6,7 +6,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codelode.llm.memory import tidy
 from codelode.llm.words import mix, shingle_sets
+from codelode.operators.ranking import likely_rows
 from codelode.sources.shared import Scratch, write_shared
 
 KNOWN = 1 << 16  # frequent shingles that the order puts last
@@ -46,6 +48,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return int(np.int64(one)), int(np.int64(two))
 
 
+@tidy
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row (0, id, size, digest, digest, text hash) per document, and (1, shingle, count) of shingles seen thrice in a while."""
     held, size = [], 0
@@ -84,6 +87,7 @@ def _prefixes(frequent: np.ndarray, rank: np.ndarray):
     order of all shingles gives exact answers; this one keeps lists short.
     """
 
+    @tidy
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
@@ -115,6 +119,7 @@ def _prefixes(frequent: np.ndarray, rank: np.ndarray):
     return emit
 
 
+@tidy
 def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of keys that two or more sets have, from rows sorted by key and set; repeated sets of a key once."""
     last = None  # (key, c, at, whether the row before has its key)
@@ -140,6 +145,7 @@ def _live(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield made([[x] for x in last[:3]])
 
 
+@tidy
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [(*_digest(s), len(s), s.tobytes()) for s in shingle_sets(batch.column(0)) if len(s)]
@@ -148,6 +154,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["c", "d", "n", "data"])
 
 
+@tidy
 def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
@@ -159,38 +166,50 @@ def _overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.int64())], names=["a", "b", "na", "nb", "overlap"])
 
 
+@tidy
 def _diffs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(family, sid, label, n, base, missing, diff): what tells each set from its family's base, whose row comes first.
+    """(family, first, sid, n, base, missing, near, diff): what tells each set from its family's base, whose row (sid ``first``) comes first.
 
-    ``diff`` holds the base's shingles that the set lacks, ``missing`` of them, and the set's that the base lacks.
+    ``diff`` holds the base's shingles that the set lacks, ``missing`` of them, and the set's that the base lacks; ``near`` says
+    whether it links with the base.
     """
-    group, base = None, None
+    group, base, first = None, None, None
     for batch in batches:
         out = []
-        for family, lane, kind, sid, label, data in zip(*(c.to_pylist() for c in batch.columns)):
+        for family, lane, kind, sid, data in zip(*(c.to_pylist() for c in batch.columns)):
             data = np.frombuffer(data, np.uint64)
             if kind == 0:
-                group, base = (family, lane), data
+                group, base, first = (family, lane), data, sid
                 continue
             assert group == (family, lane)
             lacks = np.setdiff1d(base, data, assume_unique=True)
             diff = np.concatenate((lacks, np.setdiff1d(data, base, assume_unique=True)))
-            out.append((family, sid, label, len(data), len(base), len(lacks), len(diff), diff.tobytes()))
-        columns = zip(*out) if out else [[]] * 8
-        kinds = [pa.int64()] * 7 + [pa.binary()]
-        names = ["family", "sid", "label", "n", "base", "missing", "size", "diff"]
+            near = bool(_passes(len(base) - len(lacks), len(base), len(data)))
+            out.append((family, first, sid, len(data), len(base), len(lacks), len(diff), near, diff.tobytes()))
+        columns = zip(*out) if out else [[]] * 9
+        kinds = [pa.int64()] * 7 + [pa.bool_(), pa.binary()]
+        names = ["family", "first", "sid", "n", "base", "missing", "size", "near", "diff"]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
 class _Index:
-    """Sets of a family, by the shingles that tell them from its base."""
+    """Sets of a family by the shingles that tell them from its base, and which of them are known to be one component."""
 
     def __init__(self, rows: list[tuple]):
-        self.sid, self.label, self.n, self.missing = (np.array([r[c] for r in rows], np.int64) for c in range(4))
+        self.sid, self.n, self.missing = (np.array([r[c] for r in rows], np.int64) for c in range(3))
         sizes = [len(r[4]) for r in rows]
         shingles, owner = np.concatenate([r[4] for r in rows]), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
         order = np.argsort(shingles, kind="stable")
         self.shingles, self.owner = shingles[order], owner[order]
+        # what links with the base is of one label from the start
+        self.label = np.array([0 if r[3] else i + 1 for i, r in enumerate(rows)], np.int64)
+        self.root = {int(x): int(x) for x in self.label}
+        self.own = {int(s): int(x) for s, x in zip(self.sid, self.label)}
+
+    def _find(self, label: int) -> int:
+        while self.root[label] != label:
+            self.root[label] = label = self.root[self.root[label]]
+        return label
 
     def shared(self, diff: np.ndarray) -> np.ndarray:
         """How many shingles of ``diff`` each set's difference has too."""
@@ -206,28 +225,38 @@ class _Index:
             at = to
         return found
 
-    def links(self, sid: int, label: int, n: int, base: int, missing: int, diff: np.ndarray) -> np.ndarray:
-        """A set of each other label that links with this one; overlaps follow from the base's and the two differences."""
+    def links(self, sid: int, n: int, base: int, missing: int, diff: np.ndarray) -> list[int]:
+        """Sets that link with this one, one of each component that it was not of; overlaps follow from the differences."""
         overlap = base - missing - self.missing + self.shared(diff)
-        hits = np.flatnonzero(_passes(overlap, n, self.n) & (self.label != label))
-        return self.sid[hits[np.unique(self.label[hits], return_index=True)[1]]]
+        hits = np.flatnonzero(_passes(overlap, n, self.n) & (self.sid != sid))
+        if sid not in self.own:
+            self.own[sid] = len(self.sid) + len(self.own) + 1
+            self.root[self.own[sid]] = self.own[sid]
+        found = []
+        for at in np.unique(self.label[hits], return_index=True)[1]:
+            one, two = self._find(self.own[sid]), self._find(int(self.label[hits[at]]))
+            if one != two:
+                self.root[max(one, two)] = min(one, two)
+                found.append(int(self.sid[hits[at]]))
+        return found
 
 
+@tidy
 def _family_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) between sets of one family and different labels: first come the sets of a block, then those that ask."""
+    """Links (a, b) that make the components of one family's sets: first come the sets of a block, then those that ask."""
     group, held, index = None, [], None
     for batch in batches:
         found = []
-        for family, block, kind, sid, label, n, base, missing, diff in zip(*(c.to_pylist() for c in batch.columns)):
+        for family, block, kind, sid, n, base, missing, near, diff in zip(*(c.to_pylist() for c in batch.columns)):
             if group != (family, block):
                 group, held, index = (family, block), [], None
             diff = np.frombuffer(diff, np.uint64)
             if kind == 0:
-                held.append((sid, label, n, missing, diff))
+                held.append((sid, n, missing, near, diff))
             elif held or index is not None:
                 if index is None:
                     index, held = _Index(held), []
-                found += [(sid, other) for other in index.links(sid, label, n, base, missing, diff).tolist()]
+                found += [(sid, other) for other in index.links(sid, n, base, missing, diff)]
         columns = zip(*found) if found else [[]] * 2
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
@@ -243,13 +272,14 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
        tasks get holds at most ``KNOWN`` of them and only decides the order, never the answers.
     2. Prefix shingles make index lists; those of one set only are dropped. An entry carries the set's size and the
        shingle's position. Each set follows one leader, the one that leads most of its lists; a list is led by the set with the largest share of
-       shingles in lists, which near copies have most in common with. Sets that lead to each other make a family, and all are compared with their leaders.
-    3. Lists with several families are first read in blocks, one for each family and grade of size: a set skips a whole block if
+       shingles in lists, which near copies have most in common with. Sets that lead to each other make a family.
+    3. Lists with several families are read in blocks, one for each family and grade of size: a set skips a whole block if
        it shares too few lists with it, or none at a position early enough for any link. Only sets that remain
        are paired with the members of a block; pairs whose prefixes share enough are compared exactly.
-    4. A family whose members are not all linked by now derives the other answers from one base set: members are written as their
-       differences from it, so the overlap of two follows from the shingles that both differences hold, counted by
-       an index of these. So no pair of a family is ever a row; a set that finds links reports one for each component.
+    4. A family derives its answers from those of its base, the set that most follow: members are written as their
+       differences from it, which say whether they link with it. The overlap of two others follows from the shingles that both
+       differences hold; so those that do not link with the base ask an index of the differences. No pair of a family
+       is ever a row: a set reports links only to components that it was not of yet.
 
     Each task holds a batch of texts, or an index of about a million differing shingles; a large group of copies costs a row per
     prefix shingle and set. Intermediate tables are deleted when all that read them is written.
@@ -287,16 +317,20 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     across = scratch.write(_pairs_across(led, families, scratch), "across")
     scratch.drop("entries", "listed")
 
-    both = chosen.unionByName(across)
-    members = both.select(F.col("a").alias("sid")).union(both.select("b")).distinct()
-    wanted = scratch.write(nodes.join(members, "sid"), "wanted")
-    data = texts.join(wanted.select("rep").distinct(), F.col("id").eqNullSafe(F.col("rep")), "left_semi").select("text")
-    data = data.mapInArrow(_sets, "c long, d long, n long, data binary").join(wanted, ["c", "d", "n"]).select("sid", "n", "data")
-    data = scratch.write(data.dropDuplicates(["sid"]), "sets")
-    links = scratch.write(_linked(_compare(both, data)), "links")
+    members = chosen.select(F.col("a").alias("sid")).union(chosen.select("b")).union(across.select("a")).union(across.select("b")).distinct()
+    wanted = nodes.join(members, "sid").join(families.withColumnRenamed("label", "family"), "sid").select("sid", "family", "rep", "n", "c", "d")
+    followers = chosen.groupBy(F.col("a").alias("sid")).agg(F.count("*").alias("followers"))
+    wanted = scratch.write(wanted.join(followers, "sid", "left"), "followed")
+    bases = wanted.groupBy("family").agg(
+        F.max(F.struct("followers", "sid"))["sid"].alias("base"), F.count("*").alias("sets"), F.ceil(F.sum("n") / LANE).cast("int").alias("lanes")
+    )
+    wanted = scratch.write(wanted.join(bases, "family").drop("followers"), "wanted")
+    # only texts of wanted sets, and a few others that the exact join then drops
+    data = likely_rows(texts.withColumn("id", F.coalesce("id", F.lit(-1))), wanted.select(F.coalesce("rep", F.lit(-1)).alias("id")), ["id"])
+    data = data.select("text").mapInArrow(_sets, "c long, d long, n long, data binary").join(wanted, ["c", "d", "n"]).dropDuplicates(["c", "d", "n"])
+    data = scratch.write(data.select("sid", "family", "base", "sets", "lanes", "n", "data"), "sets")
+    links = scratch.write(_links_within(data, scratch), "links-within").unionByName(_linked(_compare(across, data)))
     labels = _components(nodes, links, scratch)
-    more = scratch.write(_links_within(families, labels, chosen, data, scratch), "links-within")
-    labels = _components(nodes, links.unionByName(more), scratch)
 
     grouped = nodes.join(labels, "sid")
     smallest = grouped.groupBy("label").agg(F.min("rep").alias("smallest"))
@@ -341,37 +375,32 @@ def _pairs_across(entries: DataFrame, families: DataFrame, scratch: Scratch) ->
     return pairs.filter(_may_link(F.col("lists"))).select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
 
 
-def _links_within(families: DataFrame, labels: DataFrame, chosen: DataFrame, data: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links (a, b) between sets of one family that have different labels, at least one between any two labels that have any."""
-    placed = families.withColumnRenamed("label", "family").join(labels, "sid")
-    split = placed.groupBy("family").agg(F.min("label").alias("one"), F.max("label").alias("other")).filter("one != other").select("family")
-    members = scratch.write(placed.join(split, "family"), "members")
-    followers = chosen.groupBy(F.col("a").alias("sid")).agg(F.count("*").alias("followers"))
-    bases = members.join(followers, "sid").groupBy("family").agg(F.max(F.struct("followers", "sid")).alias("base")).select("family", F.col("base.sid").alias("sid"))
-    held = members.join(data, "sid")
-    lanes = members.join(data.select("sid", "n"), "sid").groupBy("family").agg(F.ceil(F.sum("n") / LANE).cast("int").alias("lanes"))
-    first = bases.join(data, "sid").join(lanes, "family").select(
-        "family", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1)).alias("lane"), F.lit(0).alias("kind"), "sid", F.lit(0).cast("long").alias("label"), "data"
-    )
-    rest = held.join(lanes, "family").select("family", F.pmod(F.xxhash64("sid"), F.col("lanes")).cast("int").alias("lane"), F.lit(1).alias("kind"), "sid", "label", "data")
+def _links_within(data: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between sets of one family: enough of them for its components."""
+    held = data.filter("sets > 1")
+    lanes = F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))
+    first = held.filter("sid = base").select("family", lanes.alias("lane"), F.lit(0).alias("kind"), "sid", "data")
+    rest = held.select("family", F.pmod(F.xxhash64("sid"), F.col("lanes")).cast("int").alias("lane"), F.lit(1).alias("kind"), "sid", "data")
     both = first.unionByName(rest).repartition("family", "lane").sortWithinPartitions("family", "lane", "kind")
-    diffs = both.mapInArrow(_diffs, "family long, sid long, label long, n long, base long, missing long, size long, diff binary")
+    diffs = both.mapInArrow(_diffs, "family long, first long, sid long, n long, base long, missing long, size long, near boolean, diff binary")
     diffs = scratch.write(diffs, "diffs")
-    counts = diffs.groupBy("family", "label").agg(F.count("*").alias("sets"), F.sum("size").alias("size"))
-    spans = counts.groupBy("family").agg(
-        F.max(F.struct("sets", "label")).alias("main"), F.greatest(F.ceil(F.sum("size") / SPAN), F.lit(1)).cast("int").alias("blocks")
-    )
+    direct = diffs.filter("near AND sid != first").select(F.col("first").alias("a"), F.col("sid").alias("b"))
+    # families with sets that do not link with the base
+    spans = diffs.groupBy("family").agg(
+        F.bool_and("near").alias("done"), F.greatest(F.ceil(F.sum("size") / SPAN), F.lit(1)).cast("int").alias("blocks")
+    ).filter("NOT done").select("family", "blocks")
     spread = diffs.join(spans, "family")
-    columns = ["kind", "sid", "label", "n", "base", "missing", "diff"]
+    columns = ["kind", "sid", "n", "base", "missing", "near", "diff"]
     index = spread.withColumn("kind", F.lit(0)).select("family", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int").alias("block"), *columns)
-    ask = spread.filter(F.col("label") != F.col("main.label")).withColumn("kind", F.lit(1))
+    ask = spread.filter("NOT near").withColumn("kind", F.lit(1))
     ask = ask.select("family", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), *columns)
     dealt = index.unionByName(ask).repartition("family", "block").sortWithinPartitions("family", "block", "kind")
-    return dealt.mapInArrow(_family_links, "a long, b long")
+    return direct.unionByName(dealt.mapInArrow(_family_links, "a long, b long"))
 
 
 def _compare(pairs: DataFrame, data: DataFrame) -> DataFrame:
     """Pairs (a, b) with their sizes and exact overlap."""
+    data = likely_rows(data, pairs.select(F.col("a").alias("sid")).union(pairs.select("b")), ["sid"])
     one = data.select(F.col("sid").alias("a"), F.col("n").alias("na"), F.col("data").alias("one"))
     two = data.select(F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("data").alias("two"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "one", "two")
