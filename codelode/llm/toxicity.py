@@ -10,8 +10,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from codelode.llm.memory import tidy
+
 WORD = re.compile(r"\w+")
 SIZES = (3, 4, 5)  # characters of the n-grams, the word's edges included
+LONG = 64  # characters of a word; longer ones are cut
 
 
 @dataclass
@@ -32,14 +35,21 @@ class SubwordModel:
 
 def subwords(word: str, buckets: int) -> list[int]:
     """Buckets of a word and of its character n-grams; unseen spellings share most of them with known ones."""
-    word = f"<{word[:64]}>"
+    word = f"<{word}>"
     grams = [word] + [word[i : i + n] for n in SIZES for i in range(len(word) - n + 1)]
     return [zlib.crc32(g.encode("utf-8", "replace")) % buckets for g in grams]
 
 
 def text_words(text: str) -> list[str]:
-    """Lower-cased words, all numbers being one word; a word said many times in a row counts once."""
-    return [w for w, _ in groupby("0" if w.isdigit() else w for w in WORD.findall(text.lower()))]
+    """Lower-cased words, all numbers being one word; a word said many times in a row counts once.
+
+    Longer words, as runs of scripts that set no spaces, count as pieces of ``LONG`` characters; pieces overlap, so that no n-gram is lost.
+    """
+    words = [w for w, _ in groupby("0" if w.isdigit() else w for w in WORD.findall(text.lower()))]
+    if len(max(words, key=len, default="")) <= LONG:
+        return words
+    step = LONG - SIZES[-1] + 1
+    return [w[i : i + LONG] for w in words for i in range(0, max(1, len(w) - SIZES[-1] + 1), step)]
 
 
 class _Bags:
@@ -167,6 +177,7 @@ def toxicity_score(model: SubwordModel, text: Column) -> Column:
     """The probability (0 to 1) that a text is toxic; nulls count as empty."""
 
     @F.pandas_udf("double")
+    @tidy
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         known: dict[str, float] = {}
         for texts in batches:

@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -55,3 +56,37 @@ def test_without_two_classes_the_prior_scores(spark, tables):
     model = toxicity.fit_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score_documents(docs, model).filter("predicted = 1").count() == 0
     assert toxicity.score_documents(docs.limit(0), model).count() == 0
+
+
+def test_long_words_are_read_whole():
+    """Words that differ only behind their first 64 characters, and runs of a script without spaces."""
+    start = "x" * 64
+    assert toxicity.text_words(start + "aaaa") != toxicity.text_words(start + "zzzzqq")
+    word = "".join(chr(0x4E00 + i) for i in range(500))
+    pieces = toxicity.text_words(word)
+    assert all(any(word[i : i + 5] in p for p in pieces) for i in range(496)) and pieces[0] + "".join(p[4:] for p in pieces[1:]) == word
+    assert toxicity.text_words("short words 12 stay") == ["short", "words", "0", "stay"]
+    model = toxicity.SubwordModel(np.zeros(1 << 12, np.float32), -1.0, 8)
+    model.weights[toxicity.subwords(toxicity.text_words(start + "zzzzqq")[1], 1 << 12)] = 9
+    assert toxicity.text_logit(model, start + "zzzzqq", {}) > toxicity.text_logit(model, start + "aaaa", {})
+    assert toxicity.text_logit(model, "y" * 1_000_000, {}) < 0
+
+
+def test_scores_match_a_forward_pass_by_hand():
+    """A text's score is the greatest mean, over eight words in a row, of the mean weight of each word's n-grams."""
+    rng = np.random.default_rng(3)
+    model = toxicity.SubwordModel(rng.normal(0, 1, 1 << 10).astype(np.float32), -0.3, 8)
+
+    def by_hand(text):
+        said = ["0" if w.isdigit() else w for w in re.findall(r"\w+", text.lower())]
+        words = [w for i, w in enumerate(said) if i == 0 or said[i - 1] != w]
+        values = []
+        for w in words:
+            marked = f"<{w}>"
+            grams = [marked] + [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
+            values.append(np.mean([model.weights[zlib.crc32(g.encode()) % 1024] for g in grams]))
+        runs = [values[i : i + 8] for i in range(max(1, len(values) - 7))]
+        return max(np.mean(r) for r in runs) + model.bias
+
+    for text in ("One two, two three 44 four five six seven eight nine ten", "a", "The same the the END", "é ñ ü " * 20):
+        assert abs(by_hand(text) - toxicity.text_logit(model, text, {})) < 1e-5
