@@ -41,7 +41,7 @@ def judge_urls(
     null ids give a row each. Other columns are ignored, whatever their names.
     """
     pieces = max(2, int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    opened = _open_rules(rules)
+    opened, lengths = _open_rules(rules)
     labels = opened.agg(F.coalesce(F.max(F.size(F.split(F.split("key", "/")[0], "\\."))), F.lit(1))).first()[0]
     page = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
     names = F.reverse(F.split(url_host(F.col("url")), "\\."))
@@ -56,7 +56,7 @@ def judge_urls(
         "url-pieces",
     )
     first = events.filter("is_page").groupBy("piece").agg(F.min("key").alias("key"))
-    carried = _with_prefixes(first).join(opened.select(F.col("key").alias("prefix"), "open"), "prefix")
+    carried = _with_prefixes(first, lengths).join(opened.select(F.col("key").alias("prefix"), "open"), "prefix")
     carried = carried.groupBy("piece", "key").agg(F.sort_array(F.collect_list("open")).alias("stack"))
     events = events.withColumn("at", F.col("is_page").cast("int")).unionByName(
         carried.withColumns({"is_page": F.lit(False), "at": F.lit(-1)}), allowMissingColumns=True
@@ -84,15 +84,17 @@ def _after_scheme(url: Column) -> Column:
     return F.coalesce(F.when(at > 0, F.substr(url, at + 3)), F.lit(""))
 
 
-def _with_prefixes(table: DataFrame) -> DataFrame:
-    """Each row with every prefix of its key."""
-    return table.withColumn("prefix", F.explode(F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length("key"), F.lit(1))), lambda i: F.substr(F.col("key"), F.lit(1), i)
-    )))
+def _with_prefixes(table: DataFrame, lengths: list[int]) -> DataFrame:
+    """Each row with the prefixes of its key that are as long as some rule's key."""
+    fitting = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("key"))
+    return table.withColumn("prefix", F.explode(F.transform(fitting, lambda n: F.substr(F.col("key"), F.lit(1), n))))
 
 
-def _open_rules(rules: DataFrame) -> DataFrame:
-    """(key, open, stack): open is the rule itself, stack the rules that are open at its start, outermost first."""
+def _open_rules(rules: DataFrame) -> tuple[DataFrame, list[int]]:
+    """(key, open, stack): open is the rule itself, stack the rules that are open at its start, outermost first; and their keys' lengths.
+
+    The distinct lengths are few: a hundred thousand need rules of five billion characters.
+    """
     at = F.instr("rule", "/")
     host = F.translate(F.when(at > 0, F.substr(F.col("rule"), F.lit(1), at - 1)).otherwise(F.col("rule")), UPPER, LOWER)
     path = F.when(at > 0, F.substr(F.col("rule"), at)).otherwise("")
@@ -102,7 +104,8 @@ def _open_rules(rules: DataFrame) -> DataFrame:
     one = keyed.groupBy("key").agg(F.max(F.struct("verdict", "rule")).alias("r")).select(
         "key", F.struct(F.length("key").alias("size"), F.col("key"), F.col("r.rule"), F.col("r.verdict")).alias("open")
     )
-    stacks = _with_prefixes(one.select("key")).join(one.select(F.col("key").alias("prefix"), "open"), "prefix").groupBy("key").agg(
+    lengths = sorted(r.n for r in one.select(F.length("key").alias("n")).distinct().collect())
+    stacks = _with_prefixes(one.select("key"), lengths).join(one.select(F.col("key").alias("prefix"), "open"), "prefix").groupBy("key").agg(
         F.sort_array(F.collect_list("open")).alias("stack")
     )
-    return one.join(stacks, "key")
+    return one.join(stacks, "key"), lengths

@@ -140,3 +140,11 @@ def test_ledger_of_nothing_and_long_text(spark, docs):
     long = "0123456789abcdef " * 20000
     row = secret_ledger.scan_with_ledger(docs([(1, long)]), secret_ledger.new_ledger(spark)).collect()[0]
     assert row.n_hex == 20000 and row.spans == brute_spans(long)[1]
+
+
+def test_a_very_long_url(spark):
+    long = "http://x.example.com/en/" + "a" * 1_000_000
+    pages = spark.createDataFrame([(1, long), (2, "http://net/es/" + "b/" * 100_000), (3, "http://" + "h" * 200_000)], "page_id long, url string")
+    rules = url_rules.rules_table(spark, URL_RULES + [("com/" + "q" * 50_000, "block")])
+    found = {r.page_id: (r.rule, r.verdict) for r in url_rules.judge_urls(pages, rules).collect()}
+    assert found == {1: ("example.com/en/", "block"), 2: ("net/es/", "block"), 3: (None, "allow")}
