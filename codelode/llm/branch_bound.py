@@ -33,7 +33,8 @@ def top_inner_products(
     Ties go to the smaller id. Sums are exact: in 32-bit floats where all stay below 2**24, else in 64-bit ones below 2**53,
     else in integers; components and scores beyond 64 bits are cut to the nearest. Defined cases: vectors that are null or hold null or
     non-finite components take no part, nor do rows with a null id; shorter vectors count as if filled with zeros; rows
-    that repeat an id are candidates each, and a query's own are those with its id; fewer than ``k`` candidates
+    that repeat an id are candidates each, and a query's own are those with its id; of query rows that repeat an id the one with the least vector,
+    compared component by component, asks; fewer than ``k`` candidates
     give fewer rows; an empty table gives none. Other columns are ignored.
     """
     usable = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"), is_query.alias("is_query")).filter(
@@ -46,7 +47,8 @@ def top_inner_products(
     candidates = _pack(usable, blocks).withColumns({
         "strip": (F.col("block") % strips), "group": F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))), "kind": F.lit(1)
     })
-    queries = _pack(usable.filter("is_query").dropDuplicates(["vec_id"]), query_blocks).withColumns({
+    asking = usable.filter("is_query").groupBy("vec_id").agg(F.min("v").alias("v"))
+    queries = _pack(asking, query_blocks).withColumns({
         "group": F.col("block"), "strip": F.explode(F.sequence(F.lit(0), F.lit(min(strips, blocks) - 1))), "kind": F.lit(0)
     })
     both = queries.unionByName(candidates).repartition("group", "strip").sortWithinPartitions("group", "strip", "kind", "block")

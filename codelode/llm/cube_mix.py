@@ -6,6 +6,7 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from codelode.llm.copies import number_copies, with_lane
 from codelode.sources.shared import write_shared
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -124,14 +125,15 @@ def mix_sources(
     rows is only more chunks. Moves are seeded by source and chunk: reruns agree, whatever the partitioning.
 
     Defined cases: a null text has size 0 and takes 0 words; null sources are a source, the last; null ids take part;
-    rows that repeat an id and text are documents of their own; an empty table gives no rows. Other columns are ignored.
+    rows that repeat an id and text are documents of their own, dealt over chunks by a number among them; an empty table gives no rows. Other columns are ignored.
     """
     text = F.col(text_col)
     rows = documents.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"),
         F.xxhash64(text).alias("text_hash"),
     )
-    rows = write_shared(rows, "mix-sizes")
+    # equal rows get numbers, so that they too are dealt over chunks
+    rows = write_shared(number_copies(with_lane(rows), rows.columns, "lane"), "mix-sizes")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     targets = write_shared(source_targets(sizes, weights, share, most), "mix-targets").select(
         F.col("source").alias("_source"), "source_size", "n", "target"
@@ -141,7 +143,9 @@ def mix_sources(
     rows = rows.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source").withColumns({
         "copies": base.cast("int"), "share": F.greatest(ratio - base, F.lit(0.0)), "chunks": F.ceil(F.col("n") / CHUNK).cast("long"),
     })
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text_hash", F.lit(seed)), F.col("chunks"))).drop("n")
+    dealt = F.xxhash64("doc_id", "text_hash", F.lit(seed))
+    dealt = F.when(F.col("copy") == 0, dealt).otherwise(F.xxhash64(dealt, "copy"))
+    rows = rows.withColumn("chunk", F.pmod(dealt, F.col("chunks"))).drop("n")
     decided, level = [], 0
     while True:
         moved = write_shared(_flights(rows, seed, level), f"mix-flight-{level}")
@@ -163,7 +167,7 @@ def mix_sources(
 
 def _flights(rows: DataFrame, seed: int, level: int) -> DataFrame:
     def move(chunk: pd.DataFrame) -> pd.DataFrame:
-        chunk = chunk.sort_values(["size", "doc_id", "text_hash"], ascending=[False, True, True], kind="stable")
+        chunk = chunk.sort_values(["size", "doc_id", "text_hash", "copy"], ascending=[False, True, True, True], kind="stable")
         first = chunk.iloc[0]
         name = "" if first["source"] is None else f"s{first['source']}"
         rng = random.Random(zlib.crc32(f"{seed}/{level}/{first['chunk']}/{name}".encode()))

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from codelode.llm.copies import number_copies
 from codelode.sources.shared import shared_folder, write_shared
 
 MOST_SLOTS = 16_384  # bounds the map, which is broadcast
@@ -105,10 +106,7 @@ def records(documents: DataFrame, slots: int, id_col: str = "doc_id", text_col:
         F.col(id_col).alias("doc_id"), size.alias("size"), F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("digest"),
         F.pmod(F.spark_partition_id(), F.lit(64)).alias("lane"),
     )
-    counted = facts.groupBy(*key, "lane").agg(F.count("*").alias("copies"))
-    stop = F.sum("copies").over(Window.partitionBy(*key).orderBy("lane").rowsBetween(Window.unboundedPreceding, 0))
-    runs = counted.withColumn("stop", stop).withColumn("first", F.explode(F.sequence(F.col("stop") - F.col("copies"), F.col("stop") - 1, F.lit(65_536))))
-    numbered = runs.withColumn("copy", F.explode(F.sequence("first", F.least(F.col("first") + 65_535, F.col("stop") - 1))))
+    numbered = number_copies(facts, key, "lane")
     return numbered.select(*key, "copy", _hash_slot(slots, F.col("doc_id"), F.col("digest"), F.col("copy")).alias("virtual"))
 
 

@@ -116,3 +116,38 @@ def test_top_k_matches_brute_force(spark, case):
 def test_top_k_of_nothing(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert branch_bound.top_inner_products(table, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_many_equal_rows_are_dealt_over_chunks(spark, mix_docs, monkeypatch):
+    monkeypatch.setattr(cube_mix, "CHUNK", 32)
+    sizes = []
+    real = cube_mix._flights
+
+    def watched(rows, seed, level):
+        sizes.append(max([r["count"] for r in rows.groupBy("source", "chunk").count().collect()], default=0))
+        return real(rows, seed, level)
+
+    monkeypatch.setattr(cube_mix, "_flights", watched)
+    rows = [(None, None, "a")] * 400 + [(7, "same few words", "a")] * 400 + [(i, "w " * (i % 9), "b") for i in range(100)]
+    found = cube_mix.mix_sources(mix_docs(rows)).collect()
+    assert len(found) == 900 and max(sizes) <= 3 * 32
+    again = cube_mix.mix_sources(mix_docs(rows[::-1]).repartition(7)).collect()
+    assert sorted(map(tuple, again), key=str) == sorted(map(tuple, found), key=str)
+
+
+def test_a_query_id_with_two_vectors_is_answered_alike_in_any_order(spark):
+    rows = [(20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 0.2]), (2, [0.1, 1.0]), (3, [0.5, 0.4])]
+    answers = []
+    for order in (rows, rows[::-1]):
+        table = spark.createDataFrame(order, "vec_id long, embedding array<double>").repartition(3)
+        answers.append(sorted(map(tuple, branch_bound.top_inner_products(table, F.col("vec_id") % 20 == 0, 3).collect())))
+    assert answers[0] == answers[1] and [r[2] for r in answers[0]] == [2, 3, 1]
+
+
+def test_vectors_of_many_dimensions(spark):
+    rows = [(i, [((i * 5 + d) % 9 - 4) / 4 for d in range(4000)]) for i in range(25)]
+    found = branch_bound.top_inner_products(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 4).collect()
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in rows}
+    for q in (0, 20):
+        best = sorted((-sum(x * y for x, y in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:4]
+        assert [(r.vec_id, r.score) for r in sorted(found) if r.query_id == q] == [(i, -s) for s, i in best]
