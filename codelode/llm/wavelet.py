@@ -6,79 +6,135 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codelode.llm.tokens import encoder, vocabulary_path
 
-BLOCK = 512  # bits between two stored ranks
-MAGIC = b"WMX1"
+BLOCK = 8192  # bytes of a plane that are compressed together
+MAGIC = b"WMX2"
 SHARDS = "part int, shard int, doc_ids array<long>, ends array<long>, n_tokens long, planes binary"
+_CODEC = pa.Codec("zstd", compression_level=1)
+
+
+class Plane:
+    """The bits of one level in compressed blocks, with the number of ones before each; a block is opened when it is asked for."""
+
+    def __init__(self, n: int, ranks: np.ndarray, offsets: np.ndarray, data: memoryview):
+        self.n, self.ranks, self.offsets, self.data = n, ranks, offsets, data
+        self.zeros = n - int(ranks[-1])
+        self.opened, self._at, self._block = 0, -1, None
+
+    @staticmethod
+    def pack(ones: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+        """(ones before each block and in all, the blocks) of a plane's booleans."""
+        packed = np.packbits(ones)
+        cuts = range(0, max(1, len(packed)), BLOCK)
+        blocks = [packed[a : a + BLOCK] for a in cuts]
+        counts = [int(np.bitwise_count(b).sum()) for b in blocks]
+        return np.concatenate((np.zeros(1, np.int64), np.cumsum(counts))), [_CODEC.compress(b.tobytes(), asbytes=True) for b in blocks]
+
+    def block(self, at: int) -> np.ndarray:
+        """The packed bytes of a block; the last one stays open."""
+        if at != self._at:
+            size = min(BLOCK, -(-self.n // 8) - at * BLOCK)
+            raw = _CODEC.decompress(self.data[self.offsets[at] : self.offsets[at + 1]], size)
+            self._at, self._block, self.opened = at, np.frombuffer(raw, np.uint8), self.opened + 1
+        return self._block
+
+    def bits(self) -> np.ndarray:
+        """All bits as booleans."""
+        blocks = [self.block(i) for i in range(len(self.ranks) - 1)] if self.n else []
+        return np.unpackbits(np.concatenate(blocks), count=self.n).view(bool) if blocks else np.zeros(0, bool)
+
+    def bit(self, i: int) -> int:
+        return int(self.block(i // (8 * BLOCK))[i // 8 % BLOCK] >> (7 - i % 8) & 1)
+
+    def ones(self, i: int) -> int:
+        """Ones among the first i bits."""
+        at, inside = divmod(i, 8 * BLOCK)
+        if not inside:
+            return int(self.ranks[at])
+        block = self.block(at)
+        found = int(np.bitwise_count(block[: inside // 8]).sum())
+        if inside % 8:
+            found += int(block[inside // 8] >> (8 - inside % 8)).bit_count()
+        return int(self.ranks[at]) + found
+
+    def select(self, bit: int, k: int) -> int:
+        """Position of the k-th (from 0) one or zero."""
+        before = self.ranks if bit else np.minimum(np.arange(len(self.ranks), dtype=np.int64) * 8 * BLOCK, self.n) - self.ranks
+        at = int(np.searchsorted(before, k, side="right")) - 1
+        start = at * 8 * BLOCK
+        part = np.unpackbits(self.block(at), count=min(8 * BLOCK, self.n - start))
+        return start + int(np.flatnonzero(part == bit)[k - int(before[at])])
 
 
 class WaveletMatrix:
     """A sequence of ids below 2**bits as bit-planes, the highest bit first.
 
-    Each plane keeps the order that a stable split by all higher bits gives. Plane k is stored as packed bits with the
-    number of ones before every block, so rank takes one table entry and a popcount of at most one block.
+    Each plane keeps the order that a stable split by all higher bits gives. Access, rank and select open one block of each plane, or
+    the two at the ends of a range; ranks at block starts are stored.
     """
 
-    def __init__(self, n: int, planes: list[np.ndarray]):
+    def __init__(self, n: int, planes: list[Plane]):
         self.n, self.planes, self.bits = n, planes, len(planes)
-        self.ranks = [_rank_table(p) for p in planes]
-        self.zeros = [n - int(r[-1]) for r in self.ranks]
 
-    @classmethod
-    def build(cls, ids: np.ndarray, bits: int | None = None) -> "WaveletMatrix":
+    @staticmethod
+    def encode(ids: np.ndarray, bits: int | None = None) -> bytes:
+        """Magic, length, plane count; for each plane its ranks and block ends; then all blocks."""
         bits = bits or max(1, int(ids.max(initial=0)).bit_length())
         values = ids.astype(np.uint16 if bits <= 16 else np.uint32)
-        planes = []
+        heads, blocks = [], []
         for k in range(bits - 1, -1, -1):
-            ones = (values >> k & 1).astype(bool)
-            planes.append(np.packbits(ones))
-            values = np.concatenate((values[~ones], values[ones]))
-        return cls(len(ids), planes)
+            ones = (values >> values.dtype.type(k) & values.dtype.type(1)).astype(np.uint8).view(bool)
+            ranks, packed = Plane.pack(ones)
+            heads += [ranks.astype("<i8").tobytes(), np.cumsum([0, *map(len, packed)]).astype("<i8").tobytes()]
+            blocks += packed
+            column, mask = pa.array(values), pa.array(ones)
+            values = np.concatenate((pc.filter(column, pc.invert(mask)).to_numpy(), pc.filter(column, mask).to_numpy()))
+        return MAGIC + struct.pack("<QI", len(ids), bits) + b"".join(heads) + b"".join(blocks)
 
-    def to_bytes(self) -> bytes:
-        """Magic, length, plane count, and each plane as its compressed size and its zlib bytes."""
-        packed = [zlib.compress(p.tobytes(), 1) for p in self.planes]
-        return MAGIC + struct.pack("<QI", self.n, self.bits) + b"".join(struct.pack("<I", len(p)) + p for p in packed)
+    @classmethod
+    def build(cls, ids: np.ndarray, bits: int | None = None) -> "WaveletMatrix":
+        return cls.from_bytes(cls.encode(ids, bits))
 
     @classmethod
     def from_bytes(cls, data: bytes) -> "WaveletMatrix":
-        if data[:4] != MAGIC:
+        if bytes(data[:4]) != MAGIC:
             raise ValueError("not a wavelet matrix")
-        (n, bits), at, planes = struct.unpack_from("<QI", data, 4), 16, []
-        for _ in range(bits):
-            size = struct.unpack_from("<I", data, at)[0]
-            planes.append(np.frombuffer(zlib.decompress(data[at + 4 : at + 4 + size]), np.uint8))
-            at += 4 + size
-        return cls(n, planes)
+        n, bits = struct.unpack_from("<QI", data, 4)
+        entries = max(1, -(-n // (8 * BLOCK))) + 1
+        tables = np.frombuffer(data, "<i8", 2 * bits * entries, 16).reshape(bits, 2, entries)
+        data, at, planes = memoryview(data), 16 + 16 * bits * entries, []
+        for ranks, ends in tables:
+            planes.append(Plane(n, ranks, ends, data[at : at + int(ends[-1])]))
+            at += int(ends[-1])
+        matrix = cls(n, planes)
+        matrix.raw = data.obj
+        return matrix
+
+    def to_bytes(self) -> bytes:
+        return self.raw
 
     def decode(self) -> np.ndarray:
         """The whole sequence: the splits are undone from the lowest plane up."""
         values = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for k, plane in enumerate(reversed(self.planes)):
-            ones = np.unpackbits(plane, count=self.n).view(bool)
-            zeros = self.n - int(ones.sum())
+            ones = plane.bits()
             up = np.empty_like(values)
-            up[~ones] = values[:zeros]
-            up[ones] = values[zeros:] | values.dtype.type(1 << k)
+            up[~ones] = values[: plane.zeros]
+            up[ones] = values[plane.zeros :] | values.dtype.type(1 << k)
             values = up
         return values
 
-    def _ones(self, level: int, i: int) -> int:
-        block = i // BLOCK
-        part = self.planes[level][block * BLOCK // 8 : (i + 7) // 8]
-        return int(self.ranks[level][block]) + int(np.unpackbits(part, count=i - block * BLOCK).sum() if i > block * BLOCK else 0)
-
     def access(self, i: int) -> int:
         """The id at position i."""
         value = 0
-        for level in range(self.bits):
-            bit = self.planes[level][i >> 3] >> (7 - (i & 7)) & 1
-            ones = self._ones(level, i)
-            i = self.zeros[level] + ones if bit else i - ones
-            value = value << 1 | int(bit)
+        for plane in self.planes:
+            bit, ones = plane.bit(i), plane.ones(i)
+            i = plane.zeros + ones if bit else i - ones
+            value = value << 1 | bit
         return value
 
     def rank(self, token: int, i: int) -> int:
@@ -97,37 +153,20 @@ class WaveletMatrix:
             return -1
         i = self._range(token, self.n)[0] + k
         for level in range(self.bits - 1, -1, -1):
-            bit = token >> (self.bits - 1 - level) & 1
-            i = self._select_bit(level, bit, i - self.zeros[level] if bit else i)
+            bit, plane = token >> (self.bits - 1 - level) & 1, self.planes[level]
+            i = plane.select(bit, i - plane.zeros if bit else i)
         return i
 
     def _range(self, token: int, i: int) -> tuple[int, int]:
         lo, hi = 0, i
-        for level in range(self.bits):
-            one_lo, one_hi = self._ones(level, lo), self._ones(level, hi)
+        for level, plane in enumerate(self.planes):
+            one_lo, one_hi = plane.ones(lo), plane.ones(hi)
             if token >> (self.bits - 1 - level) & 1:
-                lo, hi = self.zeros[level] + one_lo, self.zeros[level] + one_hi
+                lo, hi = plane.zeros + one_lo, plane.zeros + one_hi
             else:
                 lo, hi = lo - one_lo, hi - one_hi
         return lo, hi
 
-    def _select_bit(self, level: int, bit: int, k: int) -> int:
-        """Position of the k-th (from 0) one or zero of a plane."""
-        ranks = self.ranks[level]
-        before = ranks if bit else np.minimum(np.arange(len(ranks), dtype=np.int64) * BLOCK, self.n) - ranks
-        block = int(np.searchsorted(before, k, side="right")) - 1
-        start = block * BLOCK
-        part = np.unpackbits(self.planes[level][start // 8 : (start + BLOCK) // 8], count=min(BLOCK, self.n - start))
-        return start + int(np.flatnonzero(part == bit)[k - int(before[block])])
-
-
-def _rank_table(plane: np.ndarray) -> np.ndarray:
-    """Ones before each block, and in all."""
-    ones = np.bitwise_count(plane).astype(np.int64)
-    pad = -len(ones) % (BLOCK // 8)
-    blocks = np.concatenate((ones, np.zeros(pad, np.int64))).reshape(-1, BLOCK // 8).sum(axis=1)
-    return np.concatenate((np.zeros(1, np.int64), np.cumsum(blocks)))
-
 
 def write_token_files(
     documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2,
@@ -170,10 +209,10 @@ def write_token_files(
 
 
 def _shard(part, shard, ids, docs, ends, bits) -> pa.RecordBatch:
-    matrix = WaveletMatrix.build(np.concatenate(ids), bits)
+    whole = np.concatenate(ids)
     return pa.RecordBatch.from_arrays([
         pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([docs], pa.list_(pa.int64())),
-        pa.array([ends], pa.list_(pa.int64())), pa.array([matrix.n], pa.int64()), pa.array([matrix.to_bytes()], pa.binary()),
+        pa.array([ends], pa.list_(pa.int64())), pa.array([len(whole)], pa.int64()), pa.array([WaveletMatrix.encode(whole, bits)], pa.binary()),
     ], names=["part", "shard", "doc_ids", "ends", "n_tokens", "planes"])
 
 

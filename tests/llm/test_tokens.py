@@ -95,3 +95,19 @@ def test_token_files_of_nothing(spark, tmp_path):
     path = f"file://{tmp_path}/none"
     wavelet.write_token_files(docs_of(spark, []), path, files=2)
     assert wavelet.read_token_files(spark, path).count() == 0
+
+
+def test_access_opens_one_block_of_each_plane(monkeypatch):
+    monkeypatch.setattr(wavelet, "BLOCK", 64)
+    rng = np.random.default_rng(2)
+    ids = np.minimum(rng.zipf(1.3, 20_000), 999).astype(np.uint32)
+    stored = wavelet.WaveletMatrix.encode(ids, 10)
+    for i in (0, 7, 511, 512, 10_000, 19_999):
+        matrix = wavelet.WaveletMatrix.from_bytes(stored)
+        assert matrix.access(i) == ids[i] and all(p.opened <= 2 for p in matrix.planes) and sum(p.opened for p in matrix.planes) <= 12
+        matrix = wavelet.WaveletMatrix.from_bytes(stored)
+        assert matrix.rank(5, i) == (ids[:i] == 5).sum() and all(p.opened <= 2 for p in matrix.planes)
+        matrix = wavelet.WaveletMatrix.from_bytes(stored)
+        found = matrix.select(5, 100)
+        assert found == np.flatnonzero(ids == 5)[100] and all(p.opened <= 6 for p in matrix.planes)
+    assert (matrix.decode() == ids).all() and len(stored) < 4 * len(ids)
