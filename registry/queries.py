@@ -272,6 +272,7 @@ QUERIES = {
     "go_metrics": lambda t: fl.go_metrics(t.files),
     "go_imports": lambda t: fl.go_imports(t.files),
     "python_metrics": lambda t: with_imports(fl.python_metrics(t.files)),
+    "python_structures": lambda t: with_imports(fl.python_metrics(t.fixture("fx_python"))),
     "python_metrics_approx": lambda t: fl.python_metrics_approx(t.files),
     "test_files": lambda t: fl.is_test_file(t.files),
     "file_metrics": lambda t: with_imports(fl.file_metrics(t.files)),
