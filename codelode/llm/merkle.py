@@ -70,11 +70,11 @@ def manifest(
     sizes = write_shared(counted.groupBy("tree").agg(F.sum("copies").alias("n")), "merkle-sizes")
     nodes = write_shared(spread_join(nodes, sizes, "tree", ["pos"]), "merkle-leaves")
 
-    levels, tops = _raise(nodes, _height(sizes, fanout), fanout)
+    levels, tops = _raise(nodes, _height(sizes.agg(F.max("n")).first()[0], fanout), fanout)
     roots = row_numbers(tops.withColumn("all", F.lit(0)), ["all"], [F.col("tree")], "number")
     roots = roots.select(F.lit("").alias("tree"), (F.col("number") - 1).alias("pos"), "digest", F.col("tree").alias("doc_id"), F.lit(b"").alias("seen"))
-    total = sizes.agg(F.count("*").alias("n"))
-    roots = write_shared(roots.crossJoin(F.broadcast(total)), "merkle-roots")
+    total = sizes.count()
+    roots = write_shared(roots.withColumn("n", F.lit(total).cast("long")), "merkle-roots")
     upper, summit = _raise(roots, _height(total, fanout), fanout)
     summit = summit.select("tree", "level", F.lit(b"").alias("subroot"), F.col("digest").alias("root"), _no_path().alias("path"))
     sources = _lower(roots, upper, summit, fanout)
@@ -112,8 +112,9 @@ def _no_path() -> Column:
     return F.lit([]).cast("array<struct<before:binary,after:binary>>")
 
 
-def _height(sizes: DataFrame, fanout: int) -> int:
-    n, height = sizes.agg(F.max("n")).first()[0] or 1, 0
+def _height(n: int | None, fanout: int) -> int:
+    """Levels above ``n`` leaves."""
+    n, height = n or 1, 0
     while n > 1:
         n, height = -(-n // fanout), height + 1
     return height

@@ -65,10 +65,10 @@ def grow(table: SlotMap, weights: DataFrame, weight: str = "bytes") -> SlotMap:
 def _moves(table: SlotMap, weights: DataFrame, weight: str, shards: int, only_new: bool) -> DataFrame:
     held = table.at().join(weights.select("slot", F.col(weight).alias("w")), "slot", "left").withColumn("w", F.coalesce("w", F.lit(0)).cast("long"))
     by_weight = Window.partitionBy("shard").orderBy(F.desc("w"), "slot").rowsBetween(Window.unboundedPreceding, 0)
-    mean = held.agg((F.sum("w") / shards).alias("mean"))
-    held = held.withColumn("running", F.sum("w").over(by_weight)).crossJoin(F.broadcast(mean))
+    mean = (held.agg(F.sum("w")).first()[0] or 0) / shards
+    held = held.withColumn("running", F.sum("w").over(by_weight))
     # one row of at most MOST_SLOTS loose slots and `shards` loads
-    loose = F.col("running") - (F.col("w") / 2 if only_new else F.lit(0)) > F.col("mean")
+    loose = F.col("running") - (F.col("w") / 2 if only_new else F.lit(0)) > mean
     row = held.agg(
         F.reverse(F.array_sort(F.collect_list(F.when(loose, F.struct("w", "slot"))))).alias("loose"),
         F.collect_list(F.when(~loose, F.struct("shard", "w"))).alias("kept"),
