@@ -82,10 +82,12 @@ GO_BRANCH_PATTERNS = [r"\bif\s+", r"\bfor\s+", r"\bswitch\s+"]
 README_NAMES = ["README.md", "README.rst", "README.txt", "README"]
 CHANGELOG_NAMES = ["CHANGELOG.md", "CHANGELOG", "HISTORY.md", "CHANGES.md"]
 CONTRIBUTING_NAME = "CONTRIBUTING.md"
+# Words that show a section of a read-me, each list one section.
 README_SECTIONS = [
     ["install", "setup", "getting started"], ["usage", "example", "how to"], ["api", "reference", "documentation"],
     ["license", "licence"], ["[!["],
 ]
+# Files and folders that show tests, patterns of test names, and paths that show continuous integration.
 TEST_INDICATORS = [
     "tests", "test", "__tests__", "spec", "specs", "pytest.ini", "jest.config.js", "jest.config.ts", ".pytest_cache",
     "conftest.py",
@@ -95,6 +97,7 @@ CI_PATHS = [
     ".github/workflows", ".gitlab-ci.yml", ".circleci", "Jenkinsfile", ".travis.yml", "azure-pipelines.yml",
     ".drone.yml", "bitbucket-pipelines.yml",
 ]
+# Names of configuration repositories, and file names in priority order.
 CONFIG_REPO_NAMES = ["dotfiles", ".dotfiles", "config", ".config"]
 CONFIG_FILES = [
     "package.json", "requirements.txt", "pyproject.toml", "Cargo.toml", "go.mod", "Gemfile", "docker-compose.yml",
