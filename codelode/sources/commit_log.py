@@ -1,11 +1,20 @@
 """Commit tables from exported logs (JSON lines)."""
 
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from codelode.operators.ranking import row_numbers, spread_join
+from codelode.operators.ranking import row_numbers
 from codelode.sources.shared import write_shared
 
+# workers get this module's functions by value, so they need no copy of the package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EARLIEST = -(1 << 62)
+BLOCK = 1 << 16  # chains that one task holds
+RUN = 1 << 12
 COMMIT_SCHEMA = (
     "repo_id int, sha string, author_email string, author_name string, committed_date timestamp_ntz, message string, "
     "walk_pos int"
@@ -43,6 +52,29 @@ def number_commits(log: DataFrame) -> DataFrame:
     return numbered.withColumn("walk_pos", F.col("walk_pos").cast("int"))
 
 
+def _passed_on(key: tuple, chains: pa.Table, links: pa.Table) -> pa.Table:
+    """One block of chains with the dates that pass between them, in an order that puts every chain after those before it."""
+    ids, own, into, length = (chains.column(c).to_pylist() for c in ("id", "own", "into", "length"))
+    at = {chain: i for i, chain in enumerate(ids)}
+    after, waits = [[] for _ in ids], [0] * len(ids)
+    for chain, before in zip(links.column("id").to_pylist(), links.column("before").to_pylist()):
+        after[at[before]].append(at[chain])
+        waits[at[chain]] += 1
+    out, ready = [max(o, i + n) for o, i, n in zip(own, into, length)], [i for i, n in enumerate(waits) if not n]
+    for i in ready:
+        for j in after[i]:
+            if out[i] + 1 > into[j]:
+                into[j] = out[i] + 1
+                out[j] = max(out[j], into[j] + length[j])
+            waits[j] -= 1
+            if not waits[j]:
+                ready.append(j)
+    cyclic = pa.array([len(ready) < len(ids)] * len(ids), pa.bool_())
+    for name, values in (("into", into), ("out", out)):
+        chains = chains.set_column(chains.column_names.index(name), name, pa.array(values, pa.int64()))
+    return chains.append_column("cyclic", cyclic)
+
+
 def walk_commits(log: DataFrame) -> DataFrame:
     """Walk positions from the graph of ``parents``: no commit before any of its children, else newest first, then by sha.
 
@@ -50,24 +82,26 @@ def walk_commits(log: DataFrame) -> DataFrame:
     that is later. So clocks that run wrong never put a commit behind its parents, and where they are right the order is by date.
 
     Chains of commits with one parent and one child are solved by pointer jumping: each round doubles how far every commit sees,
-    with the greatest date and distance on the way, so a chain of 100,000 commits takes 17 rounds. Dates then pass between
-    chains until none changes: as many rounds as chains follow one another within a stretch of wrong dates. Rounds
-    are joins by commit, so a repository with most commits spreads like any other.
+    with the greatest date and distance on the way, so a chain of 100,000 commits takes 17 rounds. Chains are then dealt by date
+    into blocks of some ``BLOCK`` rows. Dates pass inside a block in one go, and between blocks until none changes: as many rounds as
+    blocks follow one another within a stretch of wrong dates, of which each only looks at the blocks that got a later date. Rounds
+    are joins by commit, so a repository with most commits spreads like any other, and nothing is broadcast.
 
     Parents that the log does not hold are ignored, a null list is an empty one, and a null date counts as the
     earliest; a graph with a cycle is refused. Of rows that repeat a commit all take positions, side by side.
     """
     keys = ["repo_id", "sha"]
     date = F.coalesce(F.unix_micros(F.col("committed_date").cast("timestamp")), F.lit(EARLIEST))
-    nodes = write_shared(log.groupBy(*keys).agg(F.max(date).alias("date"), F.flatten(F.collect_set(F.coalesce("parents", F.array().cast("array<string>")))).alias("parents")), "walk-nodes")
-    edges = nodes.select("repo_id", "sha", F.explode(F.array_distinct("parents")).alias("parent"))
-    edges = edges.join(nodes.select("repo_id", F.col("sha").alias("parent")), ["repo_id", "parent"], "left_semi")
-    edges = write_shared(edges, "walk-edges")
+    read = write_shared(log.select(*keys, date.alias("date"), F.col("parents").cast("array<string>").alias("parents")), "walk-log")
+    nodes = write_shared(read.groupBy(*keys).agg(F.max("date").alias("date")), "walk-nodes")
+    edges = read.select(*keys, F.explode("parents").alias("parent")).distinct()
+    edges = edges.join(nodes.select("repo_id", F.col("sha").alias("parent")).hint("merge"), ["repo_id", "parent"], "left_semi")
+    edges = write_shared(edges.select(*keys, "parent"), "walk-edges")
     # a link of a chain: an only parent whose only child this is
     one_parent = edges.groupBy(*keys).agg(F.count("*").alias("n"), F.first("parent").alias("parent")).filter("n = 1").drop("n")
     one_child = edges.groupBy("repo_id", "parent").agg(F.count("*").alias("n")).filter("n = 1").drop("n")
-    links = one_parent.join(one_child, ["repo_id", "parent"])
-    state = nodes.select(*keys, F.col("date").alias("best")).join(links, keys, "left").select(
+    links = one_parent.join(one_child.hint("merge"), ["repo_id", "parent"])
+    state = nodes.select(*keys, F.col("date").alias("best")).join(links.hint("merge"), keys, "left").select(
         *keys, F.coalesce("parent", "sha").alias("at"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("dist"), "best",
         F.col("parent").isNull().alias("done"),
     )
@@ -78,7 +112,7 @@ def walk_commits(log: DataFrame) -> DataFrame:
         if rounds > limit:
             raise ValueError("the parents of some commits lead back to them")
         far = state.select("repo_id", F.col("sha").alias("at"), F.col("at").alias("at2"), F.col("dist").alias("dist2"), F.col("best").alias("best2"), F.col("done").alias("done2"))
-        moved = state.filter("NOT done").join(far, ["repo_id", "at"]).select(
+        moved = state.filter("NOT done").join(far.hint("merge"), ["repo_id", "at"]).select(
             *keys, F.col("at2").alias("at"), (F.col("dist") + F.col("dist2")).alias("dist"), F.greatest("best", F.col("best2") + F.col("dist")).alias("best"),
             F.col("done2").alias("done"),
         )
@@ -86,28 +120,47 @@ def walk_commits(log: DataFrame) -> DataFrame:
         left = state.filter("NOT done").count()
     # chains: `at` is the oldest commit of one; what leads into it are the parents of that commit, each the newest of its chain
     chains = state.groupBy("repo_id", F.col("at").alias("chain")).agg(F.max(F.struct("dist", "sha", "best")).alias("newest")).select(
-        "repo_id", "chain", F.col("newest.sha").alias("newest"), F.col("newest.dist").alias("length"), F.col("newest.best").alias("out")
+        "repo_id", "chain", F.col("newest.sha").alias("newest"), F.col("newest.dist").alias("length"), F.col("newest.best").alias("own")
     )
-    chains = write_shared(chains.withColumn("into", F.lit(EARLIEST)), "walk-chains-0")
-    into = edges.join(chains.select("repo_id", F.col("chain").alias("sha")), ["repo_id", "sha"], "left_semi")
-    owner = chains.select("repo_id", F.col("newest").alias("parent"), F.col("chain").alias("before"))
-    into = write_shared(into.join(owner, ["repo_id", "parent"]).select("repo_id", F.col("sha").alias("chain"), "before"), "walk-into")
-    changed, rounds, limit = True, 0, into.count() + 1
-    while changed:
+    chains = write_shared(chains, "walk-chains")
+    blocks = max(1, -(-chains.count() // BLOCK))
+    chains = chains.repartitionByRange(blocks, "repo_id", "own", "chain")
+    # written once: block and id name a chain from here on
+    chains = write_shared(chains.withColumns({"block": F.spark_partition_id(), "id": F.monotonically_increasing_id()}), "walk-blocks")
+    into = edges.join(chains.select("repo_id", F.col("chain").alias("sha"), "block", "id").hint("merge"), ["repo_id", "sha"])
+    owner = chains.select("repo_id", F.col("newest").alias("parent"), F.col("block").alias("before_block"), F.col("id").alias("before"))
+    into = write_shared(into.join(owner.hint("merge"), ["repo_id", "parent"]).select("block", "id", "before_block", "before"), "walk-into")
+    inside, across = into.filter("block = before_block").select("block", "id", "before"), into.filter("block <> before_block")
+    blank = F.lit(EARLIEST).cast("long")
+    known = chains.select("block", "id", "own", "length", blank.alias("into"), F.col("own").alias("out"))
+    form, todo = "block int, id long, own long, length long, into long, out long, cyclic boolean", None
+    rounds, limit = 0, across.count() + 1
+    while todo is None or todo:
         if rounds > limit:
             raise ValueError("the parents of some commits lead back to them")
-        given = into.join(chains.select("repo_id", F.col("chain").alias("before"), "out"), ["repo_id", "before"])
-        given = given.groupBy("repo_id", "chain").agg((F.max("out") + 1).alias("given"))
-        later = chains.join(given, ["repo_id", "chain"], "left").withColumn("given", F.greatest("into", "given"))
-        later = later.select("repo_id", "chain", "newest", "length", F.greatest("out", F.col("given") + F.col("length")).alias("out"), F.col("given").alias("into"), (F.col("given") > F.col("into")).alias("moved"))
-        later = write_shared(later, f"walk-chains-{rounds + 1}")
-        chains, rounds = later.drop("moved"), rounds + 1
-        changed = not later.filter("moved").isEmpty()
-    whole = spread_join(
-        state.withColumn("chain", F.struct("repo_id", "at")), chains.select(F.struct("repo_id", F.col("chain").alias("at")).alias("chain"), "into"), "chain", ["sha"]
-    ).select(*keys, F.greatest("best", F.col("into") + F.col("dist")).alias("__corrected"))
+        here, there = (known, inside) if todo is None else (known.filter(F.col("block").isin(todo)), inside.filter(F.col("block").isin(todo)))
+        solved = here.groupBy("block").cogroup(there.groupBy("block")).applyInArrow(_passed_on, form)
+        if todo is not None:
+            solved = solved.unionByName(known.filter(~F.col("block").isin(todo)).withColumn("cyclic", F.lit(False)))
+        solved = write_shared(solved, f"walk-known-{rounds}")
+        if not solved.filter("cyclic").isEmpty():
+            raise ValueError("the parents of some commits lead back to them")
+        known, rounds = solved.drop("cyclic"), rounds + 1
+        given = across.join(known.select(F.col("block").alias("before_block"), F.col("id").alias("before"), "out").hint("merge"), ["before_block", "before"])
+        given = given.groupBy("block", "id").agg((F.max("out") + 1).alias("given"))
+        later = known.join(given.hint("merge"), ["block", "id"], "left").select("block", "id", "own", "length", F.greatest("into", "given").alias("into"), "out", (F.col("given") > F.col("into")).alias("moved"))
+        later = write_shared(later, f"walk-later-{rounds}")
+        todo = [r.block for r in later.filter("moved").select("block").distinct().collect()]  # a number for a block
+        known = later.drop("moved")
+    solved = chains.select("repo_id", F.col("chain").alias("at"), "block", "id", "length").join(known.select("block", "id", "into").hint("merge"), ["block", "id"])
+    # a chain may be a whole repository: its commits meet it in runs
+    run = lambda n: F.floor(F.col(n) / RUN)
+    solved = solved.select("repo_id", "at", "into", F.explode(F.sequence(F.lit(0).cast("long"), run("length"))).alias("run"))
+    whole = state.withColumn("run", run("dist")).join(solved.hint("merge"), ["repo_id", "at", "run"]).select(
+        *keys, F.greatest("best", F.col("into") + F.col("dist")).alias("__corrected")
+    )
     # a repository may hold most commits, a commit holds few rows
-    dated = log.drop("walk_pos", "parents").join(whole, keys)
+    dated = log.drop("walk_pos", "parents").join(whole.hint("merge"), keys)
     numbered = row_numbers(dated, ["repo_id"], [F.desc("__corrected"), F.col("sha")], "walk_pos")
     return numbered.withColumn("walk_pos", F.col("walk_pos").cast("int")).drop("__corrected")
 

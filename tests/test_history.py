@@ -307,6 +307,28 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     assert len(written) < 26
 
 
+def test_a_stretch_of_wrong_dates_takes_few_rounds(spark, monkeypatch):
+    written = []
+    real = commit_log.write_shared
+    monkeypatch.setattr(commit_log, "write_shared", lambda df, name: written.append(name) or real(df, name))
+    n, rows = 120, [("c000", 900, [])]
+    rows += [(f"c{i:03d}", i, [f"c{i - 1:03d}"] + [f"c{i - 3:03d}"] * (i % 2 and i > 2)) for i in range(1, n)]
+    walked = commit_log.walk_commits(graph(spark, rows))
+    assert [r.sha for r in walked.orderBy("walk_pos").collect()] == [f"c{i:03d}" for i in reversed(range(n))]
+    assert len(written) < 26
+
+
+@pytest.mark.parametrize("block", [1, 7])
+def test_dates_pass_between_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(commit_log, "BLOCK", block)
+    rows = [("a", 50, []), ("b", 1, ["a"]), ("c", 2, ["a"]), ("d", 3, ["b", "c"]), ("e", 90, ["c"]), ("f", 4, ["d", "e"]), ("g", 60, ["d"])]
+    found = [r.sha for r in commit_log.walk_commits(graph(spark, rows)).orderBy("walk_pos").collect()]
+    assert found == ["f", "e", "g", "d", "b", "c", "a"]
+    if block == 1:
+        with pytest.raises(ValueError, match="lead back"):
+            commit_log.walk_commits(graph(spark, [("a", 0, ["b", "r"]), ("b", 1, ["a", "r"]), ("r", 5, [])])).count()
+
+
 def test_a_cycle_is_refused(spark):
     with pytest.raises(ValueError, match="lead back"):
         commit_log.walk_commits(graph(spark, [("a", 0, ["b"]), ("b", 1, ["a"]), ("c", 2, ["b"])])).count()
