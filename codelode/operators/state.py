@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from codelode.functions import formats
 from codelode.operators.ranking import page_rows, row_numbers, running_total
+from codelode.sources.shared import write_shared
 
 
 # --- profiles ------------------------------------------------------------------------------------------------------------------------
@@ -99,6 +100,8 @@ def stories_query(
         fitting = fitting.filter(
             F.arrays_overlap(F.transform("technologies", lambda t: F.lower(t)), F.array(*map(F.lit, wanted)))
         )
+    # written once: the count, the order and the page's rows all read them
+    fitting = write_shared(fitting, "fitting-stories")
     total = fitting.agg(F.count("*").alias("total")).scalar()
     order = [F.desc_nulls_last("last_commit_at"), F.col("story_id")]
     page = page_rows(fitting, ["last_commit_at", "story_id"], order, offset, limit)
