@@ -18,6 +18,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SIZE = 3
 ALIKE = str.maketrans("\u0131\u0130\u017f\u212a", "iisk")  # fixed values: dotless i, dotted I, long s, Kelvin sign
 PIECE = 1 << 22
+PAIRS = 1 << 21  # grams of texts that are held at once
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -89,13 +90,27 @@ def _parts(sequence) -> list:
     return found
 
 
-def gram_rows(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
-    """For batches of ``keys`` key columns and a text: the keys repeated beside each distinct gram (``gram int``) of the text."""
+def gram_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For batches of (bucket, id, text): each gram with the ids of a run of texts of one bucket that hold it."""
+    codes, ids, held, bucket = [], [], 0, None
+
+    def made():
+        grams, numbers = np.concatenate(codes), np.concatenate(ids)
+        order = np.lexsort((numbers, grams))
+        grams, numbers = grams[order], numbers[order]
+        first = np.flatnonzero(np.diff(grams, prepend=grams[0] - 1))
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(grams)).astype(np.int32)), pa.array(numbers))
+        return pa.RecordBatch.from_arrays([pa.array(grams[first]), pa.array(np.full(len(first), bucket, np.int32)), lists], names=["gram", "bucket", "ids"])
+
     for batch in batches:
-        for row in range(len(batch)):
-            text = batch.column(keys)[row].as_py()
-            codes = text_grams(text) if text else np.zeros(0, np.int32)
-            if len(codes):
-                same = pa.array(np.zeros(len(codes), np.int32))
-                columns = [batch.column(c).slice(row, 1).take(same) for c in range(keys)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(codes, pa.int32())], names=[*batch.schema.names[:keys], "gram"])
+        for at, number, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            found = text_grams(text.as_py() or "").astype(np.int32)
+            if held and (at != bucket or held + len(found) > PAIRS):
+                yield made()
+                codes, ids, held = [], [], 0
+            bucket, held = at, held + len(found)
+            if len(found):
+                codes.append(found)
+                ids.append(np.full(len(found), number, np.int32))
+    if held:
+        yield made()

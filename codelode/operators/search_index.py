@@ -5,12 +5,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from codelode.functions import paths, text
-from codelode.functions.grams import gram_rows, required
+from codelode.functions.grams import gram_lists, required
 from codelode.operators.ranking import top_k
 from codelode.operators.search import invalid_pattern, is_valid, line_hits, searchable
 from codelode.sources.shared import shared_folder
 
-POSTINGS = "digest string, bucket int, gram int"
+POSTINGS = "gram int, bucket int, ids array<int>"
 MOST_BUCKETS = 4096
 RAREST = 4  # grams of a list of which all are needed
 
@@ -19,7 +19,8 @@ class SearchIndex:
     """Folders of one index: ``texts`` by bucket, ``postings`` by gram, ``grams`` with counts, ``places`` of each version of the files.
 
     Texts are kept by the hash of their content, so a text in many files, or in an earlier version of them, is stored, cut into
-    grams and searched once. Buckets of texts are chosen by that hash and read only if they hold a candidate.
+    grams and searched once. Buckets of texts are chosen by that hash and read only if they hold a candidate. A posting names
+    many texts of a bucket by four bytes of a hash each; two texts of one number are candidates together, and the pattern decides.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 256):
@@ -35,7 +36,7 @@ class SearchIndex:
         return self._table("texts", "digest string, content string, bucket int, version string")
 
     def postings(self) -> DataFrame:
-        return self._table("postings", "gram int, digest string, bucket int, part int, version string")
+        return self._table("postings", "gram int, bucket int, ids array<int>, part int, version string")
 
     def add(self, files: DataFrame) -> "SearchIndex":
         """Index the current files; texts that the index has already are neither stored nor cut again.
@@ -45,22 +46,22 @@ class SearchIndex:
         version = uuid.uuid4().hex
         shown = searchable(files).filter("content IS NOT NULL").select("repo_id", "path", F.sha2("content", 256).alias("digest"), "content")
         shown.drop("content").write.parquet(f"{self.path}/places/{version}")
-        # one row of each text leaves a task; equal ones of different tasks meet by their hash
-        fresh = shown.select("digest", "content").dropDuplicates(["digest"])
+        # equal texts meet in their bucket: one shuffle of the texts
+        bucket = F.pmod(F.xxhash64("digest"), F.lit(self.buckets)).cast("int")
+        fresh = shown.select("digest", "content", bucket.alias("bucket"))
         if self.versions:
             fresh = fresh.join(self.texts().select("digest"), "digest", "left_anti")
-        bucket = F.pmod(F.xxhash64("digest"), F.lit(self.buckets)).cast("int")
         here = lambda name: f"{self.path}/{name}/version={version}"
-        fresh = fresh.withColumn("bucket", bucket).repartition("bucket").sortWithinPartitions("bucket", "digest")
+        fresh = fresh.repartition("bucket").dropDuplicates(["bucket", "digest"]).sortWithinPartitions("bucket", "digest")
         fresh.write.partitionBy("bucket").parquet(here("texts"))
         written = self.spark.read.schema("digest string, content string, bucket int").parquet(here("texts"))
-        postings = written.select("digest", "bucket", "content").mapInArrow(lambda batches: gram_rows(batches, 2), POSTINGS)
+        postings = written.select("bucket", text_id(), "content").mapInArrow(gram_lists, POSTINGS)
         part = F.pmod("gram", F.lit(64)).cast("int")
-        # a gram that most texts hold is dealt by the texts' hash as well
-        dealt = postings.withColumn("part", part).repartition("part", F.pmod(F.xxhash64("digest"), F.lit(8)))
-        dealt.sortWithinPartitions("part", "gram", "digest").write.partitionBy("part").parquet(here("postings"))
-        stored = self.spark.read.schema("gram int, digest string, bucket int, part int").parquet(here("postings"))
-        stored.groupBy("gram").agg(F.count("*").alias("texts")).repartition("gram").sortWithinPartitions("gram").write.parquet(here("grams"))
+        # a gram that most texts hold is dealt by the texts' bucket as well
+        dealt = postings.withColumn("part", part).repartition("part", F.pmod("bucket", F.lit(8)))
+        dealt.sortWithinPartitions("part", "gram").write.partitionBy("part").parquet(here("postings"))
+        stored = self.spark.read.schema("gram int, ids array<int>, part int").parquet(here("postings"))
+        stored.groupBy("gram").agg(F.sum(F.size("ids").cast("long")).alias("texts")).repartition("gram").sortWithinPartitions("gram").write.parquet(here("grams"))
         self.versions.append(version)
         self.places = version
         return self
@@ -71,6 +72,11 @@ class SearchIndex:
         return {r.gram: r.n for r in table.groupBy("gram").agg(F.sum("texts").alias("n")).collect()}
 
 
+def text_id() -> Column:
+    """The number of a text in postings, beside its bucket."""
+    return F.hash("digest").alias("id")
+
+
 def build_index(files: DataFrame, path: str | None = None, buckets: int = 256) -> SearchIndex:
     spark = files.sparkSession
     return SearchIndex(spark, path or f"{shared_folder(spark)}/search-{uuid.uuid4().hex}", buckets).add(files)
@@ -102,17 +108,18 @@ def _holds(formula, have: Column) -> Column:
 
 
 def candidates(index: SearchIndex, pattern: str) -> DataFrame | None:
-    """(digest, bucket) of the texts that hold what the pattern needs; None if it needs nothing that the index knows."""
+    """(id, bucket) of the texts that hold what the pattern needs; None if it needs nothing that the index knows."""
     formula = required(pattern)
     if formula is None:
         return None
     formula = _rarest(formula, index.counts(sorted(_grams(formula))))
     grams = sorted(_grams(formula))
     found = index.postings().filter(F.col("part").isin(sorted({g % 64 for g in grams})) & F.col("gram").isin(grams))
+    found = found.select("gram", "bucket", F.explode("ids").alias("id"))
     if isinstance(formula, int):
-        return found.select("digest", "bucket")
-    have = found.groupBy("digest", "bucket").agg(F.collect_set("gram").alias("have"))
-    return have.filter(_holds(formula, F.col("have"))).select("digest", "bucket")
+        return found.select("id", "bucket")
+    have = found.groupBy("id", "bucket").agg(F.collect_set("gram").alias("have"))
+    return have.filter(_holds(formula, F.col("have"))).select("id", "bucket")
 
 
 def search_index(index: SearchIndex, pattern: str, max_results: int = 50) -> DataFrame:
@@ -127,7 +134,7 @@ def search_index(index: SearchIndex, pattern: str, max_results: int = 50) -> Dat
     texts, chosen = index.texts(), candidates(index, pattern)
     if chosen is not None:
         buckets = [r.bucket for r in chosen.select("bucket").distinct().collect()]  # at most MOST_BUCKETS
-        texts = texts.filter(F.col("bucket").isin(buckets)).join(chosen.select("digest"), "digest", "left_semi")
+        texts = texts.filter(F.col("bucket").isin(buckets)).withColumn("id", text_id()).join(chosen, ["bucket", "id"], "left_semi")
     hits = line_hits(texts, ["digest"], pattern, regex)
     places = spark.read.parquet(f"{index.path}/places/{index.places}")
     found = places.join(hits, "digest")

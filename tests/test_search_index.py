@@ -137,3 +137,10 @@ def test_empty_and_broken_rules_fail(spark, files):
         with pytest.raises(Exception):
             rule_tables.rule_table_hits(files({"a.py": "x"}), spark.createDataFrame([("scale", 0, "r", 0, pattern)], RULES)).collect()
     assert rule_tables.rule_table_hits(files({"a.py": "x"}), spark.createDataFrame([], RULES)).count() == 0
+
+
+def test_postings_name_many_texts_by_four_bytes_each(spark, table, index):
+    postings = index.postings()
+    assert "digest" not in postings.columns and dict(postings.dtypes)["ids"] == "array<int>"
+    wanted = sum(len(grams.text_grams(r.content)) for r in index.texts().collect())
+    assert postings.agg(F.sum(F.size("ids"))).collect()[0][0] == wanted > postings.count()
