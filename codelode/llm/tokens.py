@@ -5,6 +5,7 @@
 
 import re
 import unicodedata
+from codecs import charmap_decode
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -32,6 +33,7 @@ def _byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = {b: c for b, c in _byte_letters().items() if ord(c) != b}
+_LETTER_TABLE = "".join(c for _, c in sorted(_byte_letters().items()))
 LETTERS, NUMBERS = _class("L"), _class("N")
 SPACES = " \t\n\v\f\r"
 #: The split of byte-level BPE for texts of these characters only; anything else goes to the library whole.
@@ -44,6 +46,11 @@ SIMPLE = re.compile("[" + "".join(
 ) + "]*")
 
 
+def letters(text: str) -> str:
+    """A text's UTF-8 bytes as the vocabulary writes them."""
+    return charmap_decode(text.encode(), "strict", _LETTER_TABLE)[0]
+
+
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -70,7 +77,7 @@ class Encoder:
     def piece(self, piece: str) -> bytes:
         found = self.pieces.get(piece)
         if found is None:
-            found = self.model_ids(piece.encode().decode("latin-1").translate(BYTE_LETTERS))
+            found = self.model_ids(letters(piece))
             if len(self.pieces) < self.most // 4 and len(piece) < 64:
                 self.pieces[piece] = found
         return found
@@ -78,19 +85,21 @@ class Encoder:
     def word(self, word: str) -> bytes:
         """The ids of a space and simple letters."""
         found = self.parts.get(word)
-        if found is None:
-            found = self.model_ids((" " + word).encode().decode("latin-1").translate(BYTE_LETTERS))
-            if len(self.parts) < self.most and len(word) < 64:
-                self.parts[word] = found
+        return self.new_word(word) if found is None else found
+
+    def new_word(self, word: str) -> bytes:
+        found = self.model_ids(letters(" " + word))
+        if len(self.parts) < self.most and len(word) < 64:
+            self.parts[word] = found
         return found
 
     def part(self, part: str) -> bytes | None:
         """The ids of a part with the space before it (marked parts: see ``encode``); None where that isn't safe."""
         if not part:
             return None
-        simple = max(part) < LAST
+        simple = part.isascii() or max(part) < LAST
         if simple and part.isalpha():
-            return self.word(part)
+            return self.new_word(part)
         if simple and part[-1] in self.marks and part[:-1].isalpha():
             found = self.word(part[:-1]) + self.marks[part[-1]]
         elif part[0].isspace() and part[0] != " " or part[-1].isspace() or not SIMPLE.fullmatch(part):

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from codelode.llm.tokens import encoder, vocabulary_path
@@ -17,6 +16,19 @@ SHARDS = "part int, shard int, doc_ids array<long>, ends array<long>, n_tokens l
 _CODEC = pa.Codec("zstd", compression_level=1)
 
 
+def split(values: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """The values where the bit is zero, then those where it is one, each in order; by positions, which cost a third of masks."""
+    return np.concatenate((values.take(np.flatnonzero(~ones)), values.take(np.flatnonzero(ones))))
+
+
+def unsplit(values: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """What ``split`` made the values of."""
+    at, up = np.flatnonzero(~ones), np.empty_like(values)
+    up[at] = values[: len(at)]
+    up[np.flatnonzero(ones)] = values[len(at) :]
+    return up
+
+
 class Plane:
     """The bits of one level in compressed blocks, with the number of ones before each; a block is opened when it is asked for."""
 
@@ -91,8 +103,7 @@ class WaveletMatrix:
             ranks, packed = Plane.pack(ones)
             heads += [ranks.astype("<i8").tobytes(), np.cumsum([0, *map(len, packed)]).astype("<i8").tobytes()]
             blocks += packed
-            column, mask = pa.array(values), pa.array(ones)
-            values = np.concatenate((pc.filter(column, pc.invert(mask)).to_numpy(), pc.filter(column, mask).to_numpy()))
+            values = split(values, ones)
         return MAGIC + struct.pack("<QI", len(ids), bits) + b"".join(heads) + b"".join(blocks)
 
     @classmethod
@@ -122,10 +133,8 @@ class WaveletMatrix:
         values = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for k, plane in enumerate(reversed(self.planes)):
             ones = plane.bits()
-            up = np.empty_like(values)
-            up[~ones] = values[: plane.zeros]
-            up[ones] = values[plane.zeros :] | values.dtype.type(1 << k)
-            values = up
+            values[plane.zeros :] |= values.dtype.type(1 << k)
+            values = unsplit(values, ones)
         return values
 
     def access(self, i: int) -> int:

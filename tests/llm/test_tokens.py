@@ -41,6 +41,34 @@ def test_prefix_counts_equal_library(library):
             assert len(library(text[: counter.fits(text, limit, n)])) <= limit
 
 
+def test_letters_stand_for_bytes():
+    text = "".join(map(chr, range(0x800))) + "日😀"
+    assert tokens.letters(text) == text.encode().decode("latin-1").translate(tokens.BYTE_LETTERS)
+
+
+def test_split_and_unsplit():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 9, 70_000):
+        values, ones = rng.integers(0, 1 << 16, n).astype(np.uint16), rng.random(n) < 0.3
+        parted = wavelet.split(values, ones)
+        assert parted.tolist() == values[~ones].tolist() + values[ones].tolist()
+        assert (wavelet.unsplit(parted, ones) == values).all()
+
+
+def test_a_new_word_is_looked_up_once():
+    """The table is asked by ``encode``; a part that is not in it goes to the model without asking again."""
+    enc, asked = tokens.Encoder(PATH), []
+
+    class Parts(dict):
+        def get(self, key):
+            asked.append(key)
+            return dict.get(self, key)
+
+    enc.parts = Parts()
+    enc.encode("some words here")
+    assert asked == [" some", "words", "here"]
+
+
 def test_budget_cut():
     assert prefix_counts.budget_cut(np.array([0, 1, 1, 2, 3]), 2) == 3
 
