@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
-from codelode.functions.grams import SIZE, required, text_grams
+from codelode.functions.grams import LONG, PLACES, SHARED, SHORT_CODES, SIZE, required, wanted_grams
 from codelode.functions.lexicon_scan import FOLDED, FOUND
 from codelode.functions.text import literal_text
 from codelode.operators.ranking import spread_join
@@ -32,10 +32,16 @@ SHARE = 1 << 12  # patterns that are checked beside one copy of a text
 
 
 def needed_grams(pattern: str) -> list[int]:
-    """Grams that every match holds; ``EVERY`` alone if none is certain."""
-    formula = required(pattern)
-    parts = [formula] if formula is None or isinstance(formula, int) or formula[0] == "or" else formula[1]
-    return sorted({p for p in parts if isinstance(p, int)}) or [EVERY]
+    """Grams that every match holds, long ones if any is certain; ``EVERY`` alone if none is.
+
+    Names that differ in a number share all their short grams with many others, whose texts would all meet them.
+    """
+    for size in (LONG, SIZE):
+        formula = required(pattern, size)
+        parts = [formula] if formula is None or isinstance(formula, int) or formula[0] == "or" else formula[1]
+        if found := sorted({p for p in parts if isinstance(p, int)}):
+            return found
+    return [EVERY]
 
 
 def _pattern_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -46,15 +52,14 @@ def _pattern_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _held(wanted: bytes):
-    """Grams of texts among the wanted ones: a set of all 2**24 grams in two megabytes, whatever the number of rules."""
+    """Grams of texts among the wanted ones: a set of all codes in six megabytes, whatever the number of rules."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.unpackbits(np.frombuffer(wanted, np.uint8))
+        mask = np.unpackbits(np.frombuffer(wanted, np.uint8)).view(bool)
         for batch in batches:
             ids, grams = [], []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                codes = text_grams(text.as_py() or "")
-                codes = codes[mask[codes] > 0]
+                codes = wanted_grams(text.as_py() or "", mask)
                 ids.append(np.full(len(codes), row, np.int64))
                 grams.append(codes)
             yield pa.RecordBatch.from_arrays(
@@ -69,15 +74,20 @@ def _compiled(pattern: str):
     return re.compile(pattern)
 
 
+@lru_cache(1 << 14)
+def _literal(pattern: str):
+    return literal_text(pattern)
+
+
 def _count(pattern: str, body: str) -> int:
-    word = literal_text(pattern)
+    word = _literal(pattern)
     return body.count(word) if word is not None else sum(1 for _ in _compiled(pattern).finditer(body))
 
 
 def _check(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     def one(body, patterns):
         low = body.lower()
-        folded = body.translate(FOLDED).lower() if not body.isascii() else low
+        folded = body.translate(FOLDED).lower() if any(chr(c) in body for c in FOLDED) else low
         found = []
         for pattern in sorted(patterns):
             n = _count(pattern, low)
@@ -105,10 +115,7 @@ def rule_table_hits(files: DataFrame, rules: DataFrame) -> DataFrame:
     texts = write_shared(texts, "rule-texts")
     given = rules.select("pattern").distinct().withColumn("pattern", F.when(F.length("pattern") > 0, F.col("pattern")).otherwise(F.raise_error(F.lit("empty pattern"))))
     keyed = write_shared(given.mapInArrow(_pattern_grams, KEYED), "rule-grams")
-    wanted = np.zeros(1 << 8 * SIZE, np.uint8)
-    codes = [r.gram for r in keyed.filter(F.col("gram") != EVERY).select("gram").distinct().toLocalIterator()]  # at most 2**24
-    wanted[codes] = 1
-    held = write_shared(texts.select("id", "content").mapInArrow(_held(np.packbits(wanted).tobytes()), HELD), "rule-held")
+    held = write_shared(texts.select("id", "content").mapInArrow(_held(_wanted(keyed)), HELD), "rule-held")
     spread = held.groupBy("gram").agg(F.count("*").alias("texts"))
     # a gram that no text holds is rarest of all; its pattern then meets nothing
     rarest = keyed.join(spread, "gram", "left").groupBy("pattern").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "gram")).alias("best"))
@@ -125,5 +132,15 @@ def rule_table_hits(files: DataFrame, rules: DataFrame) -> DataFrame:
     ).filter("in_corpus OR in_evidence")
 
 
+def _wanted(keyed: DataFrame) -> bytes:
+    """A bit for each place of a gram's code, the first one highest: gathered as words of 32 bits, of which there are 1.5 million at most."""
+    place = F.when(F.col("gram") < SHORT_CODES, F.col("gram")).otherwise(SHORT_CODES + F.shiftright(F.col("gram") - SHORT_CODES, SHARED))
+    places = keyed.filter(F.col("gram") != EVERY).select(place.alias("place"))
+    words = places.groupBy(F.shiftright("place", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, 31 - place % 32)")).alias("bits")).toArrow()
+    wanted = np.zeros(PLACES // 32, ">u4")
+    wanted[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return wanted.tobytes()
+
+
 def _shares(chosen: DataFrame) -> int:
     return max(1, -(-chosen.count() // SHARE))

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -132,6 +133,33 @@ def test_many_rules(spark, files):
     assert {r.integration for r in rules.detect_integrations(hits, many).collect()} == {"r5", "r77", "r99999"}
 
 
+def test_names_that_differ_in_a_number_meet_their_own_texts(spark, files, monkeypatch):
+    """A name's text holds the short grams of many other names; only long ones keep the others' patterns away from it."""
+    names = [f"supplier {i:09d}" for i in range(300)]
+    given = spark.createDataFrame([("integration", i, n, 0, n) for i, n in enumerate(names)], RULES)
+    table = files({f"a{i}.py": f"# {n.title()}\n" + "ſupply " for i, n in enumerate(names)})
+    looked, held = [], {}
+    for i, name in enumerate(names):
+        for code in rule_tables.needed_grams(name):
+            held.setdefault(code, []).append(i)
+    for i, name in enumerate(names):
+        looked.append(min(len(held[code]) for code in rule_tables.needed_grams(name)))
+    assert max(looked) <= 11  # its own and ten that go on with one more digit; three bytes of a number are in dozens
+    hits = rule_tables.rule_table_hits(table, given)
+    assert sorted((r.path, r.pattern, r.n) for r in hits.collect()) == sorted((f"a{i}.py", n, 1) for i, n in enumerate(names))
+
+
+def test_codes_of_texts_hold_those_of_patterns():
+    """Whatever stands before or after a run, in either case and across the pieces of a long text."""
+    every = np.ones(grams.PLACES, bool)
+    for run in ("abc", "payments", "İstanbul pay", "x" * 40, "Kelvin\u212aelvin"):
+        for text in (run, f"é{run.upper()}é", "y" * (grams.PIECE - 3) + run):
+            codes = set(grams.wanted_grams(text, every).tolist())
+            for size in (grams.SIZE, grams.LONG):
+                assert set(grams.run_grams(run, size)) <= codes or not run.isascii()
+    assert not len(grams.wanted_grams("ab", every)) and not len(grams.wanted_grams("abcdefghij", ~every))
+
+
 def test_empty_and_broken_rules_fail(spark, files):
     for pattern in ("", None, "("):
         with pytest.raises(Exception):
