@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from codelode.operators import history, ranking
 from codelode.plans import reports
 from codelode.sources import commit_log
 from codelode.streaming import commits as stream
+from registry import queries
 
 CHANGES = (
     "repo_id int, sha string, file_pos int, path string, change_type string, insertions int, deletions int, diff string"
@@ -349,3 +351,18 @@ def test_pages_skip_what_lies_before_them(spark):
         found = [tuple(r) for r in ranking.page_rows(rows, ["v", "k"], order, offset, limit).collect()]
         assert found == everything[offset : offset + limit]
     assert ranking.page_rows(rows.filter("false"), ["v", "k"], order, 0, 5).collect() == []
+
+
+def test_streamed_commits_are_made_once(spark, tmp_path):
+    """All parts of the feed are read from one written table, so commits are numbered once, not for each part."""
+    made, n = spark.sparkContext.accumulator(0), 60
+
+    def count(sha):
+        made.add(1)
+        return sha
+
+    rows = [(1, f"s{i}", f"u{i % 4}@x", "n", dt.datetime(2001, 1, 1 + i % 28), "m", i + 1) for i in range(n)]
+    log = spark.createDataFrame(rows, "repo_id int, sha string, author_email string, author_name string, committed_date timestamp_ntz, message string, walk_pos int")
+    found = queries.streamed_contributors(SimpleNamespace(spark=spark, commits=log.withColumn("sha", F.udf(count, "string")("sha"))))
+    assert {r.email: r.commits for r in found.collect()} == {f"u{i}@x": n // 4 for i in range(4)}
+    assert made.value == n
