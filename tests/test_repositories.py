@@ -229,3 +229,11 @@ def test_whole_repository_plans(files, repos, commits, tmp_path):
     assert "- **Languages**: Python (100%)" in header and "(1 year, 1 months)" in header
     fields = {(r.field, r.value) for r in ri.portfolio_header(info).collect()}
     assert ("Total Commits", "3") in fields and ("Languages", "Python (100%)") in fields and ("Repositories", "repo2") in fields
+
+
+def test_paths_are_written_once_for_all_sections(files, repos, monkeypatch):
+    """Sections that need paths only read one written table, not the files behind it."""
+    written, write = [], analysis.write_shared
+    monkeypatch.setattr(analysis, "write_shared", lambda df, name: written.append((name, df.columns)) or write(df, name))
+    analysis.analyze(files({"a.py": "x = 1\n"}), repos())
+    assert ("file-paths", ["repo_id", "path"]) in written
