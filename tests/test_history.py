@@ -336,6 +336,64 @@ def test_a_cycle_is_refused(spark):
         commit_log.walk_commits(graph(spark, [("a", 0, ["b"]), ("b", 1, ["a"]), ("c", 2, ["b"])])).count()
 
 
+@pytest.mark.parametrize("fast", [8, 3])
+def test_fast_clocks_do_not_send_dates_to_and_fro(spark, monkeypatch, fast):
+    """Every few commits of a day a clock is weeks fast; with blocks of a few chains, dates passed between them once for each."""
+    written = []
+    real = commit_log.write_shared
+    monkeypatch.setattr(commit_log, "BLOCK", 4)
+    monkeypatch.setattr(commit_log, "write_shared", lambda df, name: written.append(name) or real(df, name))
+    n = 160
+    rows = [(f"c{i:03d}", i // 80 * 24 + (700 if i % fast == 1 else 0), [f"c{j:03d}" for j in (i - 1, i - 2) if j >= 0]) for i in range(n)]
+    walked = commit_log.walk_commits(graph(spark, rows))
+    assert [r.sha for r in walked.orderBy("walk_pos").collect()] == [f"c{i:03d}" for i in reversed(range(n))]
+    assert len(written) < 26
+
+
+@pytest.mark.parametrize("sizes", [{}, {"SHARE": 40}, {"REPOSITORY": 1, "SHARE": 1}, {"REPOSITORY": 60, "SHARE": 20, "BLOCK": 8}])
+def test_repositories_of_any_size_are_walked_alike(spark, monkeypatch, sizes):
+    """Alone in a task, several to a task, or in rounds of joins; with commits that come twice, with other dates and parents, and nulls."""
+    for name, value in sizes.items():
+        monkeypatch.setattr(commit_log, name, value)
+    rng, rows = random.Random(3), []
+    for repo, n in enumerate((90, 30, 1, 75)):
+        for i in range(n):
+            for _ in range(rng.choice([1, 1, 1, 2])):
+                date = rng.randrange(-5, 5) + i // 4 + 300 * (rng.random() < 0.05) if rng.random() < 0.95 else None
+                parents = [rng.choice([f"s{rng.randrange(max(0, i - 5), i) * 37 % 101:03d}", f"s{(i - 1) * 37 % 101:03d}"]) for _ in range(rng.choice([1, 1, 2]))] if i else None
+                rows.append((repo, f"s{i * 37 % 101:03d}", date, f"m{len(rows)}", parents and [*parents, *rng.choice([[], [None], ["gone"], parents])]))
+    known = {(r, s) for r, s, *_ in rows}
+    dates, before = {}, {}
+    for r, s, date, _, parents in rows:
+        dates[r, s] = max(dates.get((r, s), commit_log.EARLIEST), date * 3_600_000_000 if date is not None else commit_log.EARLIEST)
+        before.setdefault((r, s), set()).update((r, p) for p in parents or () if (r, p) in known)
+    corrected = {}
+    for key in dict.fromkeys((r, s) for r, s, *_ in rows):  # parents come first
+        corrected[key] = max([dates[key], *[corrected[p] + 1 for p in before[key]]])
+    rng.shuffle(rows)
+    odd = [(None, "a", 1, "m", None), (1, None, 2, "m", ["s000"]), (0, None, None, "m", None)]
+    log = spark.createDataFrame(
+        [(r, s, dt.datetime(1970, 1, 1) + dt.timedelta(hours=h) if h is not None else None, m, 9, p) for r, s, h, m, p in rows + odd], WALK
+    )
+    walked = commit_log.walk_commits(log)
+    assert walked.columns == ["repo_id", "sha", "committed_date", "message", "walk_pos"]
+    found = sorted((r.repo_id, r.walk_pos, r.sha, r.message) for r in walked.collect())
+    wanted = sorted(((r, s) for r, s, *_ in rows), key=lambda k: (k[0], -corrected[k], k[1]))
+    assert [(r, s) for r, _, s, _ in found] == wanted
+    assert [p for _, p, *_ in found] == [i for r in range(4) for i in range(1, 1 + sum(x[0] == r for x in rows))]
+    assert sorted(m for *_, m in found) == sorted(x[3] for x in rows)
+
+
+def test_cycles_are_refused_whatever_walks_them(spark, monkeypatch):
+    for rows in ([("a", 0, ["a"])], [("a", 0, ["b"]), ("b", 0, ["a"])], [("a", 0, ["c"]), ("b", 1, ["a"]), ("c", 2, ["b"])], [("a", 0, ["b", "r"]), ("b", 1, ["a", "r"]), ("r", 5, [])]):
+        for held in (commit_log.REPOSITORY, 0):
+            monkeypatch.setattr(commit_log, "REPOSITORY", held)
+            monkeypatch.setattr(commit_log, "SHARE", min(commit_log.SHARE, held or 1))
+            with pytest.raises(ValueError, match="lead back"):
+                commit_log.walk_commits(graph(spark, rows)).count()
+        monkeypatch.undo()
+
+
 def test_a_log_with_parents_is_read(spark, tmp_path):
     spark.createDataFrame([(1, "b", "2024-01-01T00:00:00", ["a"]), (1, "a", "2024-01-02T00:00:00", [])], "repo_id int, sha string, committed_date string, parents array<string>").write.json(str(tmp_path / "log"))
     found = commit_log.read_commit_log(spark, str(tmp_path / "log"), parents=True).orderBy("walk_pos").collect()
