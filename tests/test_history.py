@@ -12,7 +12,7 @@ from codelode.operators import history, ranking
 from codelode.plans import reports
 from codelode.sources import commit_log
 from codelode.streaming import commits as stream
-from registry import queries
+from registry import oracles, queries
 
 CHANGES = (
     "repo_id int, sha string, file_pos int, path string, change_type string, insertions int, deletions int, diff string"
@@ -62,6 +62,27 @@ def test_achievements_agree_with_a_sequential_reading(commits):
     assert [r.subject for r in rows] == told_in_order(messages)
 
 
+def test_achievements_of_all_commits_agree_with_a_sequential_reading(commits):
+    rng = random.Random(6)
+    words = ["add", "fix", "Fixed", "implement", "optimized", "login", "page", "cache layer", "merge", "refactor", "tail\ttab", "x", "Ärger"]
+    told = {r: [" ".join(rng.choices(words, k=rng.randint(1, 6))) + "\n\nbody" for _ in range(n)] for r, n in ((1, 1300), (2, 3), (3, 700))}
+    table = commits(told[1], 1).unionByName(commits(told[2], 2)).unionByName(commits(told[3], 3)).repartition(5)
+    table = table.unionByName(commits(["Add what has no place in the walk"], 3).withColumn("walk_pos", F.lit(None).cast("int")))
+    rows = history.achievements(table, None, 40).collect()
+    assert {r.repo_id for r in rows} <= set(told) and len(rows) > 60
+    for repo, messages in told.items():
+        mine = sorted((r.position, r.subject) for r in rows if r.repo_id == repo)
+        assert mine == list(enumerate(told_in_order(messages, len(messages), 40), 1))
+
+
+def test_highlights_tell_of_all_commits(files, commits, repos):
+    """An achievement older than the newest 200 commits counts, in the query and in its SQL."""
+    messages = ["wip on this and that"] * 250 + ["Add a login page for everyone"]
+    t = SimpleNamespace(files=files({"src/a.py": "x = 1"}), commits=commits(messages), repos=repos())
+    assert [r.achievements for r in queries.highlight_rows(t).collect()] == ["Add a login page for everyone"]
+    assert "walk_pos <= 200" not in oracles.oracle("highlights") and "walk_pos <= 200" in oracles.oracle("achievements")
+
+
 def test_commits_since_stops_at_the_first_old_commit(spark):
     dates = ["2024-03-01", "2024-02-20", "2023-01-01", "2024-02-25"]
     rows = [(1, f"s{i}", "e", "n", dt.datetime.fromisoformat(d), "m", i + 1) for i, d in enumerate(dates)]
